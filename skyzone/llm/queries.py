@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dup import op4_near_dup
 from .packing import op8_packing
+from .quality import op10_quality
+from .secrets import op5_secret_scans
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op4_near_dup": op4_near_dup,
+    "op5_secret_scans": op5_secret_scans,
     "op8_packing": op8_packing,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}

@@ -9,8 +9,9 @@ E_k = sum r_i t_i p_ik.  Projected gradient descent on
 
 from r = 1 finds rates whose expected domain totals are the target shares s_k of the total T.  In the
 metric of tokens, scaled by the domains' own shares h_k, the gradient is g . p_i with
-g_k = (E_k / T - s_k) / h_k, the same few numbers for all documents, so each step is one aggregation of as many sums as there are domains, and r is a function
-of the posterior and of the list of gradients so far.  Nothing else leaves the executors.
+g_k = (E_k / T - s_k) / h_k, the same few numbers for all documents, so each
+step is one aggregation of as many sums as there are domains, and r is a function of the posterior
+and of the list of gradients so far.  Nothing else leaves the executors.
 
 Letter posteriors are tempered (``LETTERS`` letters at most count) so that they stay soft.
 
@@ -23,72 +24,71 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, stored
 
 #: Letters whose counts the classifier reads; fixed values.
 FEATURES = "ethwunakéèçäöüßñóí"
-LETTERS = 200.0
+LETTERS = 30.0
 STEPS = 40
 FLATTEN = 0.7
 LEAST = 1.0
 
 
-def _counts(text: str) -> list:
+def _counts(text: Column) -> list[Column]:
     lowered = F.lower(text)
     own = [(F.length(lowered) - F.length(F.replace(lowered, F.lit(c)))).cast("double") for c in FEATURES]
     return [*own, F.length(text).cast("double")]
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """doc_id, tokens (white-space words) and letter counts."""
-    text = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = F.length("text") - F.length(F.translate("text", " \n\t\r", ""))
-    tokens = F.when(F.length("text") > 0, words + 1).otherwise(0).cast("double")
-    return text.select("doc_id", tokens.alias("tokens"), F.array(*_counts("text")).alias("letters")).withColumn(
-        # the last count is of all other characters
-        "letters",
-        F.transform("letters", lambda x, i: F.when(i < len(FEATURES), x).otherwise(2 * x - F.aggregate("letters", F.lit(0.0), lambda a, y: a + y))),
-    )
-
-
-def posteriors(features: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[str]]:
-    """features with the array ``p``, and the domains in its order."""
-    known = labelled.select(F.col("doc_id"), F.col("domain").cast("string").alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    sums = [F.sum(F.get("letters", F.lit(k))).alias(f"f{k}") for k in range(len(FEATURES) + 1)]
-    # one row per domain
-    rows = features.join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *sums).orderBy("domain").collect()
-    domains = [r.domain for r in rows] or [""]
-    if not rows:
-        return features.withColumn("p", F.array(F.lit(1.0))), domains
-    total = sum(r.n for r in rows)
-    prior = [math.log(r.n / total) for r in rows]
-    table = []
-    for r in rows:
-        own = [r[f"f{k}"] + 1.0 for k in range(len(FEATURES) + 1)]
-        table.append([math.log(x / sum(own)) for x in own])
-    seen = F.aggregate("letters", F.lit(0.0), lambda a, x: a + x)
-    scale = F.when(seen > LETTERS, LETTERS / seen).otherwise(1.0)
-    logs = []
-    for k in range(len(domains)):
-        likelihood = F.aggregate(F.zip_with("letters", F.array(*[F.lit(x) for x in table[k]]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        logs.append(likelihood * scale + prior[k])
-    out = features.withColumn("logs", F.array(*logs))
-    out = out.withColumn("e", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))))
-    out = out.withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)))
-    return out.drop("logs", "e", "letters"), domains
-
-
-def _rate(p, gradients: list[list[float]], step: float, least: float):
-    """The rate that the gradients so far lead to, for a posterior."""
-    if not gradients:
-        return F.lit(1.0)
-    past = F.array(*[F.array(*[F.lit(x) for x in g]) for g in gradients])
-    dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(past, F.lit(1.0), lambda r, g: F.greatest(F.lit(least), r - step * dot(g)))
+def _features(text: Column) -> tuple[Column, Column]:
+    """Tokens (one more than there are white-space characters) and letter counts of a text."""
+    blanks = F.length(text) - F.length(F.translate(text, " \n\t\r", ""))
+    tokens = F.when(F.length(text) > 0, blanks + 1).otherwise(0).cast("double")
+    return tokens, F.array(*_counts(text))
+
+
+@dataclass
+class Mix:
+    """A fitted mixture: the classifier's tables and the gradients that lead to the rates."""
+
+    domains: list[str]
+    prior: list[float]
+    table: list[list[float]]
+    least: float
+    gradients: list[list[float]] = field(default_factory=list)
+
+    def posterior(self, letters: Column) -> Column:
+        if len(self.domains) == 1:
+            return F.array(F.lit(1.0))
+        # the last count is of all characters; those of no feature share one cell
+        rest = F.get(letters, F.lit(len(FEATURES))) * 2 - F.aggregate(letters, F.lit(0.0), lambda a, x: a + x)
+        own = F.concat(F.slice(letters, 1, len(FEATURES)), F.array(rest))
+        seen = F.get(letters, F.lit(len(FEATURES)))
+        scale = F.when(seen > LETTERS, LETTERS / seen).otherwise(1.0)
+        rows = F.array(*[F.array(*[F.lit(x) for x in row]) for row in self.table])
+        like = F.transform(rows, lambda row: scale * F.aggregate(F.zip_with(own, row, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
+        logs = F.zip_with(like, F.array(*[F.lit(x) for x in self.prior]), lambda a, b: a + b)
+        raised = F.transform(logs, lambda x: F.exp(x))
+        # scores are at least exp(-LETTERS * 12), which a double holds
+        return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+
+    def rate(self, p: Column) -> Column:
+        """The rate that the gradients so far lead to, for a posterior."""
+        if not self.gradients:
+            return F.lit(1.0)
+        past = F.array(*[F.array(*[F.lit(x) for x in g]) for g in self.gradients])
+        dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        return F.aggregate(past, F.lit(1.0), lambda r, g: F.greatest(F.lit(self.least), r - dot(g)))
+
+    def copies(self, rate: Column) -> Column:
+        """The rate rounded up or down by a hash of the document's id, true to it on average."""
+        lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mixing")), F.lit(1_000_003)) / 1_000_003
+        return F.floor(rate + lot).cast("int")
 
 
 def flattened(shares: list[float], power: float = FLATTEN) -> list[float]:
@@ -96,57 +96,69 @@ def flattened(shares: list[float], power: float = FLATTEN) -> list[float]:
     return [x / sum(raised) for x in raised] if sum(raised) else shares
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, *, least: float = LEAST, steps: int = STEPS) -> DataFrame:
-    """doc_id, tokens, domain (likeliest), posterior, rate and copies of every document.
+def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, *, least: float = LEAST, steps: int = STEPS) -> tuple[Mix, DataFrame]:
+    """The mixture, and (doc_id, tokens, p) of every document.
 
     ``targets``: share of each domain; where none are given, the tokens' own shares raised to the power
     ``FLATTEN``.  The total of tokens is the least that leaves no domain's mean rate below ``least``.
-    ``copies`` is the rate rounded up or down by a hash of the document's id, true to it on average.
     """
-    soft, domains = posteriors(featured(docs), labelled)
-    soft = stored(soft, "posteriors")
-    k = len(domains)
-    expected = lambda rate: [F.sum(rate * F.col("tokens") * F.get("p", F.lit(i))).alias(f"e{i}") for i in range(k)]
-    own = [x or 0.0 for x in soft.agg(*expected(F.lit(1.0))).first()]
-    total = sum(own)
-    gradients: list[list[float]] = []
+    tokens, letters = _features(F.coalesce("text", F.lit("")))
+    features = stored(only(docs, "doc_id", "text").select("doc_id", tokens.alias("tokens"), letters.alias("letters")), "letters")
+    known = labelled.select("doc_id", F.col("domain").cast("string").alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL")
+    known = known.groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    width = len(FEATURES) + 1
+    sums = [F.sum(F.get("letters", F.lit(k))).alias(f"f{k}") for k in range(width)]
+    # one row per domain
+    rows = features.join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *sums).orderBy("domain").collect()
+    out = Mix([r.domain for r in rows] or [""], [], [], least)
+    for r in rows:
+        own = [r[f"f{k}"] for k in range(width)]
+        own[-1] = 2 * own[-1] - sum(own)
+        out.prior.append(math.log(r.n / sum(x.n for x in rows)))
+        out.table.append([math.log((x + 1) / (sum(own) + width)) for x in own])
+    soft = stored(features.select("doc_id", "tokens", out.posterior(F.col("letters")).alias("p")), "posteriors")
+    k = len(out.domains)
+
+    def expected() -> list[float]:
+        rate = out.rate(F.col("p"))
+        row = soft.select(F.col("p"), (rate * F.col("tokens")).alias("w")).agg(*[F.sum(F.col("w") * F.get("p", F.lit(i))).alias(f"e{i}") for i in range(k)]).first()
+        return [x or 0.0 for x in row]
+
+    now = expected()
+    total = sum(now)
     if total and k > 1:
-        share = [x / total for x in own]
-        goal = flattened(share) if targets is None else [targets.get(d, 0.0) / (sum(targets.values()) or 1.0) for d in domains]
+        share = [x / total for x in now]
+        goal = flattened(share) if targets is None else [targets.get(d, 0.0) / (sum(targets.values()) or 1.0) for d in out.domains]
         grown = max([least * s / g for s, g in zip(share, goal) if g > 0] + [1.0])
-        now, step = own, 1.0
         for _ in range(steps):
             g = [x / (total * grown) - s for x, s in zip(now, goal)]
             if max(map(abs, g)) < 1e-4:
                 break
-            gradients.append([round(grown * x / h, 9) if h else 0.0 for x, h in zip(g, share)])
-            now = [x or 0.0 for x in soft.agg(*expected(_rate(F.col("p"), gradients, step, least))).first()]
-    else:
-        step = 1.0
-    out = soft.withColumn("rate", _rate(F.col("p"), gradients, step, least))
+            out.gradients.append([round(grown * x / h, 9) if h else 0.0 for x, h in zip(g, share)])
+            now = expected()
+    return out, soft
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, *, least: float = LEAST, steps: int = STEPS) -> DataFrame:
+    """doc_id, tokens, domain (likeliest), posterior, rate and copies of every document."""
+    fitted, soft = fit(docs, labelled, targets, least=least, steps=steps)
     best = F.array_position("p", F.array_max("p")).cast("int")
-    lot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mixing")), F.lit(1_000_003)) / 1_000_003
-    return out.select(
+    rate = fitted.rate(F.col("p"))
+    return soft.select(
         "doc_id",
         F.col("tokens").cast("long").alias("tokens"),
-        F.element_at(F.array(*[F.lit(d) for d in domains]), best).alias("domain"),
+        F.element_at(F.array(*[F.lit(d) for d in fitted.domains]), best).alias("domain"),
         F.col("p").alias("posterior"),
-        "rate",
-        F.floor(F.col("rate") + lot).cast("int").alias("copies"),
+        rate.alias("rate"),
+        fitted.copies(rate).alias("copies"),
     )
 
 
-def resampled(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies."""
-    copies = mixed.where("copies != 1").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return (
-        docs.alias("d")
-        .join(copies.alias("c"), F.col("d.doc_id") == F.col("c.doc_id"), "left")
-        .withColumn("_copies", F.coalesce("c.copies", F.lit(1)))
-        .where("_copies > 0")
-        .select("d.*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-        .drop("_copy")
-    )
+def resampled(docs: DataFrame, fitted: Mix) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as its copies; rates come from the texts again, so no join is needed."""
+    rate = fitted.rate(fitted.posterior(_features(F.coalesce("text", F.lit("")))[1]))
+    out = docs.withColumn("_copies", fitted.copies(rate)).where("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
 
 
 def labelled_by_language(docs: DataFrame) -> DataFrame:

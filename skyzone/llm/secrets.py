@@ -132,21 +132,29 @@ def ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / n
 
 
-def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text, base (array of rule spans in order) and all (with the method's)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = only(docs, "doc_id", "text").withColumn("text", text)
-    found = found.select("doc_id", "text", F.struct(*[c.alias(k) for k, c in base_spans(F.col("text")).items()]).alias("by"))
+def _before(a: Column, b: Column) -> Column:
+    order = lambda x: F.when(x["kind"] == "assign", 0).when(x["kind"] == "access", 1).when(x["kind"] == "hex", 2).otherwise(3)
+    by_kind = F.signum(order(a) - order(b)).cast("int")
+    return F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(by_kind)
+
+
+def _added(text: Column, base: Column, table: list[float], threshold: float) -> Column:
+    """Spans of runs that look random and lie outside the rules' spans."""
+    runs = _spans(text, RUN, "markov", lambda hit: ratio(hit, table) > threshold)
+    return F.filter(runs, lambda x: ~F.exists(base, lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
+
 
-    def before(a, b):
-        order = lambda x: F.when(x["kind"] == "assign", 0).when(x["kind"] == "access", 1).when(x["kind"] == "hex", 2).otherwise(3)
-        return F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(order(a) - order(b)).cast("int"))
+def all_spans(text: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
+    base = F.concat(*base_spans(text).values())
+    return F.array_sort(F.concat(base, _added(text, base, table, threshold)), _before)
 
-    found = found.withColumn("base", F.array_sort(F.concat("by.assign", "by.access", "by.hex"), before))
-    runs = _spans(F.col("text"), RUN, "markov", lambda hit: ratio(hit, table) > threshold)
-    found = found.withColumn("added", runs)
-    free = F.filter("added", lambda x: ~F.exists("base", lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
-    return found.withColumn("all", F.array_sort(F.concat("base", free), before))
+
+def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, by (the rules' spans by kind), base (those in order) and all (with the method's)."""
+    found = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    found = found.withColumn("by", F.struct(*[c.alias(k) for k, c in base_spans(F.col("text")).items()]))
+    found = found.withColumn("base", F.array_sort(F.concat("by.assign", "by.access", "by.hex"), _before))
+    return found.withColumn("all", F.array_sort(F.concat("base", _added(F.col("text"), F.col("base"), table, threshold)), _before))
 
 
 def joined(spans: str) -> Column:
@@ -166,6 +174,16 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
 
 
+def redact_documents(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns, with every span in ``text`` replaced; null texts stay null."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    spans = all_spans(text, table, threshold)
+    out = docs.withColumn("_spans", spans)
+    new = F.when(F.col("text").isNull(), F.col("text")).otherwise(redacted(text, F.col("_spans")))
+    out = out.withColumn("text", new).drop("_spans")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op5_secret_scans(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

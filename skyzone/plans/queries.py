@@ -1,10 +1,154 @@
-"""Queries over the driver tables, by name, and the SQL each is held against."""
+"""Queries over the driver tables, by name, and the SQL each is held against.
+
+Results are narrowed to ids and rounded numbers, since the last digits of sines differ by engine.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..operators.match import id_join, match
+from ..specs import MatchSpec
+from .catalogues import banded, catalogue, cte, frame, sep
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def pair(spark: SparkSession, d: str, spec: MatchSpec, l: str = "cat_a", r: str = "cat_b", columns=("id", "ra", "dec", "mag"), **roles) -> DataFrame:
+    return match(catalogue(spark, d, l, list(columns), **roles), catalogue(spark, d, r, list(columns), **roles), spec)
+
+
+# ---- geometry ----
+
+_GALACTIC = "degrees(asin(greatest(-1e0, least(1e0, sin(radians(dec))*sin(radians(2.712825e1))+cos(radians(dec))*cos(radians(2.712825e1))*cos(radians(ra)-radians(1.9285948e2))))))"
+
+
+@query("galactic_latitude", f"WITH {cte('cat_a')} SELECT id, round({_GALACTIC}, 6) AS b FROM cat_a")
+def galactic_latitude(spark, d):
+    return frame(spark, d, "cat_a").select("id", F.round(g.galactic_latitude(F.col("ra"), F.col("dec")), 6).alias("b"))
+
+
+@query("sep_identity", f"WITH {cte('cat_a')}, o AS (SELECT id, 1e1 AS ra, 2e1 AS dec, ra AS r, dec AS d FROM cat_a) SELECT l.id, round({sep('l', 'r')}, 6) AS sep_arcsec FROM cat_a l JOIN o r ON l.id = r.id")
+def sep_identity(spark, d):
+    a = frame(spark, d, "cat_a")
+    return a.select("id", F.round(g.separation(F.col("ra"), F.col("dec"), F.lit(10.0), F.lit(20.0)), 6).alias("sep_arcsec"))
+
+
+@query(
+    "sky_extent",
+    f"""WITH {cte('cat_a')}, v AS (SELECT cos(radians(dec))*cos(radians(ra)) AS x, cos(radians(dec))*sin(radians(ra)) AS y, sin(radians(dec)) AS z FROM cat_a WHERE dec > 6e1),
+    m AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM v), c AS (SELECT x/sqrt(x*x+y*y+z*z) AS x, y/sqrt(x*x+y*y+z*z) AS y, z/sqrt(x*x+y*y+z*z) AS z FROM m)
+    SELECT round(max(degrees(asin(c.z))), 4) AS dec_deg, round(degrees(acos(min(v.x*c.x+v.y*c.y+v.z*c.z))), 4) AS radius_deg FROM v, c""",
+)
+def sky_extent(spark, d):
+    e = g.sky_extent(frame(spark, d, "cat_a").where("dec > 6e1"), "ra", "dec")
+    return spark.createDataFrame([(round(e["dec_deg"], 4), round(e["radius_deg"], 4))], "dec_deg double, radius_deg double")
+
+
+_HAVERSINE = "degrees(2e0*asin(sqrt(least(1e0, pow(sin(radians(dec-2e1)/2e0), 2)+cos(radians(dec))*cos(radians(2e1))*pow(sin(radians(ra-1e1)/2e0), 2)))))"
+
+
+@query("cone_filter", f"WITH {cte('cat_a')} SELECT id, round(ra, 6) AS ra, round(dec, 6) AS dec FROM cat_a WHERE {_HAVERSINE} <= 1.5e1")
+def cone_filter(spark, d):
+    return rounded(g.cone(frame(spark, d, "cat_a").select("id", "ra", "dec"), "ra", "dec", (10.0, 20.0), 15.0), "ra", "dec")
+
+
+# ---- fixed radius ----
+
+_ALL = f"WITH {cte('cat_a', 'cat_b')}, {banded('cat_a', 'cat_b', 'sep <= 2e0')}"
+_BEST = _ALL + ", best AS (SELECT l_id, arg_min(r_id, sep) AS r_id, min(sep) AS sep FROM pairs GROUP BY l_id)"
+SKY = MatchSpec(radius_arcsec=2.0)
+
+
+def _ids(df: DataFrame, *extra: str) -> DataFrame:
+    return rounded(df, "sep_arcsec").select("id", F.col("id_2"), "sep_arcsec", *extra)
+
+
+@query("sky_best_inner", _BEST + " SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec FROM best")
+def sky_best_inner(spark, d):
+    return _ids(pair(spark, d, SKY))
+
+
+@query("sky_all_inner", _ALL + " SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec FROM pairs")
+def sky_all_inner(spark, d):
+    return _ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, find="all")))
+
+
+def _joined(name: str, join_type: str, oracle: str) -> None:
+    @query(name, oracle)
+    def run(spark, d):
+        return _ids(pair(spark, d, MatchSpec(radius_arcsec=1.5, find="all", join_type=join_type)))
+
+
+_SOME = f"WITH {cte('cat_a', 'cat_b')}, {banded('cat_a', 'cat_b', 'sep <= 1.5e0')} SELECT"
+_joined("sky_left", "all1", _SOME + " a.id, p.r_id AS id_2, round(p.sep, 6) AS sep_arcsec FROM cat_a a LEFT JOIN pairs p ON a.id = p.l_id")
+_joined("sky_right", "all2", _SOME + " p.l_id AS id, b.id AS id_2, round(p.sep, 6) AS sep_arcsec FROM cat_b b LEFT JOIN pairs p ON b.id = p.r_id")
+_joined("sky_full", "1or2", _SOME + " a.id, b.id AS id_2, round(p.sep, 6) AS sep_arcsec FROM cat_a a LEFT JOIN pairs p ON a.id = p.l_id FULL JOIN cat_b b ON b.id = p.r_id")
+
+
+@query("sky_anti_left", _SOME + " a.id, round(a.mag, 6) AS mag FROM cat_a a WHERE a.id NOT IN (SELECT l_id FROM pairs)")
+def sky_anti_left(spark, d):
+    return rounded(pair(spark, d, MatchSpec(radius_arcsec=1.5, join_type="1not2", find="all")).select("id", "mag"), "mag")
+
+
+@query("sky_anti_right", _SOME + " b.id AS id_2, round(b.mag, 6) AS mag_2 FROM cat_b b WHERE b.id NOT IN (SELECT r_id FROM pairs)")
+def sky_anti_right(spark, d):
+    return rounded(pair(spark, d, MatchSpec(radius_arcsec=1.5, join_type="2not1", find="all")).select("id_2", "mag_2"), "mag_2")
+
+
+@query("post_filter", _BEST + " SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec FROM best JOIN cat_a a ON a.id = l_id JOIN cat_b b ON b.id = r_id WHERE abs(a.mag - b.mag) < 3e0")
+def post_filter(spark, d):
+    return _ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, filter_expr="abs(mag - mag_2) < 3e0")))
+
+
+@query("sky_seam_poles", f"WITH {cte('cat_d')}, pairs AS (SELECT l.id AS l_id, r.id AS r_id, {sep('l', 'r')} AS sep FROM cat_d l JOIN cat_d r ON floor((l.dec+9e1)/1e0) BETWEEN floor((r.dec+9e1)/1e0)-1 AND floor((r.dec+9e1)/1e0)+1 AND l.id <> r.id) SELECT l_id AS id, r_id AS id_2, round(sep, 4) AS sep_arcsec FROM pairs WHERE sep <= 1.2345678e2")
+def sky_seam_poles(spark, d):
+    c = catalogue(spark, d, "cat_d")
+    out = match(c, c, MatchSpec(radius_arcsec=123.45678, find="all"))
+    return rounded(out.where("id <> id_2").select("id", "id_2", "sep_arcsec"), "sep_arcsec", places=4)
+
+
+# ---- ids ----
+
+_IDS = f"WITH {cte('cat_a', 'cat_b')}, l AS (SELECT id, mag FROM cat_a WHERE id%2=0), r AS (SELECT order_id, id AS det FROM cat_b WHERE order_id%3=0) SELECT"
+_ID_ORACLES = {
+    "id_inner": ("1and2", _IDS + " l.id, round(l.mag, 6) AS mag, r.det FROM l JOIN r ON l.id = r.order_id"),
+    "id_left": ("all1", _IDS + " l.id, round(l.mag, 6) AS mag, r.det FROM l LEFT JOIN r ON l.id = r.order_id"),
+    "id_right": ("all2", _IDS + " r.order_id AS id, round(l.mag, 6) AS mag, r.det FROM l RIGHT JOIN r ON l.id = r.order_id"),
+    "id_full": ("1or2", _IDS + " l.id, round(l.mag, 6) AS mag, r.order_id, r.det FROM l FULL JOIN r ON l.id = r.order_id"),
+    "id_anti": ("1not2", _IDS + " l.id, round(l.mag, 6) AS mag FROM l WHERE l.id NOT IN (SELECT order_id FROM r)"),
+    "id_anti_right": ("2not1", _IDS + " r.order_id, r.det FROM r WHERE r.order_id NOT IN (SELECT id FROM l)"),
+}
+
+
+def _id_query(name: str, join_type: str, oracle: str) -> None:
+    @query(name, oracle)
+    def run(spark, d):
+        l = frame(spark, d, "cat_a").where("id%2=0").select("id", "mag")
+        r = frame(spark, d, "cat_b").where("order_id%3=0").select("order_id", F.col("id").alias("det"))
+        out = id_join(l, r, "id", "order_id", join_type)
+        return rounded(out, "mag") if "mag" in out.columns else out
+
+
+for _name, (_type, _oracle) in _ID_ORACLES.items():
+    _id_query(_name, _type, _oracle)

@@ -152,3 +152,160 @@ def _id_query(name: str, join_type: str, oracle: str) -> None:
 
 for _name, (_type, _oracle) in _ID_ORACLES.items():
     _id_query(_name, _type, _oracle)
+
+
+# ---- position errors ----
+
+ERR = ("id", "ra", "dec", "mag", "ra_err", "dec_err", "rho")
+_SIG = "sqrt({t}.ra_err*{t}.ra_err+{t}.dec_err*{t}.dec_err)"
+_ERR_COLUMNS = f"l.id AS l_id, r.id AS r_id, {_SIG.format(t='l')}+{_SIG.format(t='r')} AS s, l.ra AS l_ra, r.ra AS r_ra, l.dec AS l_dec, r.dec AS r_dec, l.ra_err AS le, l.dec_err AS ln, l.rho AS lr, r.ra_err AS re, r.dec_err AS rn, r.rho AS rr, l.mag AS l_mag, r.mag AS r_mag"
+_ERRS = f"WITH {cte('cat_a', 'cat_b')}, {banded('cat_a', 'cat_b', 'sep <= 2e1', columns=_ERR_COLUMNS)}"
+_SKYERR = _ERRS + ", good AS (SELECT *, sep/(1.7e0*s) AS score FROM pairs WHERE sep <= 1.7e0*s)"
+_ELLIPSE = (
+    _ERRS
+    + """, d AS (SELECT *, ((l_ra-r_ra+1.8e2+3.6e2)%3.6e2-1.8e2)*3.6e3*cos(radians(5e-1*(l_dec+r_dec))) AS da, (l_dec-r_dec)*3.6e3 AS dd,
+    le*le+re*re AS ee, ln*ln+rn*rn AS nn, lr*le*ln+rr*re*rn AS en FROM pairs),
+    good AS (SELECT *, d2 AS score FROM (SELECT *, (nn*da*da-2e0*en*da*dd+ee*dd*dd)/(ee*nn-en*en) AS d2 FROM d) WHERE d2 <= 2.2e0*2.2e0)"""
+)
+_GOOD = " SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec FROM good"
+_GOOD_BEST = " SELECT l_id AS id, arg_min(r_id, score) AS id_2, round(arg_min(sep, score), 6) AS sep_arcsec FROM good GROUP BY l_id"
+
+
+def _errors(name: str, oracle: str, **spec) -> None:
+    @query(name, oracle)
+    def run(spark, d):
+        return _ids(pair(spark, d, MatchSpec(**spec), columns=ERR))
+
+
+_errors("skyerr_best", _SKYERR + _GOOD_BEST, matcher="skyerr", max_error=1.7)
+_errors("skyerr_all", _SKYERR + _GOOD, matcher="skyerr", max_error=1.7, find="all")
+_errors("skyellipse_best", _ELLIPSE + _GOOD_BEST, matcher="skyellipse", max_error=2.2)
+_errors("skyellipse_all", _ELLIPSE + _GOOD, matcher="skyellipse", max_error=2.2, find="all")
+
+_ND = f"""WITH {cte('cat_a', 'cat_b')}, {banded('cat_a', 'cat_b', 'sep <= 2e0', columns='l.id AS l_id, r.id AS r_id, l.mag AS lm, r.mag AS rm')},
+    u AS (SELECT mag FROM cat_a UNION ALL SELECT mag FROM cat_b), s AS (SELECT stddev_pop(mag) AS sd FROM u),
+    q AS (SELECT *, sqrt(pow(2e0*sin(radians(sep/3.6e3)/2e0), 2)+pow((lm-rm)/sd*5e-1, 2)) AS score FROM pairs, s)
+    SELECT l_id AS id, arg_min(r_id, score) AS id_2, round(arg_min(sep, score), 6) AS sep_arcsec FROM q GROUP BY l_id"""
+
+
+@query("nd_rank", _ND)
+def nd_rank(spark, d):
+    return _ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, extra_distance_cols={"mag": 0.5})))
+
+
+# ---- motion ----
+
+_MAS, _T = "4.84813681109536e-9", "1e1"
+_MOVED = f"""m AS (SELECT id, (degrees(atan2(y, x))+3.6e2)%3.6e2 AS ra, degrees(atan2(z, sqrt(x*x+y*y))) AS dec FROM (SELECT id,
+    cos(radians(dec))*cos(radians(ra))+{_T}*(-pm_ra*{_MAS}*sin(radians(ra))-pm_dec*{_MAS}*sin(radians(dec))*cos(radians(ra))) AS x,
+    cos(radians(dec))*sin(radians(ra))+{_T}*(pm_ra*{_MAS}*cos(radians(ra))-pm_dec*{_MAS}*sin(radians(dec))*sin(radians(ra))) AS y,
+    sin(radians(dec))+{_T}*pm_dec*{_MAS}*cos(radians(dec)) AS z FROM cat_a))"""
+MOTION = ("id", "ra", "dec", "pm_ra", "pm_dec", "epoch")
+
+
+@query("epoch_match", f"WITH {cte('cat_a', 'cat_b')}, {_MOVED}, {banded('m', 'cat_b', 'sep <= 2.0012345e0')}, best AS (SELECT l_id, arg_min(r_id, sep) AS r_id, min(sep) AS sep FROM pairs GROUP BY l_id) SELECT l_id AS id, r_id AS id_2, round(sep, 5) AS sep_arcsec FROM best")
+def epoch_match(spark, d):
+    l = catalogue(spark, d, "cat_a", list(MOTION), pm_ra="pm_ra", pm_dec="pm_dec", epoch_column="epoch")
+    r = catalogue(spark, d, "cat_b", ["id", "ra", "dec"], epoch=2010.0)
+    return rounded(match(l, r, MatchSpec(radius_arcsec=2.0012345, target_epoch=2010.0)).select("id", "id_2", "sep_arcsec"), "sep_arcsec", places=5)
+
+
+_DRIFT = f"(3e0+7e0*exp(-abs({_GALACTIC})/2e1))*least(3e0, greatest(3e-1, pow(1e1, -2e-1*(mag-1.5e1))))*1.6e1/1e3"
+
+
+@query("pm_drift", f"WITH {cte('cat_a')} SELECT id, round({_DRIFT}, 6) AS drift FROM cat_a")
+def pm_drift(spark, d):
+    from ..functions.motion import drift
+
+    c = catalogue(spark, d, "cat_a", ["id", "ra", "dec", "mag"], epoch=2000.0).resolved()
+    return c.df.select("id", F.round(drift(c, 2016.0, "mag"), 6).alias("drift"))
+
+
+_DRIFTED = f"""WITH {cte('cat_a', 'cat_b')}, a2 AS (SELECT id, ra, dec, sqrt(ra_err*ra_err+dec_err*dec_err+pow({_DRIFT}, 2)) AS s FROM cat_a),
+    b2 AS (SELECT id, ra, dec, sqrt(ra_err*ra_err+dec_err*dec_err) AS s FROM cat_b), {banded('a2', 'b2', 'sep <= 2e1', columns='l.id AS l_id, r.id AS r_id, l.s+r.s AS s')}
+    SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec FROM pairs WHERE sep <= 1.7e0*s"""
+
+
+@query("skyerr_drift", _DRIFTED)
+def skyerr_drift(spark, d):
+    l = catalogue(spark, d, "cat_a", list(ERR), epoch=2000.0)
+    r = catalogue(spark, d, "cat_b", list(ERR), epoch=2016.0)
+    return _ids(match(l, r, MatchSpec(matcher="skyerr", max_error=1.7, find="all", target_epoch=2016.0, pm_prior=True, pm_prior_magnitude_column="mag")))
+
+
+# ---- scores ----
+
+_LOG = "-5e-1*sep*sep/v - ln(2e0*pi()) - ln(v)"
+_PMATCH = f"WITH {cte('cat_a', 'cat_b')}, {banded('cat_a', 'cat_b', 'sep <= 2e0', columns='l.id AS l_id, r.id AS r_id, 5e-1*(l.ra_err*l.ra_err+l.dec_err*l.dec_err+r.ra_err*r.ra_err+r.dec_err*r.dec_err) AS v')} SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec, round(1e0/(1e0+exp(-ln(pi()*4e0)-({_LOG}))), 6) AS p_match FROM pairs"
+
+
+@query("p_match", _PMATCH)
+def p_match(spark, d):
+    return rounded(_ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, find="all", probabilistic=True), columns=ERR), "p_match"), "p_match")
+
+
+@query("p_match_kde")
+def p_match_kde(spark, d):
+    return rounded(_ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, find="all", prior_columns=("mag",)), columns=ERR), "p_match"), "p_match")
+
+
+_LR = f"""WITH {cte('cat_a', 'cat_b')}, {banded('cat_a', 'cat_b', 'sep <= 2e0', columns='l.id AS l_id, r.id AS r_id, r.mag AS m, l.ra_err*l.ra_err+l.dec_err*l.dec_err+r.ra_err*r.ra_err+r.dec_err*r.dec_err AS v')},
+    st AS (SELECT count(*) AS n, min(mag) AS lo, max(mag) AS hi, least(50, CAST(floor(sqrt(count(*))) AS BIGINT)) AS k FROM cat_b),
+    ex0 AS (SELECT avg(cos(radians(dec))*cos(radians(ra))) AS x, avg(cos(radians(dec))*sin(radians(ra))) AS y, avg(sin(radians(dec))) AS z FROM cat_b),
+    ex AS (SELECT x/sqrt(x*x+y*y+z*z) AS x, y/sqrt(x*x+y*y+z*z) AS y, z/sqrt(x*x+y*y+z*z) AS z FROM ex0),
+    ar AS (SELECT pi()*pow(degrees(acos(min(cos(radians(dec))*cos(radians(ra))*x+cos(radians(dec))*sin(radians(ra))*y+sin(radians(dec))*z))), 2)*3.6e3*3.6e3 AS area FROM cat_b, ex),
+    bg AS (SELECT CAST(least(k-1, floor((mag-lo)/((hi-lo)/k))) AS BIGINT) AS bin, count(*)/(max(area)*max((hi-lo)/k)) AS n FROM cat_b, st, ar GROUP BY 1),
+    cp AS (SELECT p.*, CAST(least(k-1, floor((m-lo)/((hi-lo)/k))) AS BIGINT) AS bin FROM pairs p, st),
+    cc AS (SELECT bin, count(*) AS c FROM cp GROUP BY 1),
+    q0 AS (SELECT bg.bin, bg.n, greatest(coalesce(c, 0)-bg.n*pi()*4e0*(SELECT count(*) FROM cat_a), 0e0) AS q FROM bg LEFT JOIN cc ON bg.bin = cc.bin),
+    q1 AS (SELECT bin, n, q/(SELECT sum(q) FROM q0) AS q FROM q0),
+    lr AS (SELECT l_id, r_id, sep, q*greatest(sep/v*exp(-sep*sep/(2e0*v)), 1e-300)/n AS lr FROM cp JOIN q1 ON cp.bin = q1.bin)
+    SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec, round(ln(lr+1e-9), 4) AS ln_lr, round(lr/(sum(lr) OVER (PARTITION BY l_id)+1e0-8e-1), 6) AS reliability FROM lr"""
+
+
+@query("lr", _LR)
+def lr(spark, d):
+    out = _ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, find="all", matcher="lr", lr_magnitude_column="mag"), columns=ERR), "lr", "reliability")
+    return rounded(out.withColumn("ln_lr", F.round(F.log(F.col("lr") + 1e-9), 4)).drop("lr"), "reliability")
+
+
+@query("lr_best")
+def lr_best(spark, d):
+    return rounded(_ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, matcher="lr", lr_magnitude_column="mag"), columns=ERR), "reliability"), "reliability")
+
+
+@query("auf")
+def auf(spark, d):
+    return rounded(_ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, matcher="auf"), columns=ERR), "auf_prob"), "auf_prob")
+
+
+@query("macauff")
+def macauff(spark, d):
+    return rounded(_ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, matcher="macauff", macauff_flux_columns=("mag",)), columns=ERR), "macauff_prob"), "macauff_prob")
+
+
+_HEURISTIC = f"""WITH {cte('cat_a', 'cat_b')}, {banded('cat_a', 'cat_b', 'sep <= 2e0', columns='l.id AS l_id, r.id AS r_id, abs(l.mag-r.mag) AS dm, sqrt(l.ra_err*l.ra_err+l.dec_err*l.dec_err+r.ra_err*r.ra_err+r.dec_err*r.dec_err) AS s')},
+    {banded('cat_a', 'cat_a', 'sep <= 4e0', name='near')}, n AS (SELECT l_id, count(*) AS n FROM near GROUP BY l_id)
+    SELECT p.l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec, round(1e0/(1e0+2e0*sep/s+dm/(SELECT stddev_pop(dm) FROM pairs)+ln(1e0+n/(pi()*1.6e1))), 6) AS ml_score FROM pairs p JOIN n ON n.l_id = p.l_id"""
+
+
+@query("ml_heuristic", _HEURISTIC)
+def ml_heuristic(spark, d):
+    from ..operators.match import candidates, prepare
+    from ..operators.scores import features, heuristic
+
+    spec = MatchSpec(radius_arcsec=2.0, find="all", matcher="ml", ml_color_columns=("mag",))
+    l, r = prepare(catalogue(spark, d, "cat_a", list(ERR)), "l", spec, ("mag",)), prepare(catalogue(spark, d, "cat_b", list(ERR)), "r", spec, ("mag",))
+    pairs, names = features(candidates(l, r, spec, 2.0), l, r, spec)
+    out = pairs.select(F.col("l_row").alias("id"), F.col("r_row").alias("id_2"), "sep_arcsec", heuristic(pairs, names).alias("ml_score"))
+    return rounded(out, "sep_arcsec", "ml_score")
+
+
+@query("ml_rf")
+def ml_rf(spark, d):
+    return _ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, matcher="ml", ml_color_columns=("mag",)), columns=ERR), "ml_score")
+
+
+@query("xgb_gbt")
+def xgb_gbt(spark, d):
+    return _ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, matcher="xgb", ml_color_columns=("mag",)), columns=ERR), "xgb_score")

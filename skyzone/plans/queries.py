@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..operators import multi
 from ..operators.match import id_join, match
 from ..specs import MatchSpec
 from .catalogues import banded, catalogue, cte, frame, sep
@@ -309,3 +310,127 @@ def ml_rf(spark, d):
 @query("xgb_gbt")
 def xgb_gbt(spark, d):
     return _ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, matcher="xgb", ml_color_columns=("mag",)), columns=ERR), "xgb_score")
+
+
+# ---- many catalogues ----
+
+NWAY = ("id", "ra", "dec", "mag", "ra_err", "dec_err")
+_RAD = "radians(1e0/3.6e3)"
+
+
+def _bayes(names: tuple[str, ...]) -> str:
+    """log10 of the N-way Bayes factor of relations ``names`` with columns ra, dec, s2 (per axis)."""
+    w = {n: f"(1e0/({n}.s2*{_RAD}*{_RAD}))" for n in names}
+    total = "(" + "+".join(w.values()) + ")"
+    out = f"{len(names) - 1}e0*ln(2e0)+" + "+".join(f"ln({x})" for x in w.values()) + f"-ln({total})"
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            out += f"-{w[a]}*{w[b]}/{total}*pow(({sep(a, b)})*{_RAD}, 2)/2e0"
+    return out
+
+
+def _s2(name: str) -> str:
+    return f"{name}s AS (SELECT id, ra, dec, 5e-1*(ra_err*ra_err+dec_err*dec_err) AS s2 FROM {name})"
+
+
+_AB = banded("cat_a", "cat_b", "sep <= 2e0", name="ab")
+_AC = banded("cat_a", "cat_c", "sep <= 2e0", name="ac")
+_BC = banded("cat_b", "cat_c", "sep <= 2e0", name="bc")
+_NWAY2 = f"WITH {cte('cat_a', 'cat_b')}, {_AB}, {_s2('cat_a')}, {_s2('cat_b')} SELECT l_id AS id, r_id AS id_2, round(1e0/(1e0+exp(-({_bayes(('a', 'b'))}))), 6) AS p_match FROM ab JOIN cat_as a ON a.id = l_id JOIN cat_bs b ON b.id = r_id"
+_NWAY3 = f"WITH {cte('cat_a', 'cat_b', 'cat_c')}, {_AB}, {_AC}, {_s2('cat_a')}, {_s2('cat_b')}, {_s2('cat_c')}, t AS (SELECT ab.l_id, ab.r_id AS b_id, ac.r_id AS c_id FROM ab JOIN ac ON ab.l_id = ac.l_id)"
+_P3 = f"round(1e0/(1e0+exp(-({_bayes(('a', 'b', 'c'))}))), 6) AS p_match"
+_JOIN3 = " JOIN cat_as a ON a.id = l_id JOIN cat_bs b ON b.id = b_id JOIN cat_cs c ON c.id = c_id"
+
+
+def _many(spark, d, names, columns) -> list:
+    return [catalogue(spark, d, n, list(columns)) for n in names]
+
+
+@query("nway2", _NWAY2)
+def nway2(spark, d):
+    return rounded(multi.nway(_many(spark, d, ("cat_a", "cat_b"), NWAY), 2.0).select("id", "id_2", "p_match"), "p_match")
+
+
+@query("nway3", f"{_NWAY3} SELECT l_id AS id, b_id AS id_2, c_id AS id_3, {_P3} FROM t{_JOIN3}")
+def nway3(spark, d):
+    return rounded(multi.nway(_many(spark, d, ("cat_a", "cat_b", "cat_c"), NWAY), 2.0).select("id", "id_2", "id_3", "p_match"), "p_match")
+
+
+@query("nway_capped", f"{_NWAY3}, k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY b_id, c_id) <= 2) SELECT l_id AS id, b_id AS id_2, c_id AS id_3, {_P3} FROM k{_JOIN3}")
+def nway_capped(spark, d):
+    return rounded(multi.nway(_many(spark, d, ("cat_a", "cat_b", "cat_c"), NWAY), 2.0, cap=2).select("id", "id_2", "id_3", "p_match"), "p_match")
+
+
+_BEST_AB = f"{_AB}, b1 AS (SELECT l_id, arg_min(r_id, sep) AS r_id, min(sep) AS sep FROM ab GROUP BY l_id)"
+_BEST_AC = f"{_AC}, c1 AS (SELECT l_id, arg_min(r_id, sep) AS r_id, min(sep) AS sep FROM ac GROUP BY l_id)"
+FEW = ("id", "ra", "dec")
+
+
+@query("multi3", f"WITH {cte('cat_a', 'cat_b', 'cat_c')}, {_BEST_AB}, {_BEST_AC} SELECT b1.l_id AS id, b1.r_id AS id_2, c1.r_id AS id_3, round(c1.sep, 6) AS sep_arcsec FROM b1 JOIN c1 ON b1.l_id = c1.l_id")
+def multi3(spark, d):
+    out = multi.chain(_many(spark, d, ("cat_a", "cat_b", "cat_c"), FEW), MatchSpec(radius_arcsec=2.0))
+    return rounded(out.select("id", "id_2", "id_3", "sep_arcsec"), "sep_arcsec")
+
+
+_UNION2 = f"WITH {cte('cat_a', 'cat_b')}, {_BEST_AB} SELECT a.id, b.id AS id_2, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN '1+2' WHEN b.id IS NOT NULL THEN '2' ELSE '1' END AS src_cats, round(b1.sep, 6) AS sep_arcsec FROM cat_a a LEFT JOIN b1 ON a.id = b1.l_id FULL JOIN cat_b b ON b.id = b1.r_id"
+
+
+@query("union2", _UNION2)
+def union2(spark, d):
+    out = multi.chain(_many(spark, d, ("cat_a", "cat_b"), FEW), MatchSpec(radius_arcsec=2.0), union=True)
+    return rounded(out.select("id", "id_2", F.col("_src_cats").alias("src_cats"), "sep_arcsec"), "sep_arcsec")
+
+
+# after the first step rows are (a, b) or (b alone); each takes its nearest c, by the position of a where there is one
+_UNION3 = f"""WITH {cte('cat_a', 'cat_b', 'cat_c')}, {_BEST_AB},
+    u AS (SELECT a.id AS a_id, b.id AS b_id, coalesce(a.ra, b.ra) AS ra, coalesce(a.dec, b.dec) AS dec, coalesce(b.id*2+1, a.id*2) AS id FROM cat_a a LEFT JOIN b1 ON a.id = b1.l_id FULL JOIN cat_b b ON b.id = b1.r_id),
+    {banded('u', 'cat_c', 'sep <= 2e0', name='uc', columns='l.a_id, l.b_id, l.id AS l_id, r.id AS r_id')}, c1 AS (SELECT l_id, arg_min(r_id, sep) AS r_id, min(sep) AS sep FROM uc GROUP BY l_id)
+    SELECT u.a_id AS id, u.b_id AS id_2, c.id AS id_3, concat_ws('+', CASE WHEN a_id IS NOT NULL THEN '1' END, CASE WHEN b_id IS NOT NULL THEN '2' END, CASE WHEN c.id IS NOT NULL THEN '3' END) AS src_cats
+    FROM u LEFT JOIN c1 ON u.id = c1.l_id FULL JOIN cat_c c ON c.id = c1.r_id"""
+
+
+@query("union3_seq", _UNION3)
+def union3_seq(spark, d):
+    out = multi.chain(_many(spark, d, ("cat_a", "cat_b", "cat_c"), FEW), MatchSpec(radius_arcsec=2.0), union=True)
+    return out.select("id", "id_2", "id_3", F.col("_src_cats").alias("src_cats"))
+
+
+_STAR = f"""WITH {cte('cat_a', 'cat_b', 'cat_c')}, {_AB}, {_AC}, {_BC},
+    b0 AS (SELECT id AS l_id, NULL AS r_id, NULL AS sep FROM cat_a UNION ALL SELECT * FROM ab), c0 AS (SELECT id AS l_id, NULL AS r_id, NULL AS sep FROM cat_a UNION ALL SELECT * FROM ac),
+    ca AS (SELECT b0.l_id AS a_id, b0.r_id AS b_id, c0.r_id AS c_id, least(b0.sep, c0.sep) AS sep FROM b0 JOIN c0 ON b0.l_id = c0.l_id
+        WHERE b0.r_id IS NOT NULL OR c0.r_id IS NOT NULL OR (b0.l_id NOT IN (SELECT l_id FROM ab) AND b0.l_id NOT IN (SELECT l_id FROM ac))),
+    fb AS (SELECT id FROM cat_b WHERE id NOT IN (SELECT r_id FROM ab)),
+    cb AS (SELECT NULL AS a_id, fb.id AS b_id, bc.r_id AS c_id, bc.sep FROM fb LEFT JOIN bc ON fb.id = bc.l_id),
+    cc AS (SELECT NULL AS a_id, NULL AS b_id, id AS c_id, NULL AS sep FROM cat_c WHERE id NOT IN (SELECT r_id FROM ac) AND id NOT IN (SELECT r_id FROM bc)),
+    t AS (SELECT * FROM ca UNION ALL SELECT * FROM cb UNION ALL SELECT * FROM cc)
+    SELECT a_id AS id, b_id AS id_2, c_id AS id_3, coalesce(round(sep, 6), -1e0) AS sep_arcsec, concat_ws('+', CASE WHEN a_id IS NOT NULL THEN '1' END, CASE WHEN b_id IS NOT NULL THEN '2' END, CASE WHEN c_id IS NOT NULL THEN '3' END) AS src_cats,
+    round(coalesce(a.ra, b.ra, c.ra), 6) AS union_ra FROM t LEFT JOIN cat_a a ON a.id = a_id LEFT JOIN cat_b b ON b.id = b_id LEFT JOIN cat_c c ON c.id = c_id"""
+
+
+def _starred(out: DataFrame) -> DataFrame:
+    value = F.when(F.isnan("sep_arcsec"), -1.0).otherwise(F.round("sep_arcsec", 6))
+    return out.select("id", "id_2", "id_3", value.alias("sep_arcsec"), F.col("_src_cats").alias("src_cats"), F.round("_union_ra", 6).alias("union_ra"))
+
+
+@query("union3_star", _STAR)
+def union3_star(spark, d):
+    return _starred(multi.star_union(_many(spark, d, ("cat_a", "cat_b", "cat_c"), FEW), MatchSpec(radius_arcsec=2.0)))
+
+
+@query("union_cap")
+def union_cap(spark, d):
+    return _starred(multi.star_union(_many(spark, d, ("cat_a", "cat_b", "cat_c"), FEW), MatchSpec(radius_arcsec=2.0), max_tuples=4))
+
+
+# all links of these catalogues join rows of one order, so a bundle is an order with its linked rows
+_FOF = f"""WITH {cte('cat_a', 'cat_b', 'cat_c')}, {_AB}, {_AC}, {_BC},
+    e AS (SELECT l_id AS p, 0 AS kind, r_id AS m FROM ab UNION SELECT l_id, 1, r_id FROM ac UNION SELECT ab.l_id, 1, bc.r_id FROM ab JOIN bc ON ab.r_id = bc.l_id UNION SELECT ac.l_id, 0, bc.l_id FROM ac JOIN bc ON ac.r_id = bc.r_id),
+    g AS (SELECT p, avg(CASE WHEN kind = 0 THEN b.mag END) AS mag_b, count(DISTINCT CASE WHEN kind = 0 THEN m END) AS nb, count(DISTINCT CASE WHEN kind = 1 THEN m END) AS nc FROM e LEFT JOIN cat_b b ON kind = 0 AND b.id = m GROUP BY p)
+    SELECT row_number() OVER (ORDER BY a.id)-1 AS bundle_id, a.id, CAST(1+CASE WHEN nb > 0 THEN 1 ELSE 0 END+CASE WHEN nc > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_cats,
+    concat_ws('+', '1', CASE WHEN nb > 0 THEN '2' END, CASE WHEN nc > 0 THEN '3' END) AS src_cats, round(mag_b, 6) AS mag_2 FROM cat_a a LEFT JOIN g ON a.id = g.p"""
+
+
+@query("fof3", _FOF)
+def fof3(spark, d):
+    out = multi.friends_of_friends(_many(spark, d, ("cat_a", "cat_b", "cat_c"), ("id", "ra", "dec", "mag")), MatchSpec(radius_arcsec=2.0))
+    return rounded(out.select("bundle_id", "id", "n_cats", F.col("_src_cats").alias("src_cats"), "mag_2"), "mag_2")

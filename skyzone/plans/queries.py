@@ -6,12 +6,14 @@ Results are narrowed to ids and rounded numbers, since the last digits of sines
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import multi
+from ..functions.identity import digest
+from ..operators import candidates, multi, observations
 from ..operators.match import id_join, match
 from ..specs import MatchSpec
 from .catalogues import banded, catalogue, cte, frame, sep
@@ -434,3 +436,65 @@ _FOF = f"""WITH {cte('cat_a', 'cat_b', 'cat_c')}, {_AB}, {_AC}, {_BC},
 def fof3(spark, d):
     out = multi.friends_of_friends(_many(spark, d, ("cat_a", "cat_b", "cat_c"), ("id", "ra", "dec", "mag")), MatchSpec(radius_arcsec=2.0))
     return rounded(out.select("bundle_id", "id", "n_cats", F.col("_src_cats").alias("src_cats"), "mag_2"), "mag_2")
+
+
+# ---- observations and candidates ----
+
+_SOURCE = "'skyzone.source.v1:' || sha256('[\"{ns}\",\"int\",' || CAST({id} AS VARCHAR) || ']')"
+_PHOT = {"passband": "r", "value_column": "mag", "error_column": "ra_err", "unit": "ABmag", "method": "psf"}
+_FLUX = {"passband": "f", "value_column": "dec", "error_column": "dec_err", "unit": "mJy"}
+
+
+def _released(spark, d, name: str, ns: str):
+    return replace(catalogue(spark, d, name), release_namespace=ns)
+
+
+@query("source_inventory", f"WITH {cte('cat_a')} SELECT {_SOURCE.format(ns='a1', id='id')} AS source_id, 'a1' AS release_namespace, CAST(id AS VARCHAR) AS native_id, round(ra, 6) AS ra_deg, round(dec, 6) AS dec_deg, epoch AS epoch_jyear, round(mag, 6) AS native_mag FROM cat_a")
+def source_inventory(spark, d):
+    cat = replace(_released(spark, d, "cat_a", "a1"), epoch_column="epoch")
+    out = observations.source_inventory(cat).withColumn("native_mag", F.round("native.mag", 6))
+    return rounded(out.drop("native", "native_id_type"), "ra_deg", "dec_deg")
+
+
+_AB_FLUX = "3.631e3*pow(1e1, -4e-1*{m})"
+_PHOTOMETRY = f"""WITH {cte('cat_a')}, s AS (SELECT *, {_SOURCE.format(ns='a1', id='id')} AS source_id FROM cat_a)
+    SELECT source_id, 'skyzone.photometry.v1:' || sha256('["' || source_id || '","{digest(_PHOT)}"]') AS measurement_id, 'r' AS passband, round(mag, 6) AS native_value, 'measured' AS status,
+        round({_AB_FLUX.format(m='mag')}*1e6, 4) AS flux_ujy, round(({_AB_FLUX.format(m='mag')}-{_AB_FLUX.format(m='(mag+ra_err)')})*1e6, 4) AS lower_ujy, round(({_AB_FLUX.format(m='(mag-ra_err)')}-{_AB_FLUX.format(m='mag')})*1e6, 4) AS upper_ujy, CAST(0 AS INTEGER) AS n_flags FROM s
+    UNION ALL SELECT source_id, 'skyzone.photometry.v1:' || sha256('["' || source_id || '","{digest(_FLUX)}"]'), 'f', round(dec, 6), 'measured', round(dec*1e3, 4), round(dec_err*1e3, 4), round(dec_err*1e3, 4), CAST(0 AS INTEGER) FROM s"""
+
+
+@query("photometry", _PHOTOMETRY)
+def photometry(spark, d):
+    out = observations.normalize_photometry(_released(spark, d, "cat_a", "a1"), [_PHOT, _FLUX])
+    ujy = {"flux_ujy": "flux_jy", "lower_ujy": "flux_error_lower_jy", "upper_ujy": "flux_error_upper_jy"}
+    return out.select("source_id", "measurement_id", "passband", F.round("native_value", 6).alias("native_value"), "status", *[F.round(F.col(c) * 1e6, 4).alias(n) for n, c in ujy.items()], F.size("flags").alias("n_flags"))
+
+
+_CLASS = {"property": "order", "value_column": "order_id", "category": "measured", "method": "catalogue", "unit": "none"}
+
+
+@query("evidence", f"""WITH {cte('cat_b')}, s AS (SELECT *, {_SOURCE.format(ns='b1', id='id')} AS source_id FROM cat_b) SELECT source_id, 'skyzone.property.evidence.v1:' || sha256('["' || source_id || '","{digest(_CLASS)}"]') AS evidence_id,
+    'order' AS property, CAST(order_id AS VARCHAR) AS native_value, 'bigint' AS native_value_type, 'none' AS native_unit, 'measured' AS category, 'unknown' AS reference_frame, '[]' AS input_features_json FROM s""")
+def evidence(spark, d):
+    out = observations.normalize_evidence(_released(spark, d, "cat_b", "b1"), [_CLASS])
+    return out.select("source_id", "evidence_id", "property", "native_value", "native_value_type", "native_unit", "category", "reference_frame", "input_features_json")
+
+
+_PAIRS = f"""WITH {cte('cat_a', 'cat_b')}, {_AB}, e AS (SELECT {_SOURCE.format(ns='a1', id='l_id')} AS source_id, {_SOURCE.format(ns='b1', id='r_id')} AS candidate_id, sep FROM ab),
+    s AS (SELECT {_SOURCE.format(ns='a1', id='id')} AS source_id, 'a1' AS release_namespace FROM cat_a UNION ALL SELECT {_SOURCE.format(ns='b1', id='id')}, 'b1' FROM cat_b)"""
+
+
+@query("candidate_counts", _PAIRS + ", n AS (SELECT source_id, count(*) AS n FROM (SELECT source_id FROM e UNION ALL SELECT candidate_id FROM e) GROUP BY 1) SELECT s.source_id, release_namespace, coalesce(n, 0) AS candidate_count FROM s LEFT JOIN n ON n.source_id = s.source_id")
+def candidate_counts(spark, d):
+    cats = [_released(spark, d, "cat_a", "a1"), _released(spark, d, "cat_b", "b1")]
+    out = candidates.candidate_counts(cats, candidates.candidate_pairs(cats, 2.0))
+    return out.select("source_id", "release_namespace", "candidate_count")
+
+
+@query("hypotheses", _PAIRS + ", h AS (SELECT source_id, candidate_id, -sep*sep/2e0 AS w FROM e UNION ALL SELECT source_id, NULL, -1e0 FROM s WHERE release_namespace = 'a1') SELECT source_id, coalesce(candidate_id, '') AS candidate_id, round(exp(w)/sum(exp(w)) OVER (PARTITION BY source_id), 6) AS probability, CASE WHEN candidate_id IS NULL THEN 'no_match' ELSE 'counterpart' END AS hypothesis_kind FROM h")
+def hypotheses(spark, d):
+    cats = [_released(spark, d, "cat_a", "a1"), _released(spark, d, "cat_b", "b1")]
+    pairs = candidates.candidate_pairs(cats, 2.0).withColumn("log_weight", -F.col("sep_arcsec") * F.col("sep_arcsec") / 2.0)
+    sources = candidates.candidate_counts(cats, pairs)
+    out = candidates.hypotheses(sources, pairs, "b1", no_match_log_weight=-1.0)
+    return out.select("source_id", F.coalesce("candidate_id", F.lit("")).alias("candidate_id"), F.round("probability", 6).alias("probability"), "hypothesis_kind")

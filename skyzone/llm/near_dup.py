@@ -12,11 +12,13 @@ similarity is at least ``threshold`` percent, and groups are the links' connecte
   reach the threshold always have one of the two kinds in common.
 * Registers are banded by ``ROWS``; a band misses a pair at the threshold with 1 - 0.8 ** 5, so all
   of the 40 or 51 bands miss it with less than 2e-7.  Each band's bucket is a candidate set.
-* First each member is compared with one hub of its buckets (the smallest class of the bucket that
-  it shares most bands with).  What is linked so far is contracted.  Then all pairs of a bucket that
-  lie in different components are compared: a pair that lies in one component needs no link.  Pairs
-  of sizes too different, and pairs whose collision-corrected estimate from the registers is more
-  than ``SLACK`` below the threshold, are let go; all others are confirmed on full sets.
+* A bucket's hub is its smallest class.  First each member is compared with the hub that it shares
+  most bands with, and what is linked so far is contracted.  All classes that share a bucket share
+  its hub, so what is left are pairs of different components within a hub's group.  Groups that lie
+  in one component are done.  The others are dealt into blocks of bounded size, every pair of blocks
+  goes to a task, and the task gives only links that join components: no row is made per pair.
+* Pairs of sizes too different, and pairs whose collision-corrected estimate from the registers is
+  more than ``SLACK`` below the threshold, are let go; all others are confirmed on full sets.
 
 Nothing is collected but counts; hot buckets are met by joins that Spark can split.
 
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, stored
-from .components import connected_components
+from ..operators.components import connected_components
 
 MANTISSA = 10
 SMALL = 512
@@ -46,6 +48,8 @@ BUCKETS = 256
 ROWS = 5
 #: Six standard deviations of an estimate from 200 registers at a similarity of 0.8.
 SLACK = 0.17
+#: Most classes and, about, shingles in a block of a group.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -215,14 +219,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: int, salt: int = 64) -> DataFrame:
-    """Pairs confirmed on full sets.
-
-    ``a`` is the side with few different classes.  Its set goes once to each group of up to about
-    ``salt`` partners' worth of pairs, the partners' sets go to their groups, and groups are compared
-    as they stream by: no row ever holds two sets.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(doc_id, s): the sorted shingle hashes, as bytes, of the documents whose ids are wanted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,33 +230,160 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: int, salt: int
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(made, pa.binary())], ["doc_id", "s"])
 
     full = only(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary")
-    full = full.groupBy("doc_id").agg(F.first("s").alias("s"))
-    counts = pairs.groupBy("a").count().withColumn("parts", F.least(F.ceil(F.col("count") / 256), F.lit(salt)))
-    placed = pairs.join(counts.select("a", "parts"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    return full.groupBy("doc_id").agg(F.first("s").alias("s"))
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if not len(small):
+        return 0
+    at = np.searchsorted(large, small)
+    return int((large[np.minimum(at, len(large) - 1)] == small).sum())
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) confirmed on full sets.
+
+    ``a`` is the side with few different classes.  Its set goes once to each group of about 256 of its
+    partners, the partners' sets go to their groups, and sets are compared as they stream by: no row
+    ever holds two sets.
+    """
+    full = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
+    counts = pairs.groupBy("a").count().withColumn("parts", F.ceil(F.col("count") / 256)).select("a", "parts")
+    placed = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", "part")
     theirs = placed.join(full.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "s")
     ours = placed.select("a", "part").distinct().join(full.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "s")
     both = theirs.unionByName(ours).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, name = np.empty(0, dtype=np.uint64), None
+        own = np.empty(0, dtype=np.uint64)
         for batch in batches:
             out: list[tuple[int, int]] = []
             for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("s")):
                 s = np.frombuffer(s.as_py(), dtype=np.uint64)
                 if b is None:
-                    own, name = s, a
-                    continue
-                assert name == a
-                small, large = (s, own) if len(s) < len(own) else (own, s)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                if 100 * common >= threshold * (len(s) + len(own) - common) and common:
+                    own = s
+                elif (k := common(s, own)) and 100 * k >= threshold * (len(s) + len(own) - k):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     return both.mapInArrow(compare, "a long, b long")
 
 
+def joins(ids: list[int], components: list[int], blocks: list[int], sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Links between different components among one or two blocks, none that earlier ones imply.
+
+    With two blocks only pairs across them are compared, as each block is met by itself elsewhere.
+    """
+    parent = {c: c for c in components}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
+    ids, components, blocks, sets = ([x[k] for k in order] for x in (ids, components, blocks, sets))
+    n, comp, block = np.asarray([len(s) for s in sets]), np.asarray(components), np.asarray(blocks)
+    across = len(set(blocks)) > 1
+    both = [sketches(s, threshold) for s in sets]
+    tables = []
+    for k, size in ((0, SINGLE), (1, BUCKETS)):
+        table = np.zeros((len(ids), size), dtype=np.uint16)
+        for i, r in enumerate(both):
+            if r[k] is not None:
+                table[i] = np.frombuffer(r[k], dtype=np.uint16)
+        tables.append((table, np.asarray([r[k] is not None for r in both])))
+    xs, ys = [], []
+    for x in range(len(ids)):
+        # sizes rise, so partners end where they are too large
+        end = int(np.searchsorted(n, n[x] * 100 / threshold, side="right"))
+        y = np.arange(x + 1, end)
+        y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) | (not across))]
+        if not len(y):
+            continue
+        table, there = tables[0] if tables[0][1][x] else tables[1]
+        other, also = tables[1]
+        use = there[y]
+        score = np.zeros(len(y))
+        score[use] = (table[y[use]] == table[x]).mean(1)
+        rest = ~use & also[y] & also[x]
+        score[rest] = (other[y[rest]] == other[x]).mean(1)
+        chance = _chance(max(1, int(n[x]) // (1 if tables[0][1][x] else BUCKETS)), max(1, int(n[x]) // (1 if tables[0][1][x] else BUCKETS)))
+        y = y[(score - chance) / (1 - chance) >= threshold / 100 - SLACK]
+        xs.append(np.full(len(y), x))
+        ys.append(y)
+    if not xs:
+        return []
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    if len(x) > 4 * len(ids):
+        shared = _intersections(sets)
+        k = shared[x, y]
+    else:
+        k = np.asarray([common(sets[i], sets[j]) for i, j in zip(x, y)])
+    good = (100 * k >= threshold * (n[x] + n[y] - k)) & (k > 0)
+    out = []
+    for i, j in zip(x[good].tolist(), y[good].tolist()):
+        a, b = root(components[i]), root(components[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over the hashes that occur twice or more."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times[at] > 1
+    owner, at = owner[often], (np.cumsum(times > 1) - 1)[at[often]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
+        a, b = np.searchsorted(at, [lo, lo + 2048])
+        m = np.zeros((len(sets), 2048), dtype=np.float32)
+        m[owner[a:b], at[a:b] - lo] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _joined(docs: DataFrame, members: DataFrame, n: int, threshold: int) -> DataFrame:
+    """Links within groups: ``members`` has (hub, class_id, component, n_shingles)."""
+    sizes = members.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("all"))
+    sizes = sizes.select("hub", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component")
+    full = _full_sets(docs, members.select(F.col("class_id").alias("doc_id")).distinct(), n)
+    dealt = dealt.join(full.withColumnRenamed("doc_id", "class_id"), "class_id")
+    dealt = dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+        now = None
+
+        def done() -> pa.RecordBatch:
+            out = joins(*held, threshold) if len(set(held[1])) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for hub, i, j, block, name, component, s in zip(*(batch.column(c) for c in ("hub", "i", "j", "block", "class_id", "component", "s"))):
+                key = (hub.as_py(), i.as_py(), j.as_py())
+                if key != now:
+                    if held[0]:
+                        yield done()
+                    held, now = [[], [], [], []], key
+                for column, value in zip(held, (name.as_py(), component.as_py(), block.as_py(), np.frombuffer(s.as_py(), dtype=np.uint64))):
+                    column.append(value)
+        if held[0]:
+            yield done()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group), kept."""
     found = stored(_sets(docs, n, threshold), "sets")
@@ -268,22 +393,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
 
     bands = _bands(classes)
     hubs = bands.groupBy("band").agg(F.min("class_id").alias("hub"), F.count("*").alias("size")).where(F.col("size") > 1)
-    members = stored(bands.join(hubs.select("band", "hub"), "band"), "members")
-
-    spokes = members.where(F.col("hub") != F.col("class_id")).groupBy("class_id", "hub").count()
+    members = bands.join(hubs.select("band", "hub"), "band")
+    spokes = stored(members.where(F.col("hub") != F.col("class_id")).groupBy("class_id", "hub").count(), "spokes")
     best = spokes.groupBy("class_id").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("x"))
     first = best.select((-F.col("x.hub")).alias("a"), F.col("class_id").alias("b"))
     links = stored(_linked(docs, _likely(first, classes, threshold), n, threshold), "links")
     parts = connected_components(links)
 
-    # pairs of one bucket that no link joins yet
-    own = members.join(parts, members.class_id == parts.node, "left").select("band", "class_id", F.coalesce("component", "class_id").alias("component"))
-    mixed = own.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    own = own.join(mixed, "band").join(only(classes, "class_id", "n_shingles"), "class_id")
-    left, right = own.alias("l"), own.alias("r")
-    rest = left.join(right, F.expr(f"l.band = r.band AND l.class_id < r.class_id AND l.component != r.component AND 100 * least(l.n_shingles, r.n_shingles) >= {threshold} * greatest(l.n_shingles, r.n_shingles)"))
-    rest = rest.select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(_linked(docs, stored(_likely(rest, classes, threshold), "likely"), n, threshold), "links")
+    # groups that more than one component has part in
+    own = spokes.select("hub", "class_id").unionByName(spokes.select("hub", F.col("hub").alias("class_id")).distinct())
+    own = own.join(parts, own.class_id == parts.node, "left").select("hub", "class_id", F.coalesce("component", "class_id").alias("component"))
+    mixed = own.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub")
+    own = stored(own.join(mixed, "hub").join(only(classes, "class_id", "n_shingles"), "class_id"), "mixed")
+    more = stored(_joined(docs, own, n, threshold), "links")
     parts = connected_components(links.unionByName(more)) if more.take(1) else parts
 
     groups = only(classes, "digest", "class_id").join(parts, F.col("class_id") == F.col("node"), "left")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.identity import digest
-from ..operators import candidates, multi, observations
+from ..operators import associations, candidates, multi, observations
 from ..operators.match import id_join, match
 from ..specs import MatchSpec
 from .catalogues import banded, catalogue, cte, frame, sep
@@ -498,3 +498,60 @@ def hypotheses(spark, d):
     sources = candidates.candidate_counts(cats, pairs)
     out = candidates.hypotheses(sources, pairs, "b1", no_match_log_weight=-1.0)
     return out.select("source_id", F.coalesce("candidate_id", F.lit("")).alias("candidate_id"), F.round("probability", 6).alias("probability"), "hypothesis_kind")
+
+
+# ---- associations ----
+
+_MADE = {"input_release_ids": ["a1", "b1"], "parameters_sha256": "sha256:" + "0" * 64, "software_version": "1"}
+_RECORDS = f"""WITH {cte('cat_a', 'cat_b')}, {_AB}, r AS (SELECT 'e' || CAST(l_id AS VARCHAR) || '-' || CAST(r_id AS VARCHAR) AS evidence_id, CAST(l_id AS VARCHAR) AS source_id, CAST(r_id AS VARCHAR) AS candidate_id, sep FROM ab)"""
+
+
+def _records(spark, d) -> DataFrame:
+    pairs = pair(spark, d, MatchSpec(radius_arcsec=2.0, find="all"), columns=FEW)
+    return pairs.select(
+        F.concat(F.lit("e"), F.col("id").cast("string"), F.lit("-"), F.col("id_2").cast("string")).alias("evidence_id"),
+        F.col("id").cast("string").alias("source_id"),
+        F.col("id_2").cast("string").alias("candidate_id"),
+        F.lit("sky").alias("method"),
+        F.lit("1").alias("method_version"),
+        F.col("sep_arcsec").alias("separation_arcsec"),
+        F.lit(2016.0).alias("evaluation_epoch_jyear"),
+        F.when(F.col("sep_arcsec") < 0.9, "selected").otherwise("candidate").alias("decision"),
+        F.lit("sep").alias("score_name"),
+        F.col("sep_arcsec").alias("score_value"),
+        F.lit("ranking_score").alias("score_semantics"),
+        F.lit(None).cast("string").alias("calibration_id"),
+        F.array().cast("array<string>").alias("flags"),
+    )
+
+
+_IDENTITY = """'skyzone.association.v1:' || sha256('{"candidate_id":"' || candidate_id || '","evaluation_epoch_jyear":2016.0,"evidence_id":"' || evidence_id || '","input_release_ids":["a1","b1"],"method":"sky","method_version":"1","parameters_sha256":"sha256:' || repeat('0', 64) || '","schema_version":"skyzone.association.v1","software_version":"1","source_id":"' || source_id || '"}')"""
+
+
+@query("assoc_ids", f"{_RECORDS} SELECT source_id, candidate_id, {_IDENTITY} AS association_id FROM r")
+def assoc_ids(spark, d):
+    return associations.with_identity(_records(spark, d), _MADE).select("source_id", "candidate_id", "association_id")
+
+
+_MEMBERS = """m AS (SELECT 'a1' AS rel, source_id AS root, source_id AS member FROM {r} UNION SELECT 'b1', source_id, candidate_id FROM {r}),
+    n AS (SELECT root, 'skyzone.association.component.v1:' || sha256('{{"association_release_id":"{release}","member_count":' || CAST(count(*) AS VARCHAR) || ',"members_sha256":"sha256:' || sha256(string_agg('{{"input_release_id":"' || rel || '","member_id":"' || member || '"}}' || chr(10), '' ORDER BY rel, member)) || '","schema_version":"skyzone.association.component.v1"}}') AS component_id FROM m GROUP BY root)"""
+
+
+@query("components", f"{_RECORDS}, s AS (SELECT * FROM r WHERE sep < 9e-1), {_MEMBERS.format(r='s', release='rel1')} SELECT component_id, rel AS input_release_id, member AS member_id FROM m JOIN n ON m.root = n.root")
+def components(spark, d):
+    return associations.components(_records(spark, d), "rel1", "a1", "b1", ("selected",))
+
+
+# two partitions of a and b detections: by 0.9 and by 1.3 arcseconds
+_DELTAS = f"""{_RECORDS}, p AS (SELECT * FROM r WHERE sep < 9e-1 AND CAST(source_id AS BIGINT)%3 <> 0), q AS (SELECT * FROM r WHERE sep < 1.3e0 AND CAST(source_id AS BIGINT)%5 <> 0),
+    pc AS (SELECT DISTINCT source_id FROM p), qc AS (SELECT DISTINCT source_id FROM q)
+    SELECT kind, count(*) AS n FROM (SELECT CASE WHEN pc.source_id IS NULL THEN 'created' WHEN qc.source_id IS NULL THEN 'retired' ELSE 'continued' END AS kind FROM pc FULL JOIN qc ON pc.source_id = qc.source_id) GROUP BY kind"""
+
+
+@query("deltas", _DELTAS)
+def deltas(spark, d):
+    records = _records(spark, d)
+    was = associations.components(records.where("CAST(source_id AS BIGINT)%3 <> 0"), "rel1", "a1", "b1", ("selected",))
+    wider = records.withColumn("decision", F.when(F.col("separation_arcsec") < 1.3, "selected").otherwise("candidate"))
+    now = associations.components(wider.where("CAST(source_id AS BIGINT)%5 <> 0"), "rel2", "a1", "b1", ("selected",))
+    return associations.deltas(now, was).groupBy("kind").agg(F.count("*").alias("n"))

@@ -15,6 +15,7 @@ from ..functions import geometry as g
 from ..functions.identity import digest
 from ..operators import associations, candidates, multi, observations
 from ..operators.match import id_join, match
+from ..sources import tiles
 from ..specs import MatchSpec
 from .catalogues import banded, catalogue, cte, frame, sep
 
@@ -555,3 +556,27 @@ def deltas(spark, d):
     wider = records.withColumn("decision", F.when(F.col("separation_arcsec") < 1.3, "selected").otherwise("candidate"))
     now = associations.components(wider.where("CAST(source_id AS BIGINT)%5 <> 0"), "rel2", "a1", "b1", ("selected",))
     return associations.deltas(now, was).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# ---- tiles ----
+
+
+def _tiled(spark, d: str, name: str) -> str:
+    """The folder of a catalogue's tiles, written anew."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyzone-")
+    path = f"{folder.removeprefix('file://').removeprefix('file:').rstrip('/')}/{name}-{uuid.uuid4().hex}.hats"
+    tiles.write(frame(spark, d, name).select("id", "ra", "dec", "mag"), path, "ra", "dec", 500)
+    return path
+
+
+@query("hats_roundtrip", f"WITH {cte('cat_a')} SELECT id, round(ra, 6) AS ra, round(dec, 6) AS dec, round(mag, 6) AS mag FROM cat_a")
+def hats_roundtrip(spark, d):
+    return rounded(tiles.read(spark, _tiled(spark, d, "cat_a")), "ra", "dec", "mag")
+
+
+@query("hats_cone", f"WITH {cte('cat_a')} SELECT id, round(ra, 6) AS ra, round(dec, 6) AS dec, round(mag, 6) AS mag FROM cat_a WHERE {_HAVERSINE} <= 1.5e1")
+def hats_cone(spark, d):
+    return rounded(tiles.read_cone(spark, _tiled(spark, d, "cat_a"), (10.0, 20.0), 15.0), "ra", "dec", "mag")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,20 @@ def crc_mod(col, mod: int):
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns can't clash with those added later."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def lowest(df: DataFrame, column: str, n: int, total: int) -> DataFrame:
+    """The ``n`` rows whose hash of ``column`` is lowest, of about ``total``.
+
+    Hashes above twice the share that is wanted are let go before the sort, so what meets in one task
+    is about ``2 * n`` rows, however many partitions there are.
+    """
+    top = 1 << 31
+    h = F.pmod(F.xxhash64(column), F.lit(top))
+    share = min(1.0, 2 * n / max(1, total))
+    return df.where(h < int(top * share)).orderBy(h, column).limit(n)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often and in whatever loops it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

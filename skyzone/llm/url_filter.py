@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import lowest, only
 
 # The rules (verdict, host, path) of the registered query.
 RULES = (
@@ -206,9 +206,10 @@ def boost(rows: list[tuple[str, str, str, int]]) -> Boosted:
 def labelled(known: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(url, host, path, blocked) of at most ``per_class`` different URLs of each verdict."""
     own = known.where("won IS NOT NULL").select("url", "host", "path", (F.col("won.verdict") == "block").cast("int").alias("blocked")).distinct()
+    totals = {r.blocked: r["count"] for r in own.groupBy("blocked").count().collect()}
     out = None
     for value in (0, 1):
-        part = own.where(F.col("blocked") == value).orderBy(F.xxhash64("url"), "url").limit(per_class)
+        part = lowest(own.where(F.col("blocked") == value), "url", per_class, totals.get(value, 0))
         out = part if out is None else out.unionByName(part)
     return out
 

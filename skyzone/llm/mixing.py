@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stored
+from .common import let, only, stored
 
 #: Letters whose counts the classifier reads; fixed values.
 FEATURES = "ethwunakéèçäöüßñóí"
@@ -39,17 +39,20 @@ FLATTEN = 0.7
 LEAST = 1.0
 
 
-def _counts(text: Column) -> list[Column]:
-    lowered = F.lower(text)
-    own = [(F.length(lowered) - F.length(F.replace(lowered, F.lit(c)))).cast("double") for c in FEATURES]
-    return [*own, F.length(text).cast("double")]
+def _letters(text: Column) -> Column:
+    """Counts of the features, and of all characters."""
+
+    def counted(lowered: Column) -> Column:
+        return F.array(*[(F.length(lowered) - F.length(F.replace(lowered, F.lit(c)))).cast("double") for c in FEATURES], F.length(lowered).cast("double"))
+
+    return let(F.lower(text), counted)
 
 
 def _features(text: Column) -> tuple[Column, Column]:
     """Tokens (one more than there are white-space characters) and letter counts of a text."""
     blanks = F.length(text) - F.length(F.translate(text, " \n\t\r", ""))
     tokens = F.when(F.length(text) > 0, blanks + 1).otherwise(0).cast("double")
-    return tokens, F.array(*_counts(text))
+    return tokens, _letters(text)
 
 
 @dataclass
@@ -65,25 +68,27 @@ class Mix:
     def posterior(self, letters: Column) -> Column:
         if len(self.domains) == 1:
             return F.array(F.lit(1.0))
-        # the last count is of all characters; those of no feature share one cell
-        rest = F.get(letters, F.lit(len(FEATURES))) * 2 - F.aggregate(letters, F.lit(0.0), lambda a, x: a + x)
-        own = F.concat(F.slice(letters, 1, len(FEATURES)), F.array(rest))
-        seen = F.get(letters, F.lit(len(FEATURES)))
-        scale = F.when(seen > LETTERS, LETTERS / seen).otherwise(1.0)
         rows = F.array(*[F.array(*[F.lit(x) for x in row]) for row in self.table])
-        like = F.transform(rows, lambda row: scale * F.aggregate(F.zip_with(own, row, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
-        logs = F.zip_with(like, F.array(*[F.lit(x) for x in self.prior]), lambda a, b: a + b)
-        raised = F.transform(logs, lambda x: F.exp(x))
-        # scores are at least exp(-LETTERS * 12), which a double holds
-        return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+        def scored(counts: Column) -> Column:
+            # the last count is of all characters; those of no feature share one cell
+            seen = F.get(counts, F.lit(len(FEATURES)))
+            own = F.concat(F.slice(counts, 1, len(FEATURES)), F.array(seen * 2 - total(counts)))
+            scale = F.when(seen > LETTERS, LETTERS / seen).otherwise(1.0)
+            # a score is exp(-12 * LETTERS) or more, which a double holds
+            of = lambda own: F.zip_with(F.transform(rows, lambda row: scale * total(F.zip_with(own, row, lambda a, b: a * b))), F.array(*[F.lit(x) for x in self.prior]), lambda a, b: F.exp(a + b))
+            return let(own, of)
+
+        return let(let(letters, scored), lambda e: F.transform(e, lambda x: x / total(e)))
 
     def rate(self, p: Column) -> Column:
         """The rate that the gradients so far lead to, for a posterior."""
         if not self.gradients:
             return F.lit(1.0)
         past = F.array(*[F.array(*[F.lit(x) for x in g]) for g in self.gradients])
-        dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.aggregate(past, F.lit(1.0), lambda r, g: F.greatest(F.lit(self.least), r - dot(g)))
+        dot = lambda p, g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        return let(p, lambda p: F.aggregate(past, F.lit(1.0), lambda r, g: F.greatest(F.lit(self.least), r - dot(p, g))))
 
     def copies(self, rate: Column) -> Column:
         """The rate rounded up or down by a hash of the document's id, true to it on average."""
@@ -130,10 +135,13 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
         share = [x / total for x in now]
         goal = flattened(share) if targets is None else [targets.get(d, 0.0) / (sum(targets.values()) or 1.0) for d in out.domains]
         grown = max([least * s / g for s, g in zip(share, goal) if g > 0] + [1.0])
+        last = math.inf
         for _ in range(steps):
             g = [x / (total * grown) - s for x, s in zip(now, goal)]
-            if max(map(abs, g)) < 1e-4:
+            worst = max(map(abs, g))
+            if worst < 1e-4 or worst > 0.99 * last:  # met, or as near as the least rate lets it come
                 break
+            last = worst
             out.gradients.append([round(grown * x / h, 9) if h else 0.0 for x, h in zip(g, share)])
             now = expected()
     return out, soft
@@ -157,8 +165,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 def resampled(docs: DataFrame, fitted: Mix) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its copies; rates come from the texts again, so no join is needed."""
     rate = fitted.rate(fitted.posterior(_features(F.coalesce("text", F.lit("")))[1]))
-    out = docs.withColumn("_copies", fitted.copies(rate)).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    # one use of the copies, since Spark would compute them anew for each
+    return docs.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), fitted.copies(rate)))).drop("_copy")
 
 
 def labelled_by_language(docs: DataFrame) -> DataFrame:

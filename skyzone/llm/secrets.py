@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import let, lowest, only
 
 # The rules' patterns and least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -87,7 +87,7 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
         F.explode(F.array(F.regexp_replace(F.base64(F.unhex(digest)), "=+$", ""), F.substring(digest, 1, 40), F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)))).alias("token")
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    head = only(docs, "doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    head = lowest(only(docs, "doc_id", "text"), "doc_id", SAMPLE_DOCS, docs.count())
     words = head.select(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,19}"), F.lit(0)).alias("w")).where(F.size("w") > 0)
     four = F.slice("w", 1, 4)
     ordinary = words.select(
@@ -146,8 +146,7 @@ def _added(text: Column, base: Column, table: list[float], threshold: float) ->
 
 
 def all_spans(text: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
-    base = F.concat(*base_spans(text).values())
-    return F.array_sort(F.concat(base, _added(text, base, table, threshold)), _before)
+    return let(F.concat(*base_spans(text).values()), lambda base: F.array_sort(F.concat(base, _added(text, base, table, threshold)), _before))
 
 
 def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
@@ -171,17 +170,18 @@ def redacted(text: Column, spans: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit("[SECRET]"))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    def whole(spans: Column) -> Column:
+        out = let(F.aggregate(spans, start, step), lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+        return F.when(F.size(spans) > 0, out).otherwise(text)
+
+    return let(spans, whole)
 
 
 def redact_documents(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, with every span in ``text`` replaced; null texts stay null."""
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = all_spans(text, table, threshold)
-    out = docs.withColumn("_spans", spans)
-    new = F.when(F.col("text").isNull(), F.col("text")).otherwise(redacted(text, F.col("_spans")))
-    out = out.withColumn("text", new).drop("_spans")
+    out = docs.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(redacted(text, spans)))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

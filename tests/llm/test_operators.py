@@ -231,6 +231,25 @@ def test_secrets(spark, nothing):
     assert secrets.scan(nothing, table).count() == 0
 
 
+def test_secrets_of_every_alphabet_at_the_production_threshold(spark):
+    rng = random.Random(12)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trained, others = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1").select("text").limit(300).collect()
+    table = secrets.train(secrets.labelled_sample(trained))
+    words_ = sorted(set(re.findall("[A-Za-z]{5,19}", " ".join(r.text or "" for r in others))))
+    alphabets = {"base36": string.ascii_uppercase + string.digits, "base32": string.ascii_uppercase + "234567", "hex": string.digits + "ABCDEF", "lower": string.ascii_lowercase, "alnum": string.ascii_letters + string.digits}
+    rows = [(name, f"key {''.join(rng.choices(letters, k=n))} end") for name, letters in alphabets.items() for n in (20, 24, 40) for _ in range(100)]
+    joins = ["_".join, "-".join, "/".join, lambda w: "_".join(w).upper(), lambda w: "".join(map(str.capitalize, w))]
+    rows += [("ordinary", f"key {rng.choice(joins)(rng.sample(words_, 4))} end") for _ in range(300)]
+    df = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(rows)], "doc_id long, name string, text string")
+    found = {r.doc_id: len(r["all"]) for r in secrets.scan(df, table).collect()}
+    gone = {r.doc_id: r.text == "key [SECRET] end" for r in secrets.redact_documents(df, table).collect()}
+    for name in [*alphabets, "ordinary"]:
+        own = [i for i, (x, _) in enumerate(rows) if x == name]
+        for hits in (sum(found[i] == 1 for i in own), sum(gone[i] for i in own)):
+            assert hits <= 0.01 * len(own) if name == "ordinary" else hits >= 0.97 * len(own), (name, hits, len(own))
+
+
 # ---- media ----
 
 

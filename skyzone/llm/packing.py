@@ -18,6 +18,8 @@ rows are packed one by one; extra columns are ignored; no rows give no rows.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -50,9 +52,12 @@ class WordEncoder(dict):
     The pre-tokenizer never joins a non-space to the space or newline after it, so a text whose
     white space is single spaces and newlines falls apart before each of them.  Other texts are
     encoded whole.  The memory is emptied when it holds ``limit`` chunks.
+
+    ``added`` are the tokenizer's added tokens and their ids; texts are split at them first, the
+    leftmost and longest, as the tokenizer does.
     """
 
-    def __init__(self, path: str, limit: int = CACHE):
+    def __init__(self, path: str, limit: int = CACHE, added: dict[str, int] | None = None):
         import tiktoken
 
         import public_tokenizers
@@ -61,6 +66,8 @@ class WordEncoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.limit = limit
+        self.added = {token: array("I", [k]).tobytes() for token, k in (added or {}).items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def plain(self, text: str) -> bytes:
         return array("I", self.bpe.encode_ordinary(text)).tobytes()
@@ -75,6 +82,12 @@ class WordEncoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.marks is None or not self.marks.search(text):
+            return self.between(text)
+        return b"".join(self.added.get(part) or self.between(part) for part in self.marks.split(text) if part)
+
+    def between(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         head, *rest = text.replace("\n", " \n").split(" ")
         if not head or head[-1].isspace():
             return self.plain(text)
@@ -90,11 +103,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer's JSON and their ids; those that match in other ways than by their text alone are refused."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in found):
+        raise ValueError("an added token takes in what stands beside it")
+    return {x["content"]: x["id"] for x in found}
+
+
 def tokenize(docs: DataFrame, *, capacity: int = CAPACITY[0], path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens of every document, with the CRC of their ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path or tokenizer_path())
+        encoder = WordEncoder(path or tokenizer_path(), added=added_tokens(tokenizer_path("byte_bpe_50k.json")))
         closing = np.asarray([CLOSING_ID], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -72,6 +72,23 @@ def test_pieces_and_packing(docs, texts, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    rows = [f"hello {end} world", end, end * 3, f"a  {end}  b", f" {end}\n{end}\n\nc", f"x{end}y", "<|endoftext|", f"<|{end}|> {end.upper()}", f"one\n {end} two  three\n", f"{'word ' * 1500}{end}{' word' * 1500}", None, "plain text"]
+    by_doc = {}
+    for r in packing.pack_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), with_ids=True).collect():
+        by_doc.setdefault(r.doc_id, []).append(r)
+    for i, text in enumerate(rows):
+        own = sorted(by_doc[i], key=lambda r: r.piece)
+        assert [x for r in own for x in np.frombuffer(r.ids, "<u4")] == [*t.encode(text or "", add_special_tokens=False).ids, 2], text
+        assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in own)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_constraint(rule):
     lengths = np.asarray(random.Random(1).choices(range(1, 1025), k=2000))

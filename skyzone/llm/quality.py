@@ -2,7 +2,9 @@
 
 A text's terms are the shapes of its tokens (runs of lower-case letters, capitals and digits as
 ``a``, ``A`` and ``0``, other characters as they are, runs cut to three), pairs of neighbouring
-shapes, and one term for a token that repeats the one before it.  Terms get sublinear TF times IDF
+shapes, and one term for a token that repeats the one before it.  A token of more than ``PIECE``
+characters, or whose shape has more than ``SYMBOLS``, is cut into consecutive pieces, each of which
+has a shape of its own, so all of it counts.  Terms get sublinear TF times IDF
 (document frequencies over all documents); a truncated singular value decomposition of the labelled
 sample's matrix (at most ``PER_CLASS`` rows of each class) gives ``DIMENSIONS`` latent dimensions.
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -39,33 +42,45 @@ SHAPES = 600
 THRESHOLD = 0.3
 ROWS = 512
 MEMO = 300_000
+PIECE = 64
+SYMBOLS = 12
 
 _runs = re.compile(r"([^\W\d_A-Z])+|([A-Z])+|(\d)+|((.)\5{0,2})\5*", re.S)
 
 
-def shape(token: str) -> str:
+def shape(piece: str) -> str:
     """``Ab12!!!!`` gives ``Aa0!!!``."""
     out = []
-    for m in _runs.finditer(token[:64]):
+    for m in _runs.finditer(piece):
         if m[1] or m[2]:
             run = "A" if m[0].isupper() else "a"
             if not out or out[-1] != run:
                 out.append(run if len(m[0]) > 1 or run == "a" else "A")
         else:
             out.append("0" if m[3] else m[4])
-    return "".join(out)[:12]
+    return "".join(out)
+
+
+def token_shapes(token: str) -> Iterator[str]:
+    """Shapes of the consecutive pieces of a whole token."""
+    for at in range(0, len(token), PIECE):
+        whole = shape(token[at : at + PIECE])
+        for k in range(0, len(whole), SYMBOLS):
+            yield whole[k : k + SYMBOLS]
 
 
 class Shapes(dict):
-    """Numbers of the shapes of tokens; 0 for shapes that aren't known."""
+    """Numbers of the shapes of tokens' pieces; 0 for shapes that aren't known."""
 
     def __init__(self, known: list[str]):
         self.place = {s: k + 1 for k, s in enumerate(known)}
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[token] = self.place.get(shape(token), 0)
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        out = tuple(self.place.get(s, 0) for s in token_shapes(token))
+        if len(token) <= PIECE:  # longer ones rarely come again
+            if len(self) >= MEMO:
+                self.clear()
+            self[token] = out
         return out
 
     def count(self, text: str | None) -> dict[int, int]:
@@ -74,7 +89,7 @@ class Shapes(dict):
         if not tokens:
             return {}
         base = len(self.place) + 1
-        s = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        s = np.fromiter(chain.from_iterable(map(self.__getitem__, tokens)), dtype=np.int64)
         one = np.bincount(s, minlength=base)
         out = {int(k): int(one[k]) for k in one.nonzero()[0]}
         pair, n = np.unique(s[:-1] * base + s[1:], return_counts=True)
@@ -144,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", held: i
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column("text"):
-                own = sorted({shape(t) for t in set((text.as_py() or "").split())})
+                own = sorted({s for t in set((text.as_py() or "").split()) for s in token_shapes(t)})
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["shape"])
 
     common = only(sample, "text").mapInArrow(shapes, "shape string").groupBy("shape").count().orderBy(F.desc("count"), "shape").limit(SHAPES)

@@ -460,6 +460,21 @@ def test_quality_on_held_out_documents(labelled, nothing):
     assert quality.score(nothing, model).count() == 0
 
 
+def test_quality_reads_the_whole_of_long_tokens(spark):
+    rng = random.Random(4)
+    head = "".join(rng.choices(string.ascii_lowercase, k=70))
+    good = lambda: head + "".join(rng.choice(("abc.", "de,")) for _ in range(200))
+    bad = lambda: head + "".join(rng.choice(("{1}", "[22];")) for _ in range(200))
+    rows = [(i, (good if i % 2 else bad)()) for i in range(300)]  # no spaces, and the first 64 characters are the same
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == (i % 2 == 1) for i in held]) > 0.97
+    shapes = quality.Shapes(["a", "0a0a0a0a0a0a"])
+    assert shapes.count("x" * 640) == {1: 10, 7: 9} and shapes.count("0a" * 6) == {2: 1} and shapes.count("0a" * 18) == {2: 3, 11: 2}
+
+
 # ---- mixing ----
 
 

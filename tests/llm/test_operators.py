@@ -500,3 +500,14 @@ def test_mixing_meets_its_targets(spark, nothing):
     free = mixing.mix(df, df.select("doc_id", F.lit(None).cast("string").alias("domain")))
     assert {(r.rate, r.domain) for r in free.collect()} == {(1.0, "")}
     assert mixing.mix(nothing, mixing.labelled_by_language(nothing)).count() == 0
+
+
+def test_mixing_goes_on_until_targets_are_met_or_steps_end(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labelled = mixing.labelled_by_language(docs)
+    goal = {r.domain: 1.0 for r in labelled.where("domain IS NOT NULL").select("domain").distinct().collect()}
+    fitted, soft = mixing.fit(docs, labelled, goal)
+    rows = soft.select("tokens", "p", fitted.rate(F.col("p")).alias("rate")).collect()
+    total = sum(r.rate * r.tokens * np.asarray(r.p) for r in rows)
+    worst = np.abs(total / total.sum() - 1 / len(goal)).max()
+    assert len(fitted.gradients) == mixing.STEPS or worst < 1e-4

@@ -33,8 +33,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Runs that the models score; a run starts and ends where these characters do.
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-#: Nats a pair, from held-out samples: of random strings of 20 characters, at most 1.1 % score 0.5 or less in any alphabet with words of
-#: sf0.1 (0.9 % with those of sf0.01), and no identifier made of held-out words scores over 0.  Identifiers of a language that the sample lacks can score more.
+#: Nats a pair: of held-out random strings of 20 characters, at most 1.1 % score 0.5 or less in any alphabet with words of
+#: sf0.1 (0.9 % with those of sf0.01), and none of 6000 identifiers joined of words of sf0.1 (the sample's among them) scores over 0.2.  Identifiers of a language that the sample lacks can score more.
 THRESHOLD = 0.5
 SAMPLE_DOCS = 2000
 SAMPLE_RANDOM = 4000

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import logging
 import math
-import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +22,7 @@ from ..catalogue import Catalogue, bad_coordinate, bad_error, check_frames
 from ..errors import MatchError
 from ..functions import motion
 from ..functions.geometry import separation_of, unit_vector, wrapped
+from ..shared import stored as checkpointed
 from ..specs import MatchSpec
 from .zonejoin import zone_join
 
@@ -33,18 +33,6 @@ SEP = "sep_arcsec"
 UNKNOWN_SIGMA = 0.5
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder; kept on executors' disks where there is none."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        from pyspark import StorageLevel
-
-        return df.persist(StorageLevel.DISK_ONLY)
-    path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Side:
     """A catalogue ready to match: ``rows`` has all columns and ``_row``, ``slim`` what the search needs."""

@@ -11,6 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import geometry as g
 from ..functions.identity import digest
 from ..operators import associations, candidates, multi, observations
@@ -563,11 +564,7 @@ def deltas(spark, d):
 
 def _tiled(spark, d: str, name: str) -> str:
     """The folder of a catalogue's tiles, written anew."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyzone-")
-    path = f"{folder.removeprefix('file://').removeprefix('file:').rstrip('/')}/{name}-{uuid.uuid4().hex}.hats"
+    path = f"{shared.fresh(spark, name).removeprefix('file://').removeprefix('file:')}.hats"
     tiles.write(frame(spark, d, name).select("id", "ra", "dec", "mag"), path, "ra", "dec", 500)
     return path
 

@@ -7,12 +7,11 @@ table ``documents``.  All stages but the last return the columns of ``documents`
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from skyzone.llm import mixing, near_dup, packing, secrets, toxicity
-from skyzone.llm.common import shared_dir, table
+from skyzone.llm.common import table
+from skyzone.shared import fresh
 
 # Neither vote nor packing can be written in SQL; tests hold them against brute force.
 ORACLE_SQL = None
@@ -59,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+            path = fresh(spark, name)
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs

@@ -6,13 +6,17 @@ that fits under every constraint and scores best: smallest weighted norm of what
 (``norm``), or largest weighted dot product of demand and residual (``dot``).  Ties go to the
 sequence opened first.
 
-Packing works within a task, ``window`` pieces at a time, so it needs no shuffle and its memory has
-a bound; a window wastes at most the ends of its last few sequences.  Sequence numbers hold the
-partition number, so a task that runs again gives the same numbers.
+Packing takes two rounds of windows of ``window`` pieces, so memory has a bound.  The first works
+within a task and needs no shuffle; of its sequences those with over ``LOOSE`` of every capacity left
+are taken apart, and the second round packs their pieces again, dealt evenly to as few windows as
+hold them.  What is wasted is the ends of the last few sequences of a window, whatever the number of
+partitions.  The first round is written, the second deals rows in a fixed order, and sequence numbers
+hold round and partition, so tasks that run again give the same numbers.
 
 Defined cases: null text is empty text and is one piece, the closing id alone; documents longer than
-the token capacity are cut into pieces of that capacity, the first of which may be shorter; equal
-rows are packed one by one; extra columns are ignored; no rows give no rows.
+the token capacity are cut into pieces of that capacity, the first of which may be shorter; very long texts are encoded
+whole; equal rows are packed one by one, and null ids stay null; ties go to the sequence opened
+first; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, stored
 
 CAPACITY = (1024, 1024, 1024 * 1024)
 WEIGHTS = (1.0, 0.01, 0.1)
 WINDOW = 8192
+LOOSE = 0.02
 CACHE = 400_000
 CLOSING_ID = 2
 
@@ -177,32 +182,43 @@ def best_fit(lengths: np.ndarray, capacity=CAPACITY, weights=WEIGHTS, rule: str
     return bins, offset
 
 
+def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows of a task, ``size`` at a time."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= size:
+            whole = pa.Table.from_batches(held)
+            for at in range(0, n - n % size, size):
+                yield whole.slice(at, size).combine_chunks()
+            held, n = whole.slice(n - n % size).to_batches(), n % size
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def pack(pieces: DataFrame, *, capacity=CAPACITY, weights=WEIGHTS, rule: str = "norm", window: int = WINDOW) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, start, length, ids_crc32, ids)."""
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId() << 36
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal made, held
-            whole = pa.Table.from_batches(held)
-            held = []
-            for at in range(0, whole.num_rows, window):
-                part = whole.slice(at, window).combine_chunks()
-                bins, offset = best_fit(part.column("length").to_numpy(), capacity, weights, rule)
-                part = part.append_column("sequence_id", pa.array(bins + made)).append_column("offset", pa.array(offset))
-                made += int(bins.max()) + 1 if len(bins) else 0
+    def packed(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made = last << 61 | TaskContext.get().partitionId() << 36
+            for part in _windows(batches, window):
+                lengths = part.column("length").to_numpy()
+                bins, offset = best_fit(lengths, capacity, weights, rule)
+                left = 1 - np.stack([np.bincount(bins, lengths.astype(float) ** k) for k in (1, 0, 2)], 1) / np.asarray(capacity, dtype=float)
+                loose = (left > LOOSE).all(1)[bins] & (not last)
+                part = part.append_column("sequence_id", pa.array(bins + made, mask=loose)).append_column("offset", pa.array(offset, mask=loose))
+                made += int(bins.max()) + 1
                 yield from part.to_batches()
 
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= window:
-                yield from flush()
-        if held:
-            yield from flush()
+        return run
 
-    return pieces.mapInArrow(packed, PACKED)
+    first = stored(pieces.mapInArrow(packed(False), PACKED), "packed")
+    loose = first.where("sequence_id IS NULL").drop("sequence_id", "offset")
+    again = loose.repartition(max(1, -(-loose.count() // window))).mapInArrow(packed(True), PACKED)
+    return first.where("sequence_id IS NOT NULL").unionByName(again)
 
 
 def pack_documents(docs: DataFrame, *, capacity=CAPACITY, weights=WEIGHTS, rule: str = "norm", window: int = WINDOW, path: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, shared_dir, stored
+from .common import only, stored
+from ..shared import fresh
 
 GAP = 64 << 10
 READ = 8 << 20
@@ -102,7 +102,7 @@ def _filesystem(uri: str):
 def write_archives(pages: DataFrame, *, least: int = 0) -> DataFrame:
     """Write the archives; the index of all records, read from where it was written."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = fresh(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _filesystem(folder)

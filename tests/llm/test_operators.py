@@ -52,7 +52,6 @@ def test_pieces_and_packing(docs, texts, nothing):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.pack_documents(docs, with_ids=True).collect()
     by_doc = {}
     for r in rows:
@@ -105,6 +104,21 @@ def test_best_fit_keeps_every_constraint(rule):
         packing.best_fit(np.asarray([1025]))
 
 
+def test_packing_does_not_follow_the_partitioning(spark):
+    rng = random.Random(6)
+    lengths = [min(1024, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(6000)]
+    df = spark.createDataFrame([(i, 0, 0, n, 0, None) for i, n in enumerate(lengths)], packing.PIECES)
+    bound = sum(lengths) / 1024
+    for parts in (1, 32, 200):
+        rows = packing.pack(df.repartition(parts)).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(6000))
+        bins = {}
+        for r in rows:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert all(o == sum(n for _, n in sorted(own)[:k]) for own in bins.values() for k, (o, _) in enumerate(sorted(own)))
+        assert max(sum(n for _, n in own) for own in bins.values()) <= 1024 and len(bins) <= 1.005 * bound + 1
+
+
 # ---- near-duplicates ----
 
 

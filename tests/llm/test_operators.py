@@ -292,7 +292,13 @@ def test_media_round_trip(docs, texts, nothing):
         raw = (texts[r.doc_id] or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.media_sha256 == hashlib.sha256(media.container(media.chunks(payload))).hexdigest()
+        parts = media.chunks(payload)
+        form = media.media(media.recipe_of(parts, media.frames(parts)), media.frames(parts))
+        assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+    # the hashed form is what lies in the store: recipes and packs alone, or with the shared chunks
+    held = sum(len(r.own) + len(r.recipe) for r in packs.where("shared = 0").collect())
+    alone = {r.doc_id for r in packs.where("shared = 0").collect()}
+    assert held == sum(r.media_bytes - 16 for r in rows if r.doc_id in alone)
     assert media.read_back(*media.store(nothing)).count() == 0
 
 

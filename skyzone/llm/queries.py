@@ -15,6 +15,7 @@ from .quality import op10_quality
 from .secrets import op5_secret_scans
 from .toxicity import op1_toxicity
 from .url_filter import op3_url_filter
+from .warc import ORACLE as WARC_SQL
 from .warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_warc": WARC_SQL}

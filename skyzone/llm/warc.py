@@ -11,8 +11,10 @@ others are revisits that hold headers alone and refer to it.  Equality is by SHA
 that Spark can split where one payload is very frequent.
 
 Defined cases: null html is an empty payload; null urls are empty; line ends within urls are
-percent-encoded; rows with equal page_id and payload are all of the response's kind; extra columns
-are ignored; an empty table gives no rows.
+percent-encoded; rows with equal page_id and payload are all of the response's kind; null page_ids
+are written as such and come back null, and refer to the largest id of their payload, where there is
+one; very long payloads are one record each, read by themselves; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,11 +47,12 @@ def judged(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html, refers_to (null for responses)."""
     own = only(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     own = own.withColumn("sha", F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary"))))
-    first = own.where("sha IS NOT NULL").groupBy("sha").agg(F.max("page_id").alias("first"))
+    # written, so that the join stands by itself and Spark can split a frequent payload's part
+    first = stored(own.where("sha IS NOT NULL").groupBy("sha").agg(F.max("page_id").alias("first")), "payloads")
     return own.join(first, "sha", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> tuple[bytes, str]:
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> tuple[bytes, str]:
     """One WARC record, not compressed, and the payload's digest."""
     digest = base32_sha1(payload)
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -57,7 +60,7 @@ def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> tup
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
         f"WARC-Target-URI: {url}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -77,13 +80,13 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
-def parse(raw: bytes) -> tuple[int, str, bytes | None, int, str, str, int | None]:
+def parse(raw: bytes) -> tuple[int | None, str, bytes | None, int, str, str, int | None]:
     """page_id, url, payload (None for revisits), its length, its digest, type and refers_to."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     warc = _headers(head)
     block = rest[: int(warc["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    page = lambda name: int(warc[name].removeprefix("<urn:page:").removesuffix(">"))
+    page = lambda name: None if warc[name] == "<urn:page:null>" else int(warc[name].removeprefix("<urn:page:").removesuffix(">"))
     digest = warc["warc-payload-digest"].removeprefix("sha1:")
     n = int(_headers(http)["content-length"])
     if warc["warc-type"] == "revisit":
@@ -111,19 +114,20 @@ def write_archives(pages: DataFrame, *, least: int = 0) -> DataFrame:
         try:
             for batch in batches:
                 rows = []
-                for r in batch.to_pylist():
+                # payloads one by one, so that a batch is never held twice
+                for page_id, own_url, html, refers_to in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), batch.column("refers_to").to_pylist()):
                     if out is None or at > ROLL:
                         if out is not None:
                             out.close()
                         store.create_dir(path, recursive=True)
                         file = f"{name}-{number}.warc.gz"
                         out, at, number = store.open_output_stream(f"{path}/{file}", compression=None), 0, number + 1
-                    url = (r["url"] or "").replace("\r", "%0D").replace("\n", "%0A")
-                    raw, digest = record(r["page_id"] if r["page_id"] is not None else -1, url, r["html"].encode(), r["refers_to"])
+                    url = (own_url or "").replace("\r", "%0D").replace("\n", "%0A")
+                    raw, digest = record(page_id, url, html.as_py().encode(), refers_to)
                     packer = zlib.compressobj(3, zlib.DEFLATED, 31)
                     member = packer.compress(raw) + packer.flush()
                     out.write(member)
-                    rows.append((r["page_id"], file, at, len(member), r["url"], digest, "response" if r["refers_to"] is None else "revisit", r["refers_to"]))
+                    rows.append((page_id, file, at, len(member), own_url, digest, "response" if refers_to is None else "revisit", refers_to))
                     at += len(member)
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
                 columns = list(zip(*rows)) or [()] * len(kinds)
@@ -194,3 +198,11 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return read_records(write_archives(table(spark, sf_dir, "pages"))).drop("url", "payload")
+
+
+_DIGITS = "".join(f" || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> {k}) & 31) + 1, 1)" for k in (15, 10, 5, 0)).removeprefix(" || ")
+#: The query as DuckDB SQL; base 32 takes five hexadecimal digits for four of its own.
+ORACLE = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(list_transform(range(8), lambda g: CAST('0x' || substr(x, CAST(g AS BIGINT) * 5 + 1, 5) AS BIGINT)), lambda v: {_DIGITS}), '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d"""

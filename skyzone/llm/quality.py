@@ -14,7 +14,8 @@ cosine ** ``POWER``; isotonic regression on leave-one-out votes turns votes into
 
 Defined cases: null text is empty; texts without a known term, the empty one among them, get a vote
 of 0; equal texts get equal scores; ties between examples go to the smaller doc_id; without labels
-every score is 0; extra columns are ignored; no rows give no rows.
+every score is 0; very long texts are counted whole; null ids stay null and are never learnt from;
+repeated rows are each scored; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations

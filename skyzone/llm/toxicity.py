@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their leading 4 to 8 letters.  The vocabulary holds the terms that a two-sample
-test finds more often in toxic examples of a bounded labelled sample (``PER_CLASS`` of each class);
-document frequencies for the IDF come from all documents.  All other words together are one more
-dimension, ``BULK`` times their number, so that a cosine compares rates and not mere presence.
+Terms are words and their leading 4 to 8 letters.  The vocabulary is selected, not capped: it holds
+every term that at least ``LEAST_DOCS`` toxic examples of a bounded labelled sample (``PER_CLASS`` of
+each class) have and that a two-sample test finds more often in them (z of ``LEAST_Z`` or more).
+Document frequencies for the IDF come from all documents.  All other words together are one more
+dimension, ``BULK`` times the number of words, so that a cosine compares rates and not mere presence.
 
 Examples lie in an inverted index in blocks of ``BLOCK``; each term keeps its largest weight in each
 block.  A query sums these maxima into bounds, scores blocks exactly in falling order of bound, and
@@ -12,7 +13,8 @@ stops when no bound reaches its K-th best cosine: the neighbours are exact.  The
 
 Defined cases: null and empty texts get the score of a vote of 0; texts without any term of the
 vocabulary are equal queries; equal texts get equal scores; ties between examples go to the smaller
-doc_id; without labels every score is 0; extra columns are ignored; no rows give no rows.
+doc_id; without labels every score is 0; very long texts are counted whole; null ids stay null and are
+never learnt from; repeated rows are each scored; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +42,6 @@ SOFT = 0.02
 THRESHOLD = 0.7
 LEAST_Z = 5.0
 LEAST_DOCS = 4
-MOST_TERMS = 4000
 MEMO = 300_000
 PREFIXES = range(4, 9)
 
@@ -172,8 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held: int
         counts = seen.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
         pooled = (F.col("a") + F.col("b")) / (bad + good)
         z = (F.col("a") / bad - F.col("b") / good) / F.sqrt(pooled * (1 - pooled) * (1 / bad + 1 / good) + 1e-12)
-        counts = counts.where((F.col("a") >= LEAST_DOCS) & (z >= LEAST_Z)).orderBy(z.desc(), "term").limit(MOST_TERMS)
-        chosen = sorted(r.term for r in counts.select("term").collect())  # MOST_TERMS at most
+        # terms of at least LEAST_DOCS of per_class toxic examples, so their number is bounded by the sample's
+        chosen = sorted(r.term for r in counts.where((F.col("a") >= LEAST_DOCS) & (z >= LEAST_Z)).select("term").collect())
     n_docs, frequency = document_frequencies(docs, chosen)
     idf = [math.log((n_docs + 1) / (frequency.get(k, 0) + 1)) + 1 for k in range(len(chosen))]
     model = Model(chosen, idf, [], [], [], [])
@@ -187,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held: int
                 ["doc_id", "label", "n", "terms", "counts"],
             )
 
-    # 2 * per_class rows of at most MOST_TERMS pairs
+    # 2 * per_class rows of at most as many pairs as there are chosen terms
     rows = sorted(sample.mapInArrow(vectors, "doc_id long, label int, n long, terms array<int>, counts array<int>").collect(), key=lambda r: r.doc_id)
     for r in rows:
         model.examples.append(r.doc_id)

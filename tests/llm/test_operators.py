@@ -334,6 +334,9 @@ def test_warc_round_trip(spark, least):
         assert (r.payload_bytes, r.payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
         assert (r.record_type, r.refers_to) == (("response", None) if i == first else ("revisit", first))
         assert r.payload == (bytearray(body) if i == first else None)
+    odd = df.unionByName(spark.createDataFrame([(None, "u", "short"), (None, "u", "alone"), (3, "u", "<p>same payload</p>")], "page_id long, url string, html string").withColumn("file", F.lit("x")))
+    none = [(r.record_type, r.refers_to) for r in warc.read_records(warc.write_archives(odd, least=least)).where("page_id IS NULL").collect()]
+    assert sorted(none, key=str) == ([("response", None), ("revisit", 7)] if not least else [("response", None)] * 2)
     assert warc.read_records(index.where("page_id IN (4, 8)")).count() == 2
     assert warc.read_records(warc.write_archives(df.where("false"))).count() == 0
 

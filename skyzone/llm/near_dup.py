@@ -10,21 +10,27 @@ similarity is at least ``threshold`` percent, and groups are the links' connecte
   bucket in each of ``SINGLE`` independent hashings; sets from ``threshold`` percent of that have
   ``BUCKETS`` buckets of one hashing, empty ones filled from the next full one.  Two sets that can
   reach the threshold always have one of the two kinds in common.
-* Registers are banded by ``ROWS``; a band misses a pair at the threshold with 1 - 0.8 ** 5, so all
-  of the 40 or 51 bands miss it with less than 2e-7.  Each band's bucket is a candidate set.
+* Registers are banded by as many rows as let all bands together miss a pair at the threshold with at
+  most ``MISS``: five at 0.8, where the 40 or 51 bands miss it with less than 2e-7.  Each band's bucket
+  is a candidate set.
 * A bucket's hub is its smallest class.  First each member is compared with the hub that it shares
   most bands with, and what is linked so far is contracted.  All classes that share a bucket share
   its hub, so what is left are pairs of different components within a hub's group.  Groups that lie
   in one component are done.  The others are dealt into blocks of bounded size, every pair of blocks
   goes to a task, and the task gives only links that join components: no row is made per pair.
 * Pairs of sizes too different, and pairs whose collision-corrected estimate from the registers is
-  more than ``SLACK`` below the threshold, are let go; all others are confirmed on full sets.
+  more than ``SLACK`` standard deviations below the threshold, are let go; all others are confirmed
+  on full sets.
 
-Nothing is collected but counts; hot buckets are met by joins that Spark can split.
+Nothing is collected but counts.  What is told of buckets and hubs is written before it is joined, so
+that Spark can split a hot one's part, and joins on hubs are dealt by hub and ``SALTS`` salts.
 
 Defined cases: null and empty texts and texts of white space have empty sets, are linked with
-nothing and are kept; equal rows (of different ids) form one group; extra columns are ignored; an
-empty table gives no rows.  Sets are compared by 64-bit shingle hashes.
+nothing and are kept; equal rows (of different ids) form one group; very long texts have whole sets;
+an id that stands with several texts gets a row for each, and is confirmed by the one whose set is
+least as bytes; rows of null ids are linked with nothing, have null components and are kept; extra columns are ignored; an empty table gives
+no rows; thresholds under which no bands would find all pairs are refused.  Sets are compared by
+64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -45,9 +51,10 @@ MANTISSA = 10
 SMALL = 512
 SINGLE = 200
 BUCKETS = 256
-ROWS = 5
-#: Six standard deviations of an estimate from 200 registers at a similarity of 0.8.
-SLACK = 0.17
+MISS = 1e-6
+#: Standard deviations of an estimate from SINGLE registers.
+SLACK = 6.0
+SALTS = 64
 #: Most classes and, about, shingles in a block of a group.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
 
@@ -56,6 +63,20 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 
 
+def rows_of(threshold: int) -> int:
+    """Registers in a band: the most that miss a pair at the threshold (in percent) with MISS at most."""
+    fits = [r for r in range(1, 9) if (1 - (threshold / 100) ** r) ** (SINGLE // r) <= MISS]
+    if not fits or not 0 < threshold <= 100:
+        raise ValueError(f"no bands of {SINGLE} registers find pairs at {threshold} percent")
+    return max(fits)
+
+
+def least_estimate(threshold: int) -> float:
+    """What the estimate of a pair at the threshold does not fall below, but for SLACK deviations."""
+    t = threshold / 100
+    return t - SLACK * (t * (1 - t) / SINGLE) ** 0.5
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
@@ -177,8 +198,9 @@ def _sets(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, small binary, large binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame, threshold: int) -> DataFrame:
     """class_id, band: 64-bit names of the class's bands of both kinds."""
+    rows = rows_of(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -190,10 +212,10 @@ def _bands(classes: DataFrame) -> DataFrame:
                     if not own:
                         continue
                     r = np.frombuffer(b"".join(own), dtype=np.uint16).reshape(len(own), size)
-                    bands = size // ROWS
-                    r = r[:, : bands * ROWS].reshape(len(own), bands, ROWS).astype(np.uint64)
+                    bands = size // rows
+                    r = r[:, : bands * rows].reshape(len(own), bands, rows).astype(np.uint64)
                     name = np.broadcast_to(np.arange(bands, dtype=np.uint64) + _U(size << 20), r.shape[:2]).copy()
-                    for j in range(ROWS):
+                    for j in range(rows):
                         name = _mix(name * _U(0x9FB21C651E98DF25) + r[:, :, j])
                     ids = np.repeat(batch.column("class_id").filter(there).to_numpy(), bands)
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(name.reshape(-1).view(np.int64))], ["class_id", "band"])
@@ -208,12 +230,14 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
         pairs = pairs.join(known.select(F.col("class_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("small").alias(f"small_{side}"), F.col("large").alias(f"large_{side}")), side)
     pairs = pairs.where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
 
+    least = least_estimate(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for r in batch.to_pylist():
                 x, y = (r["small_a"], r["small_b"]) if r["small_a"] and r["small_b"] else (r["large_a"], r["large_b"])
-                good.append(bool(x and y) and estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), r["n_a"], r["n_b"]) >= threshold / 100 - SLACK)
+                good.append(bool(x and y) and estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), r["n_a"], r["n_b"]) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -230,7 +254,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(made, pa.binary())], ["doc_id", "s"])
 
     full = only(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary")
-    return full.groupBy("doc_id").agg(F.first("s").alias("s"))
+    return full.groupBy("doc_id").agg(F.min("s").alias("s"))
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -312,7 +336,7 @@ def joins(ids: list[int], components: list[int], blocks: list[int], sets: list[n
         rest = ~use & also[y] & also[x]
         score[rest] = (other[y[rest]] == other[x]).mean(1)
         chance = _chance(max(1, int(n[x]) // (1 if tables[0][1][x] else BUCKETS)), max(1, int(n[x]) // (1 if tables[0][1][x] else BUCKETS)))
-        y = y[(score - chance) / (1 - chance) >= threshold / 100 - SLACK]
+        y = y[(score - chance) / (1 - chance) >= least_estimate(threshold)]
         xs.append(np.full(len(y), x))
         ys.append(y)
     if not xs:
@@ -350,11 +374,19 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _salted(rows: DataFrame, facts: DataFrame, salt: str) -> DataFrame:
+    """``rows`` joined to one row of facts a hub; a hub's rows are dealt by SALTS salts of a column."""
+    every = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(every, ["hub", "_salt"]).drop("_salt")
+
+
 def _joined(docs: DataFrame, members: DataFrame, n: int, threshold: int) -> DataFrame:
-    """Links within groups: ``members`` has (hub, class_id, component, n_shingles)."""
-    sizes = members.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("all"))
-    sizes = sizes.select("hub", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks").cast("long")).cast("int"))
+    """Links within groups: ``members`` has (hub, class_id, component, n_shingles) of all groups."""
+    facts = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum("n_shingles").alias("all"))
+    # only groups that more than one component has part in
+    facts = facts.where("lo < hi").select("hub", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = stored(_salted(members, stored(facts, "facts"), "class_id"), "mixed")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component")
     full = _full_sets(docs, members.select(F.col("class_id").alias("doc_id")).distinct(), n)
@@ -386,25 +418,24 @@ def _joined(docs: DataFrame, members: DataFrame, n: int, threshold: int) -> Data
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group), kept."""
-    found = stored(_sets(docs, n, threshold), "sets")
+    found = stored(_sets(docs, n, threshold).withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest"))), "sets")
     named = found.where(F.col("digest").isNotNull())
     classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "small", "large")).alias("x"))
     classes = stored(classes.select("digest", F.col("x.doc_id").alias("class_id"), "x.n_shingles", "x.small", "x.large"), "classes")
 
-    bands = _bands(classes)
-    hubs = bands.groupBy("band").agg(F.min("class_id").alias("hub"), F.count("*").alias("size")).where(F.col("size") > 1)
-    members = bands.join(hubs.select("band", "hub"), "band")
+    bands = _bands(classes, threshold)
+    # written, so that the join stands by itself and Spark can split a hot bucket's part
+    hubs = stored(bands.groupBy("band").agg(F.min("class_id").alias("hub"), F.count("*").alias("size")).where(F.col("size") > 1).select("band", "hub"), "hubs")
+    members = bands.join(hubs, "band")
     spokes = stored(members.where(F.col("hub") != F.col("class_id")).groupBy("class_id", "hub").count(), "spokes")
     best = spokes.groupBy("class_id").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("x"))
     first = best.select((-F.col("x.hub")).alias("a"), F.col("class_id").alias("b"))
     links = stored(_linked(docs, _likely(first, classes, threshold), n, threshold), "links")
     parts = connected_components(links)
 
-    # groups that more than one component has part in
     own = spokes.select("hub", "class_id").unionByName(spokes.select("hub", F.col("hub").alias("class_id")).distinct())
     own = own.join(parts, own.class_id == parts.node, "left").select("hub", "class_id", F.coalesce("component", "class_id").alias("component"))
-    mixed = own.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub")
-    own = stored(own.join(mixed, "hub").join(only(classes, "class_id", "n_shingles"), "class_id"), "mixed")
+    own = stored(own.join(only(classes, "class_id", "n_shingles"), "class_id"), "groups")
     more = stored(_joined(docs, own, n, threshold), "links")
     parts = connected_components(links.unionByName(more)) if more.take(1) else parts
 
@@ -412,7 +443,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     groups = groups.select("digest", F.coalesce("component", "class_id").alias("component_id"))
     out = only(found, "doc_id", "n_shingles", "digest").join(groups, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:

@@ -169,6 +169,40 @@ def test_chains_of_near_copies(spark):
     assert got == brute_components(sets)
 
 
+@pytest.mark.parametrize("threshold, rows", [(50, 2), (65, 3), (80, 5), (95, 8)])
+def test_bands_follow_the_threshold(spark, threshold, rows):
+    assert near_dup.rows_of(threshold) == rows
+    rng = random.Random(threshold)
+    texts = []
+    for _ in range(12):  # pairs at, above and below the threshold
+        base = words(rng, 100, 10**6).split()
+        for share in (1.0, 0.97, 0.9, 0.8, 0.7, 0.6):
+            cut = int(share * 100)
+            texts.append(" ".join(base[:cut] + words(rng, 100 - cut, 10**6).split()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.component_id for r in near_dup.near_duplicates(df, 2, threshold).orderBy("doc_id").collect()]
+    assert got == brute_components(sets_of(texts, 2), threshold)
+
+
+def test_thresholds_without_bands_are_refused():
+    with pytest.raises(ValueError):
+        near_dup.rows_of(5)
+
+
+def test_an_id_with_several_texts_and_null_ids(spark):
+    rows = [(1, "a b c d"), (1, "e f g h"), (2, "a b c d"), (3, "e f g h"), (None, "i j k"), (4, None)]
+    out = [tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()]
+    assert len(out) == len(rows) and {(4, 0, 4, True), (2, 3, 1, False), (None, 2, None, True)} <= set(out)
+
+
+def test_blocks_are_compared_across(spark):
+    rng = random.Random(2)
+    sets = [np.sort(np.asarray(rng.sample(range(2**40), 50), dtype=np.uint64)) for _ in range(6)]
+    sets += [np.sort(np.concatenate([s[:48], np.asarray(rng.sample(range(2**40, 2**41), 2), dtype=np.uint64)])) for s in sets]
+    links = near_dup.joins(list(range(12)), list(range(12)), [0] * 6 + [1] * 6, sets, 80)
+    assert sorted(tuple(sorted(x)) for x in links) == [(i, i + 6) for i in range(6)]
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert near_dup.near_duplicates(nothing, 2).count() == 0
 

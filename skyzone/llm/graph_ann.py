@@ -1,32 +1,42 @@
-"""Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
-
-Vectors with equal components form a class, kept once with its ``k + 1`` smallest ids (no more can be
-among k neighbours).  Classes fall into shards of about ``SHARD`` by hash.  Each shard builds a graph:
-vertices come in random order in batches that double; a greedy beam search over the graph so far
-proposes neighbours; relaxed distance pruning keeps a proposal unless a kept one is ``1 / ALPHA`` as
-near to it; edges are mirrored and pruned again beyond ``DEGREE``.  Queries go in blocks to every
-shard's graph, and a beam search of width ``BEAM`` answers them.  Shard answers are merged by exact
-cosine in double precision on the original vectors, ties to the smaller id.
-
-Defined cases: vectors that are null, zero or hold null or non-finite components take no part, as
-queries or candidates; vectors of another length than most can't be compared and raise; equal
-vectors tie; fewer than k candidates give all of them; extra columns are ignored; an empty table
-gives no rows; equal rows (same id and vector) count once.
+"""Approximate nearest neighbours by robust-pruned directed graphs, one per shard, with routed queries.
+
+Vectors of one direction (unit vectors equal to ``PLACES`` decimals) form a class, kept once with its
+``k + 1`` smallest ids (no more can be among k neighbours).  Spherical k-means over a bounded sample
+(``PER_CELL`` classes a cell, ``MOST_SAMPLE`` bytes at most) gives about one centroid for ``SHARD`` classes,
+``MOST_CELLS`` at most.  A class goes to its nearest cell and to up to ``COPIES - 1`` others that are
+nearly as near (``CLOSE``); every class is indexed.  A cell of over ``2 * SHARD`` classes, however many
+it holds, is split by hash into shards.  Each shard builds a graph: vertices come in random order in
+batches that double; a greedy beam search over the graph so far proposes neighbours; relaxed distance
+pruning keeps a proposal unless a kept one is ``1 / ALPHA`` as near to it; edges are mirrored and
+pruned again beyond ``DEGREE``.
+
+A query goes to the shards of its nearest cells alone.  How many is measured on the sample: as few as
+hold ``COVER`` of the sample's true neighbours.  Vectors without structure need many cells, at worst
+all.  A beam search of width ``BEAM`` answers a block of queries in a shard, and answers are merged by
+exact cosine in double precision on the original vectors, rounded to 12 decimals for the order, ties
+to the smaller id.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
+as queries or candidates, nor do rows of null ids; vectors are compared with those of their own length
+alone; parallel vectors tie; fewer than k candidates give all of them; an id with several vectors asks
+with the least of them as bytes, and is no candidate of its own; equal rows (same id and vector) count
+once; very long vectors are kept whole; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import only, stored
+from .common import lowest, stored
 
 SHARD = 4096
 DEGREE = 32
@@ -36,25 +46,32 @@ ALPHA = 1.2
 WIDE = 4
 BATCH = 256
 BLOCK = 2048
+PLACES = 13
+MOST_CELLS, PER_CELL, MOST_SAMPLE = 4096, 1024, 64 << 20
+CLOSE, COPIES = 1.1, 2
+COVER = 0.97
+ROUNDS = 8
+ASKED = 512
+FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(vec_id, key, v): a digest of the components and the components as little-endian doubles."""
+    """(vec_id, size, key, v): length, a digest of the direction, and the components as little-endian doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for i, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if i is None or not row or any(x is None for x in row):
                     continue
                 v = np.asarray(row, dtype="<f8")
                 if np.isfinite(v).all() and v.any():
-                    body = (v + 0.0).tobytes()  # no negative zeros
-                    for c, x in zip(out, (i, hashlib.blake2b(body, digest_size=16).digest(), body)):
+                    way = np.round(_unit(v[None])[0], PLACES) + 0.0  # no negative zeros
+                    for c, x in zip(out, (i, len(v), hashlib.blake2b(way.tobytes(), digest_size=16).digest(), (v + 0.0).tobytes())):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["vec_id", "key", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["vec_id", "size", "key", "v"])
 
-    return vectors.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{column}`")).mapInArrow(run, "vec_id long, key binary, v binary")
+    return vectors.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{column}`")).mapInArrow(run, "vec_id long, size int, key binary, v binary")
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, start: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +177,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
     return edges, start
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def _matrix(column: pd.Series | list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<f8").reshape(len(column), -1)
 
 
@@ -169,42 +186,139 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def index(classes: DataFrame, shards: int) -> DataFrame:
+@dataclass
+class Cells:
+    """Cells of the vectors of one length: their centroids, the number of the first, and how many a query tries."""
+
+    first: int
+    centroids: np.ndarray
+    probes: int = 1
+
+    def order(self, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the ``n`` nearest centroids of each row, nearest first."""
+        cosine = unit @ self.centroids.T
+        n = min(n, cosine.shape[1])
+        top = np.argpartition(-cosine, n - 1, axis=1)[:, :n] if n < cosine.shape[1] else np.broadcast_to(np.arange(n), cosine.shape)
+        by = np.argsort(-np.take_along_axis(cosine, top, 1), axis=1, kind="stable")
+        top = np.take_along_axis(top, by, 1)
+        return top, np.take_along_axis(cosine, top, 1)
+
+    def homes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of each row, and which of them it goes to: the nearest and those nearly as near."""
+        top, cosine = self.order(unit, COPIES)
+        far = np.sqrt(np.maximum(2 - 2 * cosine, 0))
+        return top, far <= far[:, :1] * CLOSE
+
+
+def cells_of(unit: np.ndarray, n: int, first: int, k: int) -> Cells:
+    """Spherical k-means with ``n`` centroids, and the probes that find ``COVER`` of the sample's own neighbours."""
+    rng = np.random.default_rng(11)
+    unit = unit.astype(np.float32)
+    out = Cells(first, unit[rng.permutation(len(unit))[:n]])
+    for _ in range(ROUNDS if n > 1 else 0):
+        near = np.concatenate([out.order(unit[at : at + 4096], 1)[0][:, 0] for at in range(0, len(unit), 4096)])
+        total = np.zeros_like(out.centroids)
+        np.add.at(total, near, unit)
+        norm = np.linalg.norm(total, axis=1)
+        empty = np.flatnonzero(norm < 1e-6)
+        total[empty], norm[empty] = unit[rng.choice(len(unit), len(empty))], 1.0
+        out.centroids = total / norm[:, None]
+    if n > 1:
+        asked = rng.permutation(len(unit))[:ASKED]
+        cosine = unit[asked] @ unit.T
+        cosine[np.arange(len(asked)), asked] = -2
+        near = np.argpartition(-cosine, k, axis=1)[:, :k] if cosine.shape[1] > k else np.broadcast_to(np.arange(cosine.shape[1]), cosine.shape)
+        place = np.empty((len(asked), n), dtype=np.int64)  # place of each cell in a query's order
+        np.put_along_axis(place, out.order(unit[asked], n)[0], np.broadcast_to(np.arange(n), place.shape), 1)
+        homes, there = out.homes(unit[near.reshape(-1)])
+        needed = np.where(there, place[np.repeat(np.arange(len(asked)), near.shape[1])[:, None], homes], n).min(1)
+        out.probes = int(np.sort(needed)[min(len(needed) - 1, int(COVER * len(needed)))]) + 1
+    return out
+
+
+def index(placed: DataFrame, parts: Column) -> DataFrame:
     """One row a shard: its vectors, their ids (arrays), the graph's edges and start."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
         edges, start = build(_unit(_matrix(pdf.v)).astype(np.float32))
-        return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "n": [len(pdf)], "v": [b"".join(pdf.v)], "ids": [[list(map(int, x)) for x in pdf.ids]], "edges": [edges.astype("<i4").tobytes()], "start": [int(start[0])]})
+        return pd.DataFrame({"cell": [pdf.cell.iloc[0]], "part": [pdf.part.iloc[0]], "n": [len(pdf)], "v": [b"".join(pdf.v)], "ids": [[list(map(int, x)) for x in pdf.ids]], "edges": [edges.astype("<i4").tobytes()], "start": [int(start[0])]})
+
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+    return dealt.groupBy("cell", "part").applyInPandas(one, "cell int, part int, n int, v binary, ids array<array<bigint>>, edges binary, start int")
 
-    placed = classes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    return placed.groupBy("shard").applyInPandas(one, "shard int, n int, v binary, ids array<array<bigint>>, edges binary, start int")
+
+def _counted(df: DataFrame, cells: int, size: int) -> list[int]:
+    """Into how many pieces of about ``size`` rows each cell falls; one row a cell is collected."""
+    out = [1] * cells
+    for r in df.groupBy("cell").count().collect():
+        out[r.cell] = max(1, -(-r["count"] // size))
+    return out
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, *, shard: int = SHARD, beam: int = BEAM, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for each row whose id ``every`` divides."""
+    spark = vectors.sparkSession
     known = stored(valid(vectors, id_col, column), "vectors")
     # the k + 1 smallest ids of each class, in two steps so that a frequent vector has no task of its own
     salted = Window.partitionBy("key", F.pmod(F.xxhash64("vec_id"), F.lit(16))).orderBy("vec_id")
     ids = known.select("key", "vec_id").withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
     ids = ids.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
-    bodies = known.groupBy("key").agg(F.min("v").alias("v"))
-    classes = stored(ids.join(bodies, "key"), "classes")
-    shards = max(1, -(-classes.count() // shard))
-    graphs = stored(index(classes, shards), "graphs")
-
-    asked = known.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
-    blocks = max(1, -(-asked.count() // BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
-    pairs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block")
+    bodies = known.groupBy("key").agg(F.min(F.struct("v", "size")).alias("x"))
+    classes = stored(ids.join(bodies, "key").select("key", "ids", "x.size", "x.v"), "classes")
+
+    routes: dict[int, Cells] = {}
+    total = 0
+    for r in sorted(classes.groupBy("size").count().collect()):  # as many rows as there are lengths
+        most = MOST_SAMPLE // (8 * r["size"])
+        n = max(1, min(MOST_CELLS, most // 16, -(-r["count"] // shard)))
+        own = classes.where(F.col("size") == r["size"]).select("key", "v")
+        sample = lowest(own, "key", min(most, PER_CELL * n) if n > 1 else 1, r["count"]).collect()
+        routes[r["size"]] = cells_of(np.stack([_unit(np.frombuffer(x.v, "<f8")[None])[0] for x in sample]), n, total, k)
+        total += n
+    if not routes:
+        return spark.createDataFrame([], FOUND)
+    shared = spark.sparkContext.broadcast(routes)  # MOST_CELLS vectors of each length at most
+
+    def routed(batches: Iterator[pa.RecordBatch], which) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("size").to_numpy()
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                for lo in range(0, len(at), 1024):
+                    part = batch.take(pa.array(at[lo : lo + 1024]))
+                    cells, there = which(shared.value[int(size)], _unit(_matrix(part.column("v").to_pylist())).astype(np.float32))
+                    row, col = np.nonzero(there)
+                    out = part.take(pa.array(row))
+                    yield out.append_column("cell", pa.array(cells[row, col] + shared.value[int(size)].first, pa.int32()))
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from routed(batches, lambda cells, unit: cells.homes(unit))
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def which(cells: Cells, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            top, _ = cells.order(unit, cells.probes)
+            return top, np.ones(top.shape, dtype=bool)
+
+        yield from routed(batches, which)
+
+    placed = stored(classes.mapInArrow(homes, "key binary, ids array<bigint>, size int, v binary, cell int"), "placed")
+    parts = F.get(F.lit(_counted(placed, total, 2 * shard)), F.col("cell"))
+    graphs = stored(index(placed, parts), "graphs")
+
+    asked = known.where(F.col("vec_id") % every == 0).groupBy("vec_id", "size").agg(F.min("v").alias("v"))
+    asked = stored(asked.mapInArrow(probes, "vec_id long, size int, v binary, cell int"), "asked")
+    blocks = F.get(F.lit(_counted(asked, total, BLOCK)), F.col("cell"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    asked = asked.groupBy("cell", "part", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
+    pairs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).join(asked, ["cell", "part", "block"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for at_row in range(batch.num_rows):
+                r = batch.slice(at_row, 1).to_pylist()[0]
                 v = np.frombuffer(r["v"], dtype="<f8").reshape(r["n"], -1)
                 q = np.frombuffer(b"".join(a["v"] for a in r["asked"]), dtype="<f8").reshape(len(r["asked"]), -1)
-                if q.shape[1] != v.shape[1]:
-                    raise ValueError("vectors differ in length")
                 x, unit = _unit(v), _unit(q)
                 edges = np.frombuffer(r["edges"], dtype="<i4").reshape(r["n"] + 1, -1)
                 names = [a["vec_id"] for a in r["asked"]]
@@ -213,16 +327,21 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, *, shard: int = SHA
                     part = unit[at : at + BATCH]
                     found, _ = beam_search(x.astype(np.float32), edges, np.asarray([r["start"]]), part.astype(np.float32), max(beam, k + 1))
                     exact = np.where(found < 0, -np.inf, np.einsum("bd,bkd->bk", part, x[np.maximum(found, 0)]))
-                    for name, own, score in zip(names[at : at + BATCH], found, exact):
-                        kept = [(-s, i) for i, s in zip(own, score) if i >= 0]
-                        hits = sorted((s, w) for s, i in sorted(kept)[: k + 2] for w in r["ids"][i] if w != name)[:k]
-                        for s, w in hits:
-                            for c, y in zip(out, (name, w, float(-s))):
+                    key = np.round(exact, 12)
+                    # all classes as near as the (k + 1)-th, so that ties are told apart by id alone
+                    least = -np.sort(-key, axis=1)[:, min(k, key.shape[1] - 1)]
+                    for name, own, score, order, low in zip(names[at : at + BATCH], found, exact, key, least):
+                        near = np.flatnonzero((order >= low) & (own >= 0))
+                        hits = sorted((-order[j], w, score[j]) for j in near for w in r["ids"][own[j]] if w != name)[:k]
+                        for _, w, s in hits:
+                            for c, y in zip(out, (name, w, float(s))):
                                 c.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    found = pairs.repartition(shards * blocks, "shard", "block").mapInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # one task for a graph and a block, as far as the session has partitions
+    found = pairs.repartition("cell", "part", "block").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -410,6 +410,34 @@ def test_graph_search_recall_and_ties(spark):
     assert graph_ann.nearest(df.where("false")).count() == 0
 
 
+def test_parallel_vectors_tie_and_lengths_do_not_mix(spark):
+    rows = [(i, [k * i * 0.1 for k in (1.0, 2.0, 3.0)]) for i in range(1, 21)] + [(50, [1.0, 2.0, 3.0]), (100, [1.0, 0.0]), (150, [0.0, 1.0, 0.0, 0.0]), (7, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = [(r.query_id, r["rank"], r.vec_id) for r in graph_ann.nearest(df).collect()]
+    assert sorted(out) == [(50, k, k) for k in range(1, 6)] + [(100, 1, 7)]
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_routed_search_over_many_cells(spark, clustered):
+    rng = np.random.default_rng(3)
+    n = 6000
+    v = rng.normal(size=(n, 24))
+    if clustered:  # one cluster holds a third of all vectors
+        which = np.where(rng.random(n) < 0.33, 0, rng.integers(0, 40, n))
+        v = rng.normal(size=(40, 24))[which] * 2 + 0.5 * v
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in graph_ann.nearest(df, shard=400).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & found[q])
+    assert hits >= 0.95 * 5 * len(range(0, n, 50))
+
+
 # ---- urls ----
 
 

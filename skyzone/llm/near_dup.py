@@ -23,7 +23,7 @@ similarity is at least ``threshold`` percent, and groups are the links' connecte
   on full sets.
 
 Nothing is collected but counts.  What is told of buckets and hubs is written before it is joined, so
-that Spark can split a hot one's part, and joins on hubs are dealt by hub and ``SALTS`` salts.
+that Spark can split a hot one's part, and merged, not broadcast; joins on hubs are dealt by hub and ``SALTS`` salts.
 
 Defined cases: null and empty texts and texts of white space have empty sets, are linked with
 nothing and are kept; equal rows (of different ids) form one group; very long texts have whole sets;
@@ -273,9 +273,11 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: int) -> DataFr
     partners, the partners' sets go to their groups, and sets are compared as they stream by: no row
     ever holds two sets.
     """
+    pairs = stored(pairs, "pairs")
     full = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
-    counts = pairs.groupBy("a").count().withColumn("parts", F.ceil(F.col("count") / 256)).select("a", "parts")
-    placed = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", "part")
+    # written, so that the join stands by itself and Spark can split the pairs of a hot side
+    counts = stored(pairs.groupBy("a").count().withColumn("parts", F.ceil(F.col("count") / 256)).select("a", "parts"), "parts")
+    placed = pairs.join(counts.hint("merge"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", "part")
     theirs = placed.join(full.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "s")
     ours = placed.select("a", "part").distinct().join(full.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "s")
     both = theirs.unionByName(ours).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -377,7 +379,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _salted(rows: DataFrame, facts: DataFrame, salt: str) -> DataFrame:
     """``rows`` joined to one row of facts a hub; a hub's rows are dealt by SALTS salts of a column."""
     every = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(every, ["hub", "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(every.hint("merge"), ["hub", "_salt"]).drop("_salt")
 
 
 def _joined(docs: DataFrame, members: DataFrame, n: int, threshold: int) -> DataFrame:
@@ -426,7 +428,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     bands = _bands(classes, threshold)
     # written, so that the join stands by itself and Spark can split a hot bucket's part
     hubs = stored(bands.groupBy("band").agg(F.min("class_id").alias("hub"), F.count("*").alias("size")).where(F.col("size") > 1).select("band", "hub"), "hubs")
-    members = bands.join(hubs, "band")
+    members = bands.join(hubs.hint("merge"), "band")
     spokes = stored(members.where(F.col("hub") != F.col("class_id")).groupBy("class_id", "hub").count(), "spokes")
     best = spokes.groupBy("class_id").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("x"))
     first = best.select((-F.col("x.hub")).alias("a"), F.col("class_id").alias("b"))

@@ -3,8 +3,7 @@
 Vectors of one direction (unit vectors equal to ``PLACES`` decimals) form a class, kept once with its
 ``k + 1`` smallest ids (no more can be among k neighbours).  Spherical k-means over a bounded sample
 (``PER_CELL`` classes a cell, ``MOST_SAMPLE`` bytes at most) gives about one centroid for ``SHARD`` classes,
-``MOST_CELLS`` at most.  A class goes to its nearest cell and to up to ``COPIES - 1`` others that are
-nearly as near (``CLOSE``); every class is indexed.  A cell of over ``2 * SHARD`` classes, however many
+``MOST_CELLS`` at most.  Every class goes to its nearest cell.  A cell of over ``2 * SHARD`` classes, however many
 it holds, is split by hash into shards.  Each shard builds a graph: vertices come in random order in
 batches that double; a greedy beam search over the graph so far proposes neighbours; relaxed distance
 pruning keeps a proposal unless a kept one is ``1 / ALPHA`` as near to it; edges are mirrored and
@@ -38,7 +37,7 @@ from pyspark.sql.window import Window
 
 from .common import lowest, stored
 
-SHARD = 4096
+SHARD = 2048
 DEGREE = 32
 BUILD_BEAM = 64
 BEAM = 96
@@ -47,8 +46,7 @@ WIDE = 4
 BATCH = 256
 BLOCK = 2048
 PLACES = 13
-MOST_CELLS, PER_CELL, MOST_SAMPLE = 4096, 1024, 64 << 20
-CLOSE, COPIES = 1.1, 2
+MOST_CELLS, PER_CELL, MOST_SAMPLE = 8192, 512, 64 << 20
 COVER = 0.97
 ROUNDS = 8
 ASKED = 512
@@ -203,12 +201,6 @@ class Cells:
         top = np.take_along_axis(top, by, 1)
         return top, np.take_along_axis(cosine, top, 1)
 
-    def homes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cells of each row, and which of them it goes to: the nearest and those nearly as near."""
-        top, cosine = self.order(unit, COPIES)
-        far = np.sqrt(np.maximum(2 - 2 * cosine, 0))
-        return top, far <= far[:, :1] * CLOSE
-
 
 def cells_of(unit: np.ndarray, n: int, first: int, k: int) -> Cells:
     """Spherical k-means with ``n`` centroids, and the probes that find ``COVER`` of the sample's own neighbours."""
@@ -230,8 +222,8 @@ def cells_of(unit: np.ndarray, n: int, first: int, k: int) -> Cells:
         near = np.argpartition(-cosine, k, axis=1)[:, :k] if cosine.shape[1] > k else np.broadcast_to(np.arange(cosine.shape[1]), cosine.shape)
         place = np.empty((len(asked), n), dtype=np.int64)  # place of each cell in a query's order
         np.put_along_axis(place, out.order(unit[asked], n)[0], np.broadcast_to(np.arange(n), place.shape), 1)
-        homes, there = out.homes(unit[near.reshape(-1)])
-        needed = np.where(there, place[np.repeat(np.arange(len(asked)), near.shape[1])[:, None], homes], n).min(1)
+        homes = out.order(unit[near.reshape(-1)], 1)[0][:, 0]
+        needed = place[np.repeat(np.arange(len(asked)), near.shape[1]), homes]
         out.probes = int(np.sort(needed)[min(len(needed) - 1, int(COVER * len(needed)))]) + 1
     return out
 
@@ -280,27 +272,22 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, *, shard: int = SHA
         return spark.createDataFrame([], FOUND)
     shared = spark.sparkContext.broadcast(routes)  # MOST_CELLS vectors of each length at most
 
-    def routed(batches: Iterator[pa.RecordBatch], which) -> Iterator[pa.RecordBatch]:
+    def routed(batches: Iterator[pa.RecordBatch], asking: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
+                cells, at = shared.value[int(size)], np.flatnonzero(sizes == size)
                 for lo in range(0, len(at), 1024):
                     part = batch.take(pa.array(at[lo : lo + 1024]))
-                    cells, there = which(shared.value[int(size)], _unit(_matrix(part.column("v").to_pylist())).astype(np.float32))
-                    row, col = np.nonzero(there)
-                    out = part.take(pa.array(row))
-                    yield out.append_column("cell", pa.array(cells[row, col] + shared.value[int(size)].first, pa.int32()))
+                    top, _ = cells.order(_unit(_matrix(part.column("v").to_pylist())).astype(np.float32), cells.probes if asking else 1)
+                    out = part.take(pa.array(np.repeat(np.arange(len(top)), top.shape[1])))
+                    yield out.append_column("cell", pa.array((top + cells.first).reshape(-1), pa.int32()))
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from routed(batches, lambda cells, unit: cells.homes(unit))
+        yield from routed(batches, False)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def which(cells: Cells, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            top, _ = cells.order(unit, cells.probes)
-            return top, np.ones(top.shape, dtype=bool)
-
-        yield from routed(batches, which)
+        yield from routed(batches, True)
 
     placed = stored(classes.mapInArrow(homes, "key binary, ids array<bigint>, size int, v binary, cell int"), "placed")
     parts = F.get(F.lit(_counted(placed, total, 2 * shard)), F.col("cell"))
@@ -320,12 +307,13 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, *, shard: int = SHA
                 v = np.frombuffer(r["v"], dtype="<f8").reshape(r["n"], -1)
                 q = np.frombuffer(b"".join(a["v"] for a in r["asked"]), dtype="<f8").reshape(len(r["asked"]), -1)
                 x, unit = _unit(v), _unit(q)
+                narrow = x.astype(np.float32)
                 edges = np.frombuffer(r["edges"], dtype="<i4").reshape(r["n"] + 1, -1)
                 names = [a["vec_id"] for a in r["asked"]]
                 out: list[list] = [[], [], []]
                 for at in range(0, len(q), BATCH):
                     part = unit[at : at + BATCH]
-                    found, _ = beam_search(x.astype(np.float32), edges, np.asarray([r["start"]]), part.astype(np.float32), max(beam, k + 1))
+                    found, _ = beam_search(narrow, edges, np.asarray([r["start"]]), part.astype(np.float32), max(beam, k + 1))
                     exact = np.where(found < 0, -np.inf, np.einsum("bd,bkd->bk", part, x[np.maximum(found, 0)]))
                     key = np.round(exact, 12)
                     # all classes as near as the (k + 1)-th, so that ties are told apart by id alone

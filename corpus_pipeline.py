@@ -35,7 +35,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of languages below their target share are repeated; none goes."""
-    fitted, _ = mixing.fit(docs, mixing.labelled_by_language(docs))
+    fitted, _ = mixing.fit(docs, mixing.labelled_by_language(docs), least=1.0)
     return mixing.resampled(docs, fitted)
 
 

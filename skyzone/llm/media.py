@@ -7,8 +7,7 @@ gone by, or after ``MOST`` bytes.  Chunks are named by 128-bit digests.
 What is stored of a document is its recipe (digest, length and stored length of every chunk in order)
 and its chunks, each compressed by itself, so the form depends on the text alone and equal chunks are
 equal wherever they stand.  Digests alone are counted first.  Those that occur more than once set bits
-in a filter of ``FILTER_BITS`` for each, between ``LEAST_FILTER`` and ``MOST_FILTER`` bits, which goes to
-every task.  Chunks that miss the filter are unique: they are stored in their document's own pack and
+in a filter that grows with their number to 32 MiB at most and goes to every task.  Chunks that miss the filter are unique: they are stored in their document's own pack and
 never shuffled.  The others are stored once each, by digest.  To read back, documents without shared
 chunks take their stored chunks from their packs alone; the rest fetch shared ones by a join on the
 digest.  ``media`` is the recipe and the stored chunks as they were read; the payload is what they
@@ -32,12 +31,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stored
+from .common import bitmap, filter_bits, only, stored
 
 UNIT = 64
 LEAST, MOST, MASK = 512, 8192, (1 << 10) - 1
-FILTER_BITS = 16
-LEAST_FILTER, MOST_FILTER = 1 << 16, 1 << 28
 LEVEL = 6
 MAGIC = b"CHUNKS1\n"
 
@@ -104,20 +101,15 @@ def _per_text(docs: DataFrame, emit, schema: str) -> DataFrame:
 
 
 def repeated_filter(docs: DataFrame) -> bytes:
-    """Bits of the digests that occur more than once, at most MOST_FILTER of them."""
+    """A filter of the digests that occur more than once."""
 
     def emit(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([d for t in part.column("text") for d, _ in chunks(payload_of(t.as_py()))], pa.binary())], ["digest"])
 
     repeated = stored(_per_text(docs, emit, "digest binary").groupBy("digest").count().where("count > 1").select(F.hex("digest").alias("d")), "repeated")
-    bits = min(MOST_FILTER, max(LEAST_FILTER, 1 << (FILTER_BITS * repeated.count()).bit_length()))
+    bits = filter_bits(repeated.count())
     at = lambda lo: F.conv(F.concat(*[F.substring("d", lo + k, 2) for k in (6, 4, 2, 0)]), 16, 10).cast("long") % bits
-    slots = repeated.select(F.explode(F.array(at(1), at(9))).alias("slot"))
-    words = slots.groupBy(F.floor(F.col("slot") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 AS int))")).alias("bits"))
-    out = np.zeros(bits // 32, dtype="<u4")
-    for r in words.toLocalIterator():  # MOST_FILTER / 32 rows at most
-        out[r.word] = r.bits
-    return out.tobytes()
+    return bitmap(repeated.select(F.explode(F.array(at(1), at(9))).alias("slot")), bits)
 
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stored
+from .common import id_filter, in_filter, only, stored
 from ..operators.components import connected_components
 
 MANTISSA = 10
@@ -244,16 +244,24 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc_id, s): the sorted shingle hashes, as bytes, of the documents whose ids are wanted."""
+    """(doc_id, s): the sorted shingle hashes, as bytes, of the documents whose ids are wanted, and of few others.
+
+    A filter of the wanted ids, whose size has a bound, goes to every task, so texts are not shuffled;
+    joins on the id drop what it lets by.
+    """
+    found, slots = id_filter(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own = in_filter(shared.value, [batch.column(f"_slot{k}").to_numpy() for k in range(2)])
+            batch = batch.filter(pa.array(own & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 made = [shingle_sets(np.frombuffer((t.as_py() or "").encode(), dtype=np.uint8), n).tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(made, pa.binary())], ["doc_id", "s"])
 
-    full = only(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary")
+    full = only(docs, "doc_id", "text").select("doc_id", "text", *slots).mapInArrow(sets, "doc_id long, s binary")
     return full.groupBy("doc_id").agg(F.min("s").alias("s"))
 
 
@@ -277,7 +285,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: int) -> DataFr
     full = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n)
     # written, so that the join stands by itself and Spark can split the pairs of a hot side
     counts = stored(pairs.groupBy("a").count().withColumn("parts", F.ceil(F.col("count") / 256)).select("a", "parts"), "parts")
-    placed = pairs.join(counts.hint("merge"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", "part")
+    placed = stored(pairs.join(counts.hint("merge"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", "part"), "placed")
     theirs = placed.join(full.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "s")
     ours = placed.select("a", "part").distinct().join(full.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "s")
     both = theirs.unionByName(ours).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())

@@ -24,7 +24,7 @@ from ..functions import motion
 from ..functions.geometry import separation_of, unit_vector, wrapped
 from ..shared import stored as checkpointed
 from ..specs import MatchSpec
-from .zonejoin import zone_join
+from .zonejoin import reach_join, zone_join
 
 log = logging.getLogger(__name__)
 SUFFIX = "_2"
@@ -99,8 +99,14 @@ def candidates(left: Side, right: Side, spec: MatchSpec, halo: float) -> DataFra
     """All pairs that satisfy the criterion, with ``sep_arcsec`` and ``_score`` (smaller is better)."""
     if halo <= 0:
         return zone_join(left.slim, right.slim, 1.0).where("false").withColumn(SEP, F.lit(0.0)).withColumn("_score", F.lit(0.0))
-    pairs = zone_join(left.slim, right.slim, min(halo, 648_000.0) + 1e-6).withColumn(SEP, _separation())
     sep = F.col(SEP)
+    if spec.matcher in ("skyerr", "skyellipse"):
+        # each row searches as far as its own errors let it, not as far as the largest of all
+        own = lambda t: F.col(f"{t}_sigma") if spec.matcher == "skyerr" else F.sqrt(F.col(f"{t}_ee") + F.col(f"{t}_nn")) * 1.001 + 1e-6
+        l, r = (s.slim.withColumn(f"{t}_reach", spec.max_error * own(t)) for t, s in (("l", left), ("r", right)))
+        pairs = reach_join(l, r, min(halo, 648_000.0)).drop("l_reach", "r_reach").withColumn(SEP, _separation())
+    else:
+        pairs = zone_join(left.slim, right.slim, min(halo, 648_000.0) + 1e-6).withColumn(SEP, _separation())
     if spec.matcher == "skyerr":
         limit = spec.max_error * (F.col("l_sigma") + F.col("r_sigma"))
         return pairs.where(sep <= limit).withColumn("_score", F.when(limit > 0, sep / limit).otherwise(float("inf")))

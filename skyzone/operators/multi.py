@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import replace
+from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,6 +96,14 @@ def _names(sides: list[Side]) -> list[list[str]]:
     return out
 
 
+def _first(tuples: DataFrame, cap: int, lo: int, hi: int) -> DataFrame:
+    """Of each primary row the first ``cap`` tuples by rows ``lo`` to ``hi`` (0: all)."""
+    if not cap:
+        return tuples
+    order = Window.partitionBy("row_1").orderBy(*[f"row_{k}" for k in range(lo, hi + 1)])
+    return tuples.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
+
+
 def nway(catalogues: list[Catalogue], radius_arcsec: float, *, cap: int = 0, prior_columns: tuple[str, ...] = (), default_sigma: float | None = None) -> DataFrame:
     """Tuples of the first catalogue's rows with a mate in every other one within the radius, with ``p_match``.
 
@@ -107,23 +119,30 @@ def nway(catalogues: list[Catalogue], radius_arcsec: float, *, cap: int = 0, pri
         if not side.has_sigma:
             raise MatchError(f"N-way matching needs position errors for catalogue {side.cat.name!r}")
     keep = ("ux", "uy", "uz", "sigma", *[f"x_{c}" for c in prior_columns])
-    out = None
+    n = len(cats)
+    mates = []
     for k, (_, right) in enumerate(both[1:], 2):
         pairs = candidates(lefts[0], right, spec, radius_arcsec)
-        own = pairs.select(F.col("l_row").alias("row_1"), F.col("r_row").alias(f"row_{k}"), *([F.col(f"l_{x}").alias(f"{x}_1") for x in keep] if k == 2 else []), *[F.col(f"r_{x}").alias(f"{x}_{k}") for x in keep])
-        out = own if out is None else out.join(own, "row_1")
-    n = len(cats)
-    if cap:
-        order = Window.partitionBy("row_1").orderBy(*[f"row_{k}" for k in range(2, n + 1)])
-        out = out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
+        mates.append(pairs.select(F.col("l_row").alias("row_1"), F.col("r_row").alias(f"row_{k}"), *([F.col(f"l_{x}").alias(f"{x}_1") for x in keep] if k == 2 else []), *[F.col(f"r_{x}").alias(f"{x}_{k}") for x in keep]))
+    if cap and n > 2:
+        # only rows with mates everywhere, so that every tuple begun can be ended and the first ones begun end first
+        mates = [checkpointed(m) for m in mates]
+        whole = mates[0].select("row_1")
+        for m in mates[1:]:
+            whole = whole.join(m.select("row_1"), "row_1", "left_semi")
+        mates[0] = mates[0].join(whole.distinct(), "row_1", "left_semi")
+    out = None
+    for k, own in enumerate(mates, 2):
+        out = own if out is None else out.join(_first(own, cap, k, k), "row_1")
+        out = _first(out, cap, 2, k)
     us = [tuple(F.col(f"u{x}_{k}") for x in "xyz") for k in range(1, n + 1)]
     odds = scores.bayes_factor(us, [F.col(f"sigma_{k}") / math.sqrt(2.0) for k in range(1, n + 1)]) * math.log(10.0)
     for c in prior_columns:
         union = None
-        for side in lefts:
-            part = side.slim.select(F.col(f"l_x_{c}").alias("v"))
+        for k, side in enumerate(lefts):
+            part = scores.keyed(side.slim, "l", c, f"{k} ")
             union = part if union is None else union.unionByName(part)
-        points = scores.kde_points(union, "v")
+        points = scores.kde_points(union)
         values = [F.col(f"x_{c}_{k}") for k in range(1, n + 1)]
         odds = odds + scores.kde_log(points, sum(values[1:], values[0]) / n)
         for v in values:
@@ -132,12 +151,75 @@ def nway(catalogues: list[Catalogue], radius_arcsec: float, *, cap: int = 0, pri
     return _output(out, lefts, [f"row_{k}" for k in range(1, n + 1)], _names(lefts), ["p_match"])
 
 
+def nearest_tuples(mates: list[list[tuple]], most: int) -> Iterator[tuple[tuple, float]]:
+    """The first ``most`` tuples of at most one (row, separation) of each list but the empty one, with their least separation.
+
+    They come by least separation, then by rows, missing ones last.  Tuples are made one by one in that
+    order: those of the nearest mate before all without it, and no branch is entered that holds none.
+    """
+    found = 0
+    for sep in sorted({s for own in mates for _, s in own}):
+        open_ = [[*sorted((r, s) for r, s in own if s >= sep), (None, math.inf)] for own in mates]
+        last = max(k for k, own in enumerate(open_) if any(s == sep for _, s in own))
+
+        def walk(k: int, chosen: tuple, hit: bool) -> Iterator[tuple]:
+            if k == len(open_):  # noqa: B023
+                yield chosen
+                return
+            for row, s in open_[k]:  # noqa: B023
+                if hit or s == sep or k < last:  # noqa: B023
+                    yield from walk(k + 1, (*chosen, row), hit or s == sep)  # noqa: B023
+
+        for rows in walk(0, (), False):
+            yield rows, sep
+            found += 1
+            if found == most:
+                return
+
+
+def _capped(centres: DataFrame, me: str, links: list[DataFrame], names: list[str], most: int) -> DataFrame:
+    """The first ``most`` tuples of crowded centres: a group holds a centre's mates, never their product."""
+    own = None
+    for k, link in enumerate(links):
+        part = link.select(F.col("l_row").alias(me), F.lit(k).alias("k"), F.col("r_row").cast("string").alias("row"), F.col(SEP).alias("s"))
+        own = part if own is None else own.unionByName(part)
+    kinds = [link.schema["r_row"].dataType.simpleString() for link in links]
+    whole = [k != "string" for k in kinds]
+    schema = ", ".join([f"{me} {centres.schema[me].dataType.simpleString()}", *[f"{c} string" for c in names], f"{SEP} double"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = None, None
+        made: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            out = pd.DataFrame(made, columns=[me, *names, SEP])
+            made.clear()
+            return pa.RecordBatch.from_pandas(out, preserve_index=False, schema=shape)
+
+        for batch in batches:
+            shape = pa.schema([batch.schema.field(me), *[pa.field(c, pa.string()) for c in names], pa.field(SEP, pa.float64())])
+            for centre, k, row, s in zip(*(batch.column(c).to_pylist() for c in (me, "k", "row", "s"))):
+                if held is None or centre != now:
+                    if held is not None:
+                        made += [(now, *(None if r is None else str(r) for r in chosen), sep) for chosen, sep in nearest_tuples(held, most)]
+                        if len(made) > 10_000:
+                            yield flush()
+                    held, now = [[] for _ in names], centre
+                held[k].append((int(row) if whole[k] else row, s))
+        if held is not None:
+            made += [(now, *(None if r is None else str(r) for r in chosen), sep) for chosen, sep in nearest_tuples(held, most)]
+            yield flush()
+
+    rows = own.join(centres, me, "left_semi").repartition(me).sortWithinPartitions(me).mapInArrow(kernel, schema)
+    return rows.select(me, *[F.col(c).cast(k) for c, k in zip(names, kinds)], SEP)
+
+
 def star_union(catalogues: list[Catalogue], spec: MatchSpec, max_tuples: int = 100_000) -> DataFrame:
     """Every combination of a centre row with mates in later catalogues, and rows without mates.
 
     A row is a centre unless it has a mate in an earlier catalogue.  A centre with mates gives every
     combination of at most one of them from each later catalogue but the empty one.  A centre with more than
-    ``max_tuples`` combinations gives the first of them by separation.  Singletons have a NaN separation.
+    ``max_tuples`` combinations gives the first of them by separation, and no others are made.  Singletons have a NaN separation.
     """
     spec = replace(spec, find="all", join_type="1or2")
     check_frames(catalogues, spec.target_epoch)
@@ -154,30 +236,28 @@ def star_union(catalogues: list[Catalogue], spec: MatchSpec, max_tuples: int = 1
         for k in range(i):
             centre = centre.join(links[k, i].select(F.col("r_row").alias(f"row_{i + 1}")), f"row_{i + 1}", "left_anti")
         me = f"row_{i + 1}"
-        seps: list[Column] = []
         any_mate, product = F.lit(False), F.lit(1.0)
         for j in range(i + 1, n):
             sizes = links[i, j].groupBy(F.col("l_row").alias(me)).agg(F.count("*").alias(f"_n{j}"))
             centre = centre.join(sizes, me, "left").withColumn(f"_n{j}", F.coalesce(f"_n{j}", F.lit(0)))
             any_mate, product = any_mate | (F.col(f"_n{j}") > 0), product * (F.col(f"_n{j}") + 1)
         centre = centre.withColumn("_any", any_mate).withColumn("_product", product).drop(*[f"_n{j}" for j in range(i + 1, n)])
-        alone = centre.select(me)
-        for j in range(i + 1, n):
+        later = range(i + 1, n)
+        names = [f"row_{j + 1}" for j in later]
+        types = [links[i, j].schema["r_row"].dataType for j in later]
+        few = centre.where(F.col("_product") <= max_tuples) if names else centre
+        alone = few.select(me)
+        for j, name, kind in zip(later, names, types):
             # each centre with each of its mates in catalogue j, and with none
-            mates = links[i, j].select(F.col("l_row").alias(me), F.col("r_row").alias(f"row_{j + 1}"), F.col(SEP).alias(f"_s{j}"))
-            none = alone.withColumn(f"row_{j + 1}", F.lit(None).cast(links[i, j].schema["r_row"].dataType)).withColumn(f"_s{j}", F.lit(None).cast("double"))
-            centre = centre.join(mates.unionByName(none), me)
-            seps.append(F.col(f"_s{j}"))
-        later = [F.col(f"row_{j + 1}").isNotNull() for j in range(i + 1, n)]
-        some = F.lit(False)
-        for x in later:
-            some = some | x
-        least = F.least(*seps) if len(seps) > 1 else (seps[0] if seps else F.lit(None).cast("double"))
-        centre = centre.where(some | ~F.col("_any")).withColumn(SEP, F.coalesce(least, F.lit(float("nan"))))
-        order = Window.partitionBy(me).orderBy(SEP, *[F.col(f"row_{j + 1}").asc_nulls_last() for j in range(i + 1, n)])
-        small = centre.where(F.col("_product") <= max_tuples)
-        large = centre.where(F.col("_product") > max_tuples).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_tuples).drop("_n")
-        centre = small.unionByName(large)
+            mates = links[i, j].select(F.col("l_row").alias(me), F.col("r_row").alias(name), F.col(SEP).alias(f"_s{j}"))
+            none = alone.withColumn(name, F.lit(None).cast(kind)).withColumn(f"_s{j}", F.lit(None).cast("double"))
+            few = few.join(mates.unionByName(none), me)
+        some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in names], F.lit(False))
+        least = F.least(*[F.col(f"_s{j}") for j in later]) if n - i > 2 else (F.col(f"_s{i + 1}") if names else F.lit(None).cast("double"))
+        few = few.where(some | ~F.col("_any")).select(me, *names, F.coalesce(least, F.lit(float("nan"))).alias(SEP))
+        if names:
+            few = few.unionByName(_capped(centre.where(F.col("_product") > max_tuples).select(me), me, [links[i, j] for j in later], names, max_tuples))
+        centre, later = few, [F.col(c).isNotNull() for c in names]
         label = F.concat_ws("+", F.lit(str(i + 1)), *[F.when(x, F.lit(str(j + 1))) for j, x in zip(range(i + 1, n), later)])
         rows = [f"row_{k + 1}" if k >= i else F.lit(None).cast(both[k][0].rows.schema["_row"].dataType).alias(f"row_{k + 1}") for k in range(n)]
         parts.append(centre.select(*rows, F.col(SEP), label.alias(SOURCES)))

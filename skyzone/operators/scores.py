@@ -176,11 +176,10 @@ def separation_and_flux(pairs: DataFrame, left: Side, right: Side, spec: MatchSp
             e = [F.coalesce(F.nanvl(F.col(f"{t}_x_{c}_err"), F.lit(0.1)), F.lit(0.1)) for t in "lr"]
             sigma = F.greatest(F.sqrt(e[0] * e[0] + e[1] * e[1]), F.lit(1e-4))
         same = F.greatest(F.exp(-0.5 * (dm / sigma) * (dm / sigma)) / (sigma * math.sqrt(2.0 * math.pi)), F.lit(TINY))
-        # values of bounded samples, those whose rows hash lowest, paired at random
-        draws = [np.asarray([r[0] for r in s.slim.select(value(t), F.xxhash64(f"{t}_row", F.lit(t)).alias("h")).orderBy("h").limit(RANDOM_PAIRS).collect()]) for t, s in (("l", left), ("r", right))]
-        rng = np.random.default_rng(42)
-        n = min(RANDOM_PAIRS, left.stats["rows"] * right.stats["rows"])
-        random = np.abs(rng.choice(draws[0], n) - rng.choice(draws[1], n))
+        # the rows of a bounded sample, in the order of their digests, are partners at random
+        draws = [np.asarray([r[0] for r in s.slim.select(value(t), F.md5(F.concat(F.col(f"{t}_row").cast("string"), F.lit(t))).alias("h")).orderBy("h").limit(RANDOM_PAIRS).collect()]) for t, s in (("l", left), ("r", right))]
+        n = min(map(len, draws))
+        random = np.abs(draws[0][:n] - draws[1][:n])
         most = max(float(random.max()), 1e-6)
         bins = min(100, max(20, int(math.sqrt(n))))
         width = most / bins
@@ -277,15 +276,16 @@ def far_pairs(left: Side, right: Side, spec: MatchSpec, names: list[str], n: int
 # ---- match probability ----
 
 
-def kde_points(values: DataFrame, name: str, cap: int = SAMPLE) -> tuple[float, float, np.ndarray] | None:
+def kde_points(values: DataFrame, cap: int = SAMPLE) -> tuple[float, float, np.ndarray] | None:
     """Log density of a Gaussian kernel estimate (Scott's width) on an even grid over the values' range.
 
-    ``values`` has one column; those of a bounded sample, whose hashes are lowest, are collected.  None
-    where there are fewer than two different values.
+    ``values`` has columns v and key, a name of the row; the values of a bounded sample, those whose
+    keys' digests are lowest however rows are dealt, are collected.  None where there are fewer than two
+    different values.
     """
-    v = F.col(name)
-    own = values.where(_finite(v)).withColumn("_h", F.xxhash64(v, F.monotonically_increasing_id()))
-    x = np.sort(np.asarray([r[0] for r in own.orderBy("_h").limit(cap).select(name).collect()], dtype=float))
+    v = F.col("v")
+    own = values.where(_finite(v))
+    x = np.sort(np.asarray([r[0] for r in own.orderBy(F.md5("key"), "v").limit(cap).select("v").collect()], dtype=float))
     if len(x) < 2 or x[0] == x[-1]:
         return None
     extremes = own.agg(F.min(v), F.max(v)).first()
@@ -299,6 +299,11 @@ def kde_points(values: DataFrame, name: str, cap: int = SAMPLE) -> tuple[float,
     return float(grid[0]), float(grid[1] - grid[0]), out - math.log(len(x) * h * math.sqrt(2.0 * math.pi))
 
 
+def keyed(slim: DataFrame, tag: str, column: str, name: str | None = None) -> DataFrame:
+    """A prepared side's values of a column, each with a name of its row."""
+    return slim.select(F.col(f"{tag}_x_{column}").alias("v"), F.concat(F.lit(name or tag), F.col(f"{tag}_row").cast("string")).alias("key"))
+
+
 def kde_log(points: tuple[float, float, np.ndarray] | None, at: Column) -> Column:
     return F.lit(0.0) if points is None else _lerp((at - points[0]) / points[1], points[2])
 
@@ -318,7 +323,7 @@ def p_match(pairs: DataFrame, left: Side, right: Side, spec: MatchSpec) -> DataF
             log.warning("prior column %r is missing on a side and skipped", c)
             continue
         own, other = F.col(f"l_x_{c}"), F.col(f"r_x_{c}")
-        points = kde_points(left.slim.select(own.alias("v")).unionByName(right.slim.select(other.alias("v"))), "v")
+        points = kde_points(keyed(left.slim, "l", c).unionByName(keyed(right.slim, "r", c)))
         log_match = log_match + kde_log(points, 0.5 * (own + other))
         log_other = log_other + kde_log(points, own) + kde_log(points, other)
     return pairs.withColumn("p_match", 1.0 / (1.0 + F.exp(log_other - log_match)))

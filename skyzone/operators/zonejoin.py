@@ -65,3 +65,48 @@ def zone_join(left: DataFrame, right: DataFrame, halo_arcsec: float, on: Column
     zones = Zones(min(180.0, halo_arcsec / 3600.0), height)
     pairs = zones.one(left, "l_ra", "l_dec").join(zones.reached(right, "r_ra", "r_dec"), ["_zone", "_cell"]).drop("_zone", "_cell")
     return pairs if on is None else pairs.where(on)
+
+
+#: Share of rows that the first level of reaches holds, and the most levels above it.
+MOST_ROWS, MOST_LEVELS = 0.95, 6
+
+
+def levels(left: DataFrame, right: DataFrame) -> list[tuple[float, float]]:
+    """Levels of reach, as pairs (over, up to) in arcseconds, from a histogram of powers of two.
+
+    ``l_reach`` and ``r_reach`` say how far rows reach.  The first level has at least MOST_ROWS of each
+    side's rows, so that few rows of great reach don't widen the search of all others.
+    """
+    power = lambda c: F.greatest(F.lit(-30), F.least(F.lit(20), F.ceil(F.log2(F.greatest(F.col(c), F.lit(1e-9)))))).cast("int")
+    counts: dict[str, dict[int, int]] = {}
+    for side, df in (("l", left), ("r", right)):
+        counts[side] = {r.p: r["count"] for r in df.where(F.col(f"{side}_reach").isNotNull()).groupBy(power(f"{side}_reach").alias("p")).count().collect()}  # 51 rows at most
+    powers = sorted(set(counts["l"]) | set(counts["r"]))
+    if not powers:
+        return []
+    first = max((next(p for p in sorted(own) if sum(n for q, n in own.items() if q <= p) >= MOST_ROWS * sum(own.values())) for own in counts.values() if own), default=powers[-1])
+    higher = [p for p in powers if p > first]
+    while len(higher) > MOST_LEVELS:  # neighbouring levels in one
+        higher = higher[1::2] if len(higher) % 2 == 0 else [*higher[1::2], higher[-1]]
+    ends = [first, *higher]
+    return [(0.0 if k == 0 else 2.0 ** ends[k - 1], 2.0 ** p) for k, p in enumerate(ends)]
+
+
+def reach_join(left: DataFrame, right: DataFrame, most: float) -> DataFrame:
+    """Pairs of rows (l_ra, l_dec, l_reach, ...) and (r_ra, ...) that can lie within the sum of their reaches.
+
+    A pair is met at the greater of its rows' levels: those of the right at a level with the left's at
+    it or below, then those of the left with the right's below it.  ``most`` bounds every halo.
+    """
+    out = None
+    for low, high in levels(left, right):
+        halo = min(2.0 * high, most) + 1e-6
+        at = {s: (F.col(f"{s}_reach") > low) & (F.col(f"{s}_reach") <= high) if low else F.col(f"{s}_reach") <= high for s in "lr"}
+        parts = [zone_join(left.where(F.col("l_reach") <= high), right.where(at["r"]), halo)]
+        if low:
+            zones = Zones(min(180.0, halo / 3600.0))
+            near = zones.one(right.where(F.col("r_reach") <= low), "r_ra", "r_dec")
+            parts.append(zones.reached(left.where(at["l"]), "l_ra", "l_dec").join(near, ["_zone", "_cell"]).drop("_zone", "_cell"))
+        for p in parts:
+            out = p if out is None else out.unionByName(p)
+    return zone_join(left, right, 1.0).where("false") if out is None else out

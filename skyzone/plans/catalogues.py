@@ -1,7 +1,8 @@
 """Sky catalogues made from the driver tables, as SQL that Spark and the oracle both read.
 
 Numbers are in E notation, so that both engines take them as doubles.  ``lineitem`` repeats (order,
-line), so detections are grouped by it.
+line), so detections are grouped by it.  Two thirds of ``cat_c`` lie a degree from their orders, so that
+they have no counterparts.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ SQL: dict[str, str] = {
         {_B[1]}+CAST(l_linenumber AS DOUBLE)*1e-4 AS dec, 1.4e1 + (min(l_extendedprice)%1e3)/1e2 AS mag,
         1e-1 + CAST(l_linenumber AS DOUBLE)*5e-2 AS ra_err, 2e-1 AS dec_err, 1e-1 AS rho
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
-    "cat_c": f"""SELECT CAST(o_orderkey AS BIGINT) AS id, {_A[0]} AS ra, {_A[1]}+2.3e-4 AS dec, 1.5e1 + (o_totalprice%7e2)/1e2 AS mag,
-        2.5e-1 AS ra_err, 2.5e-1 AS dec_err FROM orders WHERE o_orderkey%3=0""",
+    "cat_c": f"""SELECT CAST(o_orderkey AS BIGINT) AS id, {_A[0]} AS ra, {_A[1]}+CASE WHEN o_orderkey%3=0 THEN 2.3e-4 ELSE 1e0 END AS dec, 1.5e1 + (o_totalprice%7e2)/1e2 AS mag,
+        2.5e-1 AS ra_err, 2.5e-1 AS dec_err FROM orders""",
     "cat_d": f"""SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey%4=0 THEN (3.6e2-1e-4*CAST(c_custkey%3 AS DOUBLE))%3.6e2 ELSE {_D[0]} END AS ra,
         CASE WHEN c_custkey%4=1 THEN 8.99e1 WHEN c_custkey%4=2 THEN -8.99e1 ELSE {_D[1]} END AS dec FROM customer""",
 }
@@ -55,7 +56,7 @@ def catalogue(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 
 
 def cte(*names: str) -> str:
-    return ", ".join(f"{n} AS ({SQL[n]})" for n in names)
+    return ", ".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in names)
 
 
 SEP = "degrees(2e0*asin(least(1e0, sqrt({x}*{x}+{y}*{y}+{z}*{z})/2e0)))*3.6e3"
@@ -73,6 +74,6 @@ def sep(l: str, r: str, ra: str = "ra", dec: str = "dec") -> str:
 
 def banded(l: str, r: str, where: str, name: str = "pairs", columns: str = "l.id AS l_id, r.id AS r_id", band: str = "1e-2") -> str:
     """A CTE of pairs by bands of declination, with their separation; ``where`` may use ``sep``."""
-    return f"""{name} AS (SELECT * FROM (SELECT {columns}, {sep('l', 'r')} AS sep FROM {l} l
+    return f"""{name} AS MATERIALIZED (SELECT * FROM (SELECT {columns}, {sep('l', 'r')} AS sep FROM {l} l
         JOIN (SELECT {r}.*, CAST(floor((dec+9e1)/{band}) AS BIGINT)+k.k AS band FROM {r}, (SELECT unnest([-1, 0, 1]) AS k) k) r
         ON CAST(floor((l.dec+9e1)/{band}) AS BIGINT) = r.band) WHERE {where})"""

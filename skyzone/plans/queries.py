@@ -61,12 +61,12 @@ def sep_identity(spark, d):
 
 @query(
     "sky_extent",
-    f"""WITH {cte('cat_a')}, v AS (SELECT cos(radians(dec))*cos(radians(ra)) AS x, cos(radians(dec))*sin(radians(ra)) AS y, sin(radians(dec)) AS z FROM cat_a WHERE dec > 6e1),
+    f"""WITH {cte('cat_a')}, v AS (SELECT cos(radians(dec))*cos(radians(ra)) AS x, cos(radians(dec))*sin(radians(ra)) AS y, sin(radians(dec)) AS z FROM cat_a),
     m AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM v), c AS (SELECT x/sqrt(x*x+y*y+z*z) AS x, y/sqrt(x*x+y*y+z*z) AS y, z/sqrt(x*x+y*y+z*z) AS z FROM m)
     SELECT round(max(degrees(asin(c.z))), 4) AS dec_deg, round(degrees(acos(min(v.x*c.x+v.y*c.y+v.z*c.z))), 4) AS radius_deg FROM v, c""",
 )
 def sky_extent(spark, d):
-    e = g.sky_extent(frame(spark, d, "cat_a").where("dec > 6e1"), "ra", "dec")
+    e = g.sky_extent(frame(spark, d, "cat_a"), "ra", "dec")
     return spark.createDataFrame([(round(e["dec_deg"], 4), round(e["radius_deg"], 4))], "dec_deg double, radius_deg double")
 
 
@@ -135,7 +135,7 @@ def sky_seam_poles(spark, d):
 
 # ---- ids ----
 
-_IDS = f"WITH {cte('cat_a', 'cat_b')}, l AS (SELECT id, mag FROM cat_a WHERE id%2=0), r AS (SELECT order_id, id AS det FROM cat_b WHERE order_id%3=0) SELECT"
+_IDS = f"WITH {cte('cat_a', 'cat_b')}, l AS (SELECT id, mag FROM cat_a), r AS (SELECT order_id+1000 AS order_id, id AS det FROM cat_b) SELECT"
 _ID_ORACLES = {
     "id_inner": ("1and2", _IDS + " l.id, round(l.mag, 6) AS mag, r.det FROM l JOIN r ON l.id = r.order_id"),
     "id_left": ("all1", _IDS + " l.id, round(l.mag, 6) AS mag, r.det FROM l LEFT JOIN r ON l.id = r.order_id"),
@@ -149,8 +149,9 @@ _ID_ORACLES = {
 def _id_query(name: str, join_type: str, oracle: str) -> None:
     @query(name, oracle)
     def run(spark, d):
-        l = frame(spark, d, "cat_a").where("id%2=0").select("id", "mag")
-        r = frame(spark, d, "cat_b").where("order_id%3=0").select("order_id", F.col("id").alias("det"))
+        # keys a thousand apart, so that both sides have rows without partners
+        l = frame(spark, d, "cat_a").select("id", "mag")
+        r = frame(spark, d, "cat_b").select((F.col("order_id") + 1000).alias("order_id"), F.col("id").alias("det"))
         out = id_join(l, r, "id", "order_id", join_type)
         return rounded(out, "mag") if "mag" in out.columns else out
 
@@ -249,7 +250,17 @@ def p_match(spark, d):
     return rounded(_ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, find="all", probabilistic=True), columns=ERR), "p_match"), "p_match")
 
 
-@query("p_match_kde")
+# kernel densities on a grid of 2048 points, of the 50,000 values whose rows' digests are lowest
+_KDE = _PMATCH[: _PMATCH.rindex(" SELECT l_id AS id")].replace("r.id AS r_id, 5e-1", "r.id AS r_id, l.mag AS lm, r.mag AS rm, 5e-1") + f""", u AS (SELECT mag AS v, md5('l' || CAST(id AS VARCHAR)) AS h FROM cat_a UNION ALL SELECT mag, md5('r' || CAST(id AS VARCHAR)) FROM cat_b),
+    x AS MATERIALIZED (SELECT v FROM u ORDER BY h LIMIT 50000), st AS (SELECT pow(count(*), -2e-1)*stddev_samp(v) AS h, count(*) AS n FROM x),
+    lim AS (SELECT min(v) AS lo, (max(v)-min(v))/2047e0 AS step FROM u),
+    den AS MATERIALIZED (SELECT i, ln(sum(exp(-5e-1*pow((lo+i*step-v)/h, 2))))-ln(max(n)*max(h)*sqrt(2e0*pi())) AS d FROM (SELECT unnest(generate_series(0, 2047)) AS i), lim, x, st GROUP BY i),
+    tab AS (SELECT list(d ORDER BY i) AS d FROM den),
+    q AS (SELECT p.*, d, least(greatest((lm-lo)/step, 0e0), 2047e0) AS al, least(greatest((rm-lo)/step, 0e0), 2047e0) AS ar, least(greatest((5e-1*(lm+rm)-lo)/step, 0e0), 2047e0) AS am FROM pairs p, lim, tab)"""
+_READ = "(d[CAST(least(floor({a}), 2046) AS BIGINT)+1]+({a}-least(floor({a}), 2046))*(d[CAST(least(floor({a}), 2046) AS BIGINT)+2]-d[CAST(least(floor({a}), 2046) AS BIGINT)+1]))"
+
+
+@query("p_match_kde", f"{_KDE} SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec, round(1e0/(1e0+exp(-ln(pi()*4e0)+{_READ.format(a='al')}+{_READ.format(a='ar')}-({_LOG})-{_READ.format(a='am')})), 6) AS p_match FROM q")
 def p_match_kde(spark, d):
     return rounded(_ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, find="all", prior_columns=("mag",)), columns=ERR), "p_match"), "p_match")
 
@@ -274,17 +285,50 @@ def lr(spark, d):
     return rounded(out.withColumn("ln_lr", F.round(F.log(F.col("lr") + 1e-9), 4)).drop("lr"), "reliability")
 
 
-@query("lr_best")
+_LR_BEST = _LR[: _LR.rindex("SELECT l_id AS id")] + """SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec, round(rel, 6) AS reliability FROM (SELECT *, lr/(sum(lr) OVER (PARTITION BY l_id)+1e0-8e-1) AS rel FROM lr)
+    QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY rel DESC, lr, sep, r_id) = 1"""
+
+
+@query("lr_best", _LR_BEST)
 def lr_best(spark, d):
     return rounded(_ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, matcher="lr", lr_magnitude_column="mag"), columns=ERR), "reliability"), "reliability")
 
 
-@query("auf")
+# the histogram of separations less what chance gives, in even steps of the logarithm, and the probability read from it
+_AUF = f"""WITH {cte('cat_a', 'cat_b')}, {banded('cat_a', 'cat_b', 'sep <= 2e0', columns='l.id AS l_id, r.id AS r_id, abs(l.mag-r.mag) AS dm')},
+    ex0 AS (SELECT avg(cos(radians(dec))*cos(radians(ra))) AS x, avg(cos(radians(dec))*sin(radians(ra))) AS y, avg(sin(radians(dec))) AS z FROM cat_b),
+    ex AS (SELECT x/sqrt(x*x+y*y+z*z) AS x, y/sqrt(x*x+y*y+z*z) AS y, z/sqrt(x*x+y*y+z*z) AS z FROM ex0),
+    bg AS (SELECT count(*)/(pi()*pow(degrees(acos(min(cos(radians(dec))*cos(radians(ra))*x+cos(radians(dec))*sin(radians(ra))*y+sin(radians(dec))*z))), 2)*3.6e3*3.6e3) AS b, (SELECT count(*) FROM cat_a) AS n_left FROM cat_b, ex),
+    h0 AS (SELECT least(100, greatest(20, CAST(floor(sqrt(count(*))) AS BIGINT))) AS k, greatest(min(CASE WHEN sep > 0e0 THEN sep END), 1e-6) AS lo, greatest(max(sep), 2e0) AS hi FROM pairs),
+    h AS (SELECT *, (log10(hi)-log10(lo))/k AS step FROM h0),
+    e AS (SELECT i, pow(1e1, log10(lo)+i*step) AS a, pow(1e1, log10(lo)+(i+1)*step) AS z FROM h, (SELECT unnest(generate_series(0, 99)) AS i) WHERE i < k),
+    c AS (SELECT CAST(greatest(0, least(k-1, floor((log10(sep)-log10(lo))/step))) AS BIGINT) AS i, count(*) AS n FROM pairs, h WHERE sep >= lo GROUP BY 1),
+    f AS (SELECT e.i, z-a AS w, sqrt(a*z) AS m, greatest(coalesce(n, 0)-b*2e0*pi()*sqrt(a*z)*(z-a)*n_left, 0e0) AS f FROM e LEFT JOIN c ON e.i = c.i, bg),
+    t AS (SELECT list(ln(greatest(f/(SELECT sum(f) FROM f)/w, 1e-300)) ORDER BY i) AS d, min(m) AS m0 FROM f),
+    pl AS (SELECT p.*, least(greatest((ln(greatest(sep, lo*5e-1))-ln(m0))/(step*ln(1e1)), 0e0), CAST(k-1 AS DOUBLE)) AS pos, k, d, b FROM pairs p, h, t, bg),
+    lk AS (SELECT *, CAST(least(floor(pos), k-2) AS BIGINT) AS j FROM pl),
+    rg AS (SELECT *, exp(d[j+1]+(pos-j)*(d[least(j+2, k)]-d[j+1]))/greatest(2e0*pi()*sep, 1e-6) AS ring FROM lk),
+    auf AS (SELECT l_id, r_id, sep, dm, least(1e0, greatest(0e0, ring/(ring+b))) AS p FROM rg)"""
+
+
+@query("auf", _AUF + " SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec, round(p, 6) AS auf_prob FROM auf QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY p DESC, sep, r_id) = 1")
 def auf(spark, d):
     return rounded(_ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, matcher="auf"), columns=ERR), "auf_prob"), "auf_prob")
 
 
-@query("macauff")
+_DRAWN = "SELECT mag, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '{t}')) AS k FROM {c} QUALIFY k <= 5000"
+_MACAUFF = _AUF + f""", dl AS ({_DRAWN.format(t='l', c='cat_a')}), dr AS ({_DRAWN.format(t='r', c='cat_b')}), rd AS (SELECT abs(dl.mag-dr.mag) AS x FROM dl JOIN dr ON dl.k = dr.k),
+    rh AS (SELECT count(*) AS n, greatest(max(x), 1e-6) AS most, least(100, greatest(20, CAST(floor(sqrt(count(*))) AS BIGINT))) AS k FROM rd),
+    rc AS (SELECT CAST(least(k-1, floor(x/(most/k))) AS BIGINT) AS i, count(*) AS c FROM rd, rh GROUP BY 1),
+    rt AS (SELECT list(greatest(coalesce(c, 0)/(n*(most/k)), 1e-300) ORDER BY g.i) AS d FROM (SELECT unnest(generate_series(0, 99)) AS i) g LEFT JOIN rc ON g.i = rc.i, rh WHERE g.i < k),
+    ma AS (SELECT l_id, r_id, sep, dm, p, most, rh.k AS k, d, least(greatest(dm/(most/rh.k)-5e-1, 0e0), CAST(rh.k-1 AS DOUBLE)) AS pos FROM auf, rh, rt),
+    mb AS (SELECT *, CAST(least(floor(pos), k-2) AS BIGINT) AS j FROM ma),
+    mo AS (SELECT *, CASE WHEN dm > most-most/k/2e0 THEN 1e-300 ELSE greatest(d[j+1]+(pos-j)*(d[least(j+2, k)]-d[j+1]), 1e-300) END AS other, greatest(exp(-5e-1*(dm/1e-1)*(dm/1e-1))/(1e-1*sqrt(2e0*pi())), 1e-300) AS same FROM mb),
+    mp AS (SELECT l_id, r_id, sep, p/greatest(1e0-p, 1e-10)*least(1e10, greatest(1e-10, same/other)) AS odds FROM mo),
+    mq AS (SELECT *, least(1e0, greatest(0e0, odds/(1e0+odds))) AS q FROM mp)"""
+
+
+@query("macauff", _MACAUFF + " SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec, round(q, 6) AS macauff_prob FROM mq QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY q DESC, sep, r_id) = 1")
 def macauff(spark, d):
     return rounded(_ids(pair(spark, d, MatchSpec(radius_arcsec=2.0, matcher="macauff", macauff_flux_columns=("mag",)), columns=ERR), "macauff_prob"), "macauff_prob")
 
@@ -421,7 +465,12 @@ def union3_star(spark, d):
     return _starred(multi.star_union(_many(spark, d, ("cat_a", "cat_b", "cat_c"), FEW), MatchSpec(radius_arcsec=2.0)))
 
 
-@query("union_cap")
+# of centres with more than four combinations the first four, by separation and then by ids
+_CAPPED = _STAR.replace("ca AS (SELECT", "ca0 AS (SELECT").replace("    fb AS (SELECT id", """    ca AS (SELECT a_id, b_id, c_id, sep FROM ca0 QUALIFY count(*) OVER (PARTITION BY a_id) <= 3 OR row_number() OVER (PARTITION BY a_id ORDER BY sep, b_id NULLS LAST, c_id NULLS LAST) <= 4),
+    fb AS (SELECT id""").replace("cb AS (SELECT", "cb0 AS (SELECT").replace("    cc AS (SELECT", "    cb AS (SELECT a_id, b_id, c_id, sep FROM cb0 QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY sep, c_id NULLS LAST) <= 4),\n    cc AS (SELECT", 1)
+
+
+@query("union_cap", _CAPPED)
 def union_cap(spark, d):
     return _starred(multi.star_union(_many(spark, d, ("cat_a", "cat_b", "cat_c"), FEW), MatchSpec(radius_arcsec=2.0), max_tuples=4))
 
@@ -544,18 +593,18 @@ def components(spark, d):
     return associations.components(_records(spark, d), "rel1", "a1", "b1", ("selected",))
 
 
-# two partitions of a and b detections: by 0.9 and by 1.3 arcseconds
-_DELTAS = f"""{_RECORDS}, p AS (SELECT * FROM r WHERE sep < 9e-1 AND CAST(source_id AS BIGINT)%3 <> 0), q AS (SELECT * FROM r WHERE sep < 1.3e0 AND CAST(source_id AS BIGINT)%5 <> 0),
-    pc AS (SELECT DISTINCT source_id FROM p), qc AS (SELECT DISTINCT source_id FROM q)
+# two partitions of the same records: those under 0.9 arcseconds, then those from 0.5 to 1.3
+_DELTAS = f"""{_RECORDS}, pc AS (SELECT DISTINCT source_id FROM r WHERE sep < 9e-1), qc AS (SELECT DISTINCT source_id FROM r WHERE sep > 5e-1 AND sep < 1.3e0)
     SELECT kind, count(*) AS n FROM (SELECT CASE WHEN pc.source_id IS NULL THEN 'created' WHEN qc.source_id IS NULL THEN 'retired' ELSE 'continued' END AS kind FROM pc FULL JOIN qc ON pc.source_id = qc.source_id) GROUP BY kind"""
 
 
 @query("deltas", _DELTAS)
 def deltas(spark, d):
     records = _records(spark, d)
-    was = associations.components(records.where("CAST(source_id AS BIGINT)%3 <> 0"), "rel1", "a1", "b1", ("selected",))
-    wider = records.withColumn("decision", F.when(F.col("separation_arcsec") < 1.3, "selected").otherwise("candidate"))
-    now = associations.components(wider.where("CAST(source_id AS BIGINT)%5 <> 0"), "rel2", "a1", "b1", ("selected",))
+    was = associations.components(records, "rel1", "a1", "b1", ("selected",))
+    sep_ = F.col("separation_arcsec")
+    other = records.withColumn("decision", F.when((sep_ > 0.5) & (sep_ < 1.3), "selected").otherwise("candidate"))
+    now = associations.components(other, "rel2", "a1", "b1", ("selected",))
     return associations.deltas(now, was).groupBy("kind").agg(F.count("*").alias("n"))
 
 

@@ -163,3 +163,24 @@ def test_detection_and_extent(spark):
     df = spark.createDataFrame([(359.0, 0.0), (1.0, 0.0)], "ra double, dec double")
     e = g.sky_extent(df, "ra", "dec")
     assert min(e["ra_deg"], 360 - e["ra_deg"]) < 1e-9 and abs(e["radius_deg"] - 1) < 1e-9
+
+
+@pytest.mark.parametrize("matcher", ["skyerr", "skyellipse"])
+def test_rows_of_great_errors_search_far_and_others_do_not(spark, matcher):
+    rng = np.random.default_rng(5)
+    n = 400
+    a = [(i, float(rng.uniform(0, 2)), float(rng.uniform(-1, 1)), float(s), float(s)) for i, s in enumerate(rng.choice([0.5, 2.0, 30.0, 900.0, 4000.0], n, p=[0.6, 0.3, 0.06, 0.03, 0.01]))]
+    b = [(i, float(rng.uniform(0, 2)), float(rng.uniform(-1, 1)), float(s), float(s)) for i, s in enumerate(rng.choice([0.1, 1.0, 60.0, 1500.0], n, p=[0.5, 0.4, 0.07, 0.03]))]
+    schema = "id long, ra double, dec double, e double, f double"
+    l, r = (Catalogue(spark.createDataFrame(x, schema), id="id", ra_err="e", dec_err="f") for x in (a, b))
+    got = {(x.id, x.id_2) for x in match(l, r, MatchSpec(matcher=matcher, max_error=1.5, find="all")).collect()}
+    A, B = np.asarray(a), np.asarray(b)
+    u = lambda m: np.stack([np.cos(np.radians(m[:, 2])) * np.cos(np.radians(m[:, 1])), np.cos(np.radians(m[:, 2])) * np.sin(np.radians(m[:, 1])), np.sin(np.radians(m[:, 2]))], 1)
+    if matcher == "skyerr":
+        sep = np.degrees(2 * np.arcsin(np.linalg.norm(u(A)[:, None] - u(B)[None], axis=2) / 2)) * 3600
+        good = sep <= 1.5 * np.sqrt(2) * (A[:, None, 3] + B[None, :, 3])
+    else:
+        d_dec = (A[:, None, 2] - B[None, :, 2]) * 3600
+        d_ra = (A[:, None, 1] - B[None, :, 1]) * 3600 * np.cos(np.radians((A[:, None, 2] + B[None, :, 2]) / 2))
+        good = (d_ra**2 + d_dec**2) / (A[:, None, 3] ** 2 + B[None, :, 3] ** 2) <= 1.5**2
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(good)))) and len(got) > 1000

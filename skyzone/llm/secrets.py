@@ -9,8 +9,9 @@ over ``THRESHOLD`` and that lies outside all rule spans becomes a span of kind `
 Positions are code points, ends exclusive.  Gaps between matches come from ``split`` and matches
 from ``regexp_extract_all`` of the same pattern, so their running lengths are the positions.
 
-Defined cases: null text is empty text and has no spans; equal rows give equal results; extra
-columns are ignored; an empty table gives no rows; without any training tokens of one class the
+Defined cases: null text is empty text and has no spans; equal rows give equal results; null ids stay
+null; very long texts are scanned whole, in time that grows with their matches; extra columns are
+ignored; an empty table gives no rows; without any training tokens of one class the
 add-one counts alone are used.
 """
 
@@ -36,6 +37,8 @@ RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Nats a pair: of held-out random strings of 20 characters, at most 1.1 % score 0.5 or less in any alphabet with words of
 #: sf0.1 (0.9 % with those of sf0.01), and none of 6000 identifiers joined of words of sf0.1 (the sample's among them) scores over 0.2.  Identifiers of a language that the sample lacks can score more.
 THRESHOLD = 0.5
+#: Matches of one text that are walked at once.
+RUN_LENGTH = 256
 SAMPLE_DOCS = 2000
 SAMPLE_RANDOM = 4000
 #: Classes of characters: each letter in either case, each digit, and + / _ = - by themselves.
@@ -44,11 +47,13 @@ SIZE = len(ALPHABET)
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """Array of (start, stop, kind) of all matches that ``keep`` lets stand."""
+    """Array of (start, stop, kind) of all matches that ``keep`` lets stand.
+
+    Matches are walked in runs of ``RUN_LENGTH``, each from the place where the one before it ends, so
+    that the work grows with a text's matches and not with their square.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,kind:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,stop:int,kind:string>>")
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -57,8 +62,19 @@ def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
         good = F.lit(True) if keep is None else keep(x["hit"])
         return F.struct(stop.alias("at"), F.when(good, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,stop:int,kind:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step, lambda acc: acc["out"])).otherwise(none)
+    def walked(pairs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN_LENGTH).cast("int")), lambda k: F.slice(pairs, k * RUN_LENGTH + 1, F.lit(RUN_LENGTH)))
+        return let(runs, placed)
+
+    def placed(runs: Column) -> Column:
+        sizes = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"])))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        own = F.zip_with(runs, starts, lambda run, at: F.when(run.isNotNull(), F.aggregate(run, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none))
+        return F.flatten(own)
+
+    gaps = F.split(text, pattern, -1)
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
+    return F.when(F.size(found) > 0, let(pairs, walked)).otherwise(none)
 
 
 def base_spans(text: Column) -> dict[str, Column]:

@@ -296,6 +296,14 @@ def test_secrets(spark, nothing):
     assert secrets.scan(nothing, table).count() == 0
 
 
+def test_texts_of_many_matches(spark):
+    rows = ["0123456789abcdef01234567 " * 3000 + "token=abcdefgh", "password=abcdef\n" * 700, "x"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    table = [0.0] * secrets.SIZE**2
+    got = {r.doc_id: r.b for r in secrets.scan(df, table).select("doc_id", secrets.joined("base").alias("b")).collect()}
+    assert [got[i] for i in range(3)] == [base_spans(t) for t in rows]
+
+
 def test_secrets_of_every_alphabet_at_the_production_threshold(spark):
     rng = random.Random(12)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -162,7 +162,8 @@ def test_releases_fail_closed(spark, tmp_path):
     assert releases.verify_lines(target, "schema.v1", "id") == made and [r["id"] for r in releases.iter_lines(target)] == ["a", "b"]
     with pytest.raises(FileExistsError):
         releases.write_lines(df, target, "schema.v1", "id", {})
-    (target / "records.jsonl").write_bytes((target / "records.jsonl").read_bytes().replace(b"2", b"3"))
+    part = next(p for p in sorted((target / "records").glob("part-*")) if b"2" in p.read_bytes())
+    part.write_bytes(part.read_bytes().replace(b"2", b"3"))
     with pytest.raises(ValueError):
         releases.verify_lines(target, "schema.v1", "id")
     with pytest.raises(ValueError):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,6 +100,25 @@ def _astrometric(cat: Catalogue, target: float | None) -> tuple[Column, Column,
     return ee * 1e-6, nn * 1e-6, en * 1e-6
 
 
+def bad_covariance(cat: Catalogue) -> Column | None:
+    """True where a declared five-by-five covariance has errors that are negative or not finite, or correlations that no covariance can have."""
+    names = [cat.covariance.get(k) for k in COVARIANCE_KEYS]
+    if not cat.covariance or any(n not in cat.df.columns for n in names):
+        return None
+
+    @F.pandas_udf("boolean")
+    def bad(values: pd.Series) -> pd.Series:
+        v = np.asarray(values.tolist(), dtype=float).reshape(-1, len(COVARIANCE_KEYS))
+        errors, rho = v[:, :5], v[:, 5:]
+        out = ~np.isfinite(v).all(1) | (errors < 0).any(1) | (np.abs(rho) > 1).any(1)
+        m = np.broadcast_to(np.eye(5), (len(v), 5, 5)).copy()
+        i, j = np.triu_indices(5, 1)
+        m[:, i, j] = m[:, j, i] = np.where(out[:, None], 0.0, rho)
+        return pd.Series(out | (np.linalg.eigvalsh(m).min(1) < -1e-9))
+
+    return bad(F.array(*[_zero_if_unknown(F.col(f"`{n}`").cast("double")) for n in names]))
+
+
 def knows_errors(cat: Catalogue) -> bool:
     return cat.has("ra_err", "dec_err") or bool(cat.covariance) or cat.default_error is not None
 

@@ -64,12 +64,14 @@ def prepare(cat: Catalogue, tag: str, spec: MatchSpec, extra: tuple[str, ...] =
         if cat.has("corr"):
             rho = cat.column("corr")
             checks["corr"] = F.sum((rho.isNull() | F.isnan(rho) | (F.abs(rho) > 1.0)).cast("int"))
+    if not cat.has("ra_err", "dec_err") and (impossible := motion.bad_covariance(cat)) is not None:
+        checks["covariance"] = F.sum(impossible.cast("int"))
     if sigma is not None:
         checks["sigma"] = F.max(sigma)
     if cov is not None:
         checks |= {"ee": F.max(ee), "nn": F.max(nn)}
     stats = rows.agg(*[v.alias(k) for k, v in checks.items()]).first().asDict()
-    for key, what in (("bad", "coordinates that aren't finite or are out of range"), ("errors", "position errors that are null, not finite or negative"), ("corr", "correlations outside [-1, 1]")):
+    for key, what in (("bad", "coordinates that aren't finite or are out of range"), ("errors", "position errors that are null, not finite or negative"), ("corr", "correlations outside [-1, 1]"), ("covariance", "covariances that are not positive semidefinite")):
         if stats.get(key):
             raise MatchError(f"catalogue {cat.name!r} has {stats[key]} rows with {what}")
     return Side(cat, rows, slim, sigma is not None, cov is not None, stats)

@@ -5,7 +5,6 @@ Results are narrowed to ids and rounded numbers, since the last digits of sines
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,21 +18,7 @@ from ..operators.match import id_join, match
 from ..sources import tiles
 from ..specs import MatchSpec
 from .catalogues import banded, catalogue, cte, frame, sep
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return put
-
+from .registry import query
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +47,19 @@ def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def resumed(spark: SparkSession, request: Any, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives for a request, written under the request's fingerprint; read from there if it was finished before.
+
+    Results of runs that were broken off have no mark of success and are made anew.
+    """
+    path = f"{folder(spark)}/resumed-{hashlib.sha256(json.dumps(request, sort_keys=True, default=str).encode()).hexdigest()}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def mark() -> int:
     """How many paths have been handed out, for ``clean``."""
     return sum(map(len, _written.values()))

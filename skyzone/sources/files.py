@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import uuid
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -61,6 +62,8 @@ def write(df: DataFrame, path: str, *, single: bool = False, ra: str | None = No
 # ---- FITS ----
 
 BLOCK = 2880
+#: Rows that one task reads.
+FITS_ROWS = 250_000
 #: Letters of binary table columns, and their big-endian types (fixed values).
 KINDS = {"L": "S1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8", "A": "S"}
 
@@ -86,9 +89,56 @@ def _cards(f) -> dict[str, str | int | float | bool]:
                     out[name] = raw == "T" if raw in ("T", "F") else float(raw.replace("D", "E")) if re.search(r"[.EeDd]", raw) else int(raw) if raw else ""
 
 
-def read_fits_columns(path: str) -> dict[str, np.ma.MaskedArray | list]:
-    """Columns of the first binary table; TNULL integers and NaN stay masked or NaN; array columns are left out."""
-    with open(path, "rb") as f:
+def _opened(path: str):
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    return store.open_input_file(at)
+
+
+@dataclass
+class FitsTable:
+    """Where the first binary table of a file lies and how its rows are laid out."""
+
+    path: str
+    head: dict
+    start: int
+    fields: list[tuple[str, str, str, int]]
+
+    @property
+    def dtype(self) -> np.dtype:
+        return np.dtype([(f"f{k}", kind, (n,)) if n != 1 else (f"f{k}", kind) for k, (_, _, kind, n) in enumerate(self.fields)])
+
+    @property
+    def rows(self) -> int:
+        return int(self.head["NAXIS2"])
+
+    def columns(self, lo: int, hi: int) -> dict[str, np.ma.MaskedArray | list]:
+        """Columns of some rows; TNULL integers and NaN stay masked or NaN; array columns are left out."""
+        with _opened(self.path) as f:
+            f.seek(self.start + lo * self.dtype.itemsize)
+            rows = np.frombuffer(f.read((hi - lo) * self.dtype.itemsize), dtype=self.dtype)
+        out: dict = {}
+        for k, (name, letter, _, n) in enumerate(self.fields):
+            if n != 1:
+                continue
+            v = rows[f"f{k}"]
+            if letter == "A":
+                out[name] = [x.rstrip(b" \0").decode("utf-8", "replace") for x in v]
+            elif letter == "L":
+                out[name] = [None if x not in (b"T", b"F") else x == b"T" for x in v]
+            else:
+                null = self.head.get(f"TNULL{k + 1}")
+                scale, zero = self.head.get(f"TSCAL{k + 1}", 1), self.head.get(f"TZERO{k + 1}", 0)
+                own = v.astype(v.dtype.newbyteorder("="))
+                mask = own == null if null is not None else np.zeros(len(own), bool)
+                own = own if (scale, zero) == (1, 0) else own * scale + zero
+                out[name] = np.ma.array(own, mask=mask)
+        return out
+
+
+def fits_table(path: str) -> FitsTable:
+    with _opened(path) as f:
         while True:
             try:
                 head = _cards(f)
@@ -99,7 +149,7 @@ def read_fits_columns(path: str) -> dict[str, np.ma.MaskedArray | list]:
             total = size * (count + int(head.get("PCOUNT", 0)))
             if head.get("XTENSION") == "BINTABLE":
                 break
-            f.seek(-(-total // BLOCK) * BLOCK, 1)
+            f.seek(f.tell() + -(-total // BLOCK) * BLOCK)
         fields = []
         for k in range(1, int(head["TFIELDS"]) + 1):
             m = re.match(r"(\d*)([A-Z])", str(head[f"TFORM{k}"]))
@@ -108,39 +158,28 @@ def read_fits_columns(path: str) -> dict[str, np.ma.MaskedArray | list]:
                 raise InputError(f"column format {head[f'TFORM{k}']!r} isn't known", path)
             kind = f"S{n}" if letter == "A" else KINDS[letter]
             fields.append((str(head.get(f"TTYPE{k}", f"col{k}")), letter, kind, 1 if letter == "A" else n))
-        dtype = np.dtype([(f"f{k}", kind, (n,)) if n != 1 else (f"f{k}", kind) for k, (_, _, kind, n) in enumerate(fields)])
-        rows = np.frombuffer(f.read(dtype.itemsize * int(head["NAXIS2"])), dtype=dtype)
-    out: dict = {}
-    for k, (name, letter, _, n) in enumerate(fields):
-        if n != 1:
-            continue
-        v = rows[f"f{k}"]
-        if letter == "A":
-            out[name] = [x.rstrip(b" \0").decode("utf-8", "replace") for x in v]
-        elif letter == "L":
-            out[name] = [None if x not in (b"T", b"F") else x == b"T" for x in v]
-        else:
-            null = head.get(f"TNULL{k + 1}")
-            scale, zero = head.get(f"TSCAL{k + 1}", 1), head.get(f"TZERO{k + 1}", 0)
-            own = v.astype(v.dtype.newbyteorder("="))
-            mask = own == null if null is not None else np.zeros(len(own), bool)
-            own = own if (scale, zero) == (1, 0) else own * scale + zero
-            out[name] = np.ma.array(own, mask=mask)
-    return out
+        return FitsTable(path, head, f.tell(), fields)
 
 
 def read_fits(spark: SparkSession, path: str) -> DataFrame:
-    """A FITS table as a DataFrame.  One task reads the file, whose columns come as Arrow batches."""
+    """A FITS table as a DataFrame.  Rows have one length, so each task reads a range of ``FITS_ROWS`` of them."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
 
-    def batch(columns: dict):
+    def batch(columns: dict) -> pa.RecordBatch:
         arrays = [pa.array(v.tolist(), pa.from_numpy_dtype(v.dtype)) if isinstance(v, np.ma.MaskedArray) else pa.array(v) for v in columns.values()]
         return pa.RecordBatch.from_arrays(arrays, list(columns))
 
-    from pyspark.sql.pandas.types import from_arrow_schema
+    table = fits_table(path)
+    schema = from_arrow_schema(batch(table.columns(0, min(1, table.rows))).schema)
+    ranges = max(1, -(-table.rows // FITS_ROWS))
+
+    def run(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                yield batch(table.columns(k * FITS_ROWS, min(table.rows, (k + 1) * FITS_ROWS)))
 
-    schema = from_arrow_schema(batch({k: v[:1] for k, v in read_fits_columns(path).items()}).schema)
-    return spark.range(1, numPartitions=1).mapInArrow(lambda it: (batch(read_fits_columns(path)) for _ in it), schema)
+    return spark.range(ranges, numPartitions=ranges).mapInArrow(run, schema)
 
 
 def write_fits(df: DataFrame, path: str) -> None:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import importlib
 import math
 import re
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..errors import ServiceError
+from ..functions.geometry import cone, separation
+from ..operators.zonejoin import zone_join
 
 POLL_SECONDS, MOST_SECONDS = 0.5, 6 * 3600
 _PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
@@ -52,6 +59,50 @@ def self_join_query(tables: tuple[str, str], columns: tuple[list[str], list[str]
     )
 
 
+@dataclass(frozen=True)
+class Cone:
+    """A cone over one table: as text for a service, or over a DataFrame of the same columns."""
+
+    table: str
+    columns: tuple[str, ...]
+    ra: str
+    dec: str
+    centre: tuple[float, float]
+    radius_deg: float
+    contains: bool = True
+
+    def text(self) -> str:
+        return cone_query(self.table, list(self.columns), self.ra, self.dec, self.centre, self.radius_deg, contains=self.contains)
+
+    def over(self, tables: dict[str, DataFrame]) -> DataFrame:
+        df = tables[self.table]
+        names = list(dict.fromkeys([*self.columns, self.ra, self.dec])) if self.columns else df.columns
+        found = cone(df, self.ra, self.dec, self.centre, self.radius_deg) if self.contains else df.where(box_predicate(self.ra, self.dec, self.centre, self.radius_deg).replace('"', "`"))
+        return found.select(*[f"`{c}`" for c in names])
+
+
+@dataclass(frozen=True)
+class SelfJoin:
+    """A fixed-radius join of two tables of one service, as text or over DataFrames."""
+
+    tables: tuple[str, str]
+    columns: tuple[tuple[str, ...], tuple[str, ...]]
+    coords: tuple[tuple[str, str], tuple[str, str]]
+    radius_arcsec: float
+
+    def text(self) -> str:
+        return self_join_query(self.tables, tuple(map(list, self.columns)), self.coords, self.radius_arcsec)
+
+    def over(self, tables: dict[str, DataFrame]) -> DataFrame:
+        sides = []
+        for tag, name, own, (ra, dec) in zip("lr", self.tables, self.columns, self.coords):
+            named = [F.col(f"`{c}`").alias(f"{'ab'['lr'.index(tag)]}_{c}") for c in own]
+            sides.append(tables[name].select(*named, F.col(f"`{ra}`").cast("double").alias(f"{tag}_ra"), F.col(f"`{dec}`").cast("double").alias(f"{tag}_dec")))
+        sep = separation(F.col("l_ra"), F.col("l_dec"), F.col("r_ra"), F.col("r_dec"))
+        pairs = zone_join(*sides, self.radius_arcsec + 1e-6).withColumn("all_sep_arcsec", sep)
+        return pairs.where(F.col("all_sep_arcsec") <= self.radius_arcsec).drop("l_ra", "l_dec", "r_ra", "r_dec")
+
+
 def table_search_query(words: list[str]) -> str:
     like = " AND ".join("(LOWER(table_name) LIKE '%{0}%' OR LOWER(description) LIKE '%{0}%')".format(w.lower().replace("'", "''")) for w in words)
     return f"SELECT table_name, description FROM TAP_SCHEMA.tables WHERE {like}" if words else "SELECT table_name, description FROM TAP_SCHEMA.tables"
@@ -92,6 +143,57 @@ class Service:
         return read(spark, self.run(query))
 
 
+class Recorded:
+    """A transport that answers from a folder of results, each a CSV file named by its query's digest."""
+
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+
+    def submit(self, query: str) -> str:
+        return hashlib.sha256(query.encode()).hexdigest()[:32]
+
+    def phase(self, job: str) -> str:
+        return "COMPLETED"
+
+    def fetch(self, job: str) -> str:
+        return f"{self.folder}/{job}.csv"
+
+
+class ServiceTable(DataSource):
+    """``spark.read.format("skyzone_service")``: the result of a query, fetched by one executor task.
+
+    Options: ``query``; ``transport``, the ``module:function`` that makes a transport on the executor, with
+    ``argument`` if that is given; and the schema, given by ``.schema``.  Results are CSV files with a
+    header, at a path or a URI that Arrow can open.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "skyzone_service"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ServiceReader(self.options, schema)
+
+
+class _ServiceReader(DataSourceReader):
+    def __init__(self, options, schema):
+        self.options, self.types = dict(options), schema
+
+    def read(self, partition):
+        import pyarrow as pa
+        from pyarrow import csv, fs
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        module, _, factory = self.options["transport"].partition(":")
+        make = getattr(importlib.import_module(module), factory)
+        transport = make(self.options["argument"]) if "argument" in self.options else make()
+        shape = to_arrow_schema(self.types)
+        path = retried(lambda: Service(transport).run(self.options["query"]))
+        store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        found = csv.read_csv(store.open_input_stream(at), convert_options=csv.ConvertOptions(column_types=shape, include_columns=shape.names))
+        yield from pa.Table.cast(found, shape).to_batches()
+
+
 def retried(call: Callable, *, times: int = 3, most: float = 60.0, sleep: Callable[[float], None] = time.sleep):
     """Call again after ServiceErrors, waiting 1, 2, 4.. seconds."""
     for k in range(times):

@@ -38,13 +38,17 @@ def properties(path: str) -> dict[str, str]:
 
 
 def partitions(path: str) -> list[tuple[int, int, str]]:
-    """(order, pixel, path) of all tiles, in ``dataset`` or at the top."""
+    """(order, nested pixel, path) of all tiles, in ``dataset`` or at the top, whatever numbering their names have."""
+    numbering = properties(path).get("hats_ordering", "NESTED").upper()
+    if numbering not in ("NESTED", "RING"):
+        raise InputError(f"tiles under {path!r} are numbered by {numbering!r}, which is not known", path)
     out = []
     for root in (os.path.join(path, "dataset"), path):
         for found in glob.glob(os.path.join(root, "Norder=*", "Dir=*", "Npix=*")):
             m = re.search(r"Norder=(\d+)[/\\]Dir=\d+[/\\]Npix=(\d+)(\.parquet)?$", found)
             if m:
-                out.append((int(m[1]), int(m[2]), found))
+                order, pix = int(m[1]), int(m[2])
+                out.append((order, pix if numbering == "NESTED" else int(healpix.ring_to_nested(order, np.asarray([pix]))[0]), found))
         if out:
             break
     return sorted(out)
@@ -89,6 +93,46 @@ def read_cone(spark: SparkSession, path: str, centre: tuple[float, float], radiu
     return cone(whole if kept else whole.where("false"), ra, dec, centre, radius_deg)
 
 
+def near_tiles(left: list[tuple[int, int, str]], right: list[tuple[int, int, str]], radius_deg: float) -> tuple[list[str], list[str]]:
+    """Paths of the tiles of either side that have a tile of the other within reach."""
+
+    def places(tiles: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray]:
+        at = [healpix.centre(o, np.asarray([p])) for o, p, _ in tiles]
+        a, d = (np.radians([float(x[k][0]) for x in at]) for k in range(2))
+        return np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], 1), np.asarray([healpix.diagonal(o) for o, _, _ in tiles])
+
+    if not left or not right:
+        return [], []
+    (u, a), (v, b) = places(left), places(right)
+    hit_l, hit_r = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
+    for k in range(0, len(left), 1024):
+        far = np.degrees(np.arccos(np.clip(u[k : k + 1024] @ v.T, -1, 1)))
+        near = far <= a[k : k + 1024, None] + b[None] + radius_deg
+        hit_l[k : k + 1024] = near.any(1)
+        hit_r |= near.any(0)
+    return [t[2] for t, x in zip(left, hit_l) if x], [t[2] for t, x in zip(right, hit_r) if x]
+
+
+def match_tiles(spark: SparkSession, left: str, right: str, spec, **roles) -> DataFrame:
+    """Match two tiled catalogues by position.
+
+    Tiles that have no neighbour on the other side within the radius are not read, unless the join type
+    keeps rows without partners of their side.
+    """
+    from ..catalogue import Catalogue
+    from ..operators.match import match
+
+    l, r = partitions(left), partitions(right)
+    paths = near_tiles(l, r, spec.radius_arcsec / 3600.0) if spec.matcher == "sky" else ([t[2] for t in l], [t[2] for t in r])
+    whole = {"all1": (True, False), "1not2": (True, False), "all2": (False, True), "2not1": (False, True), "1and2": (False, False)}.get(spec.join_type, (True, True))
+    sides = []
+    for path, tiles, kept, every in zip((left, right), (l, r), paths, whole):
+        df = read(spark, path) if every or not kept else _paths(spark, kept)
+        own = df if every or kept else df.where("false")
+        sides.append(Catalogue(own, name=Path(path).stem, **{k: v for k, v in roles.items() if v in own.columns}))
+    return match(*sides, spec)
+
+
 def pixels(df: DataFrame, ra: str, dec: str, order: int, name: str) -> DataFrame:
     @F.pandas_udf("long")
     def of(a: pd.Series, d: pd.Series) -> pd.Series:
@@ -117,11 +161,13 @@ def leaves(df: DataFrame, pixel: str, threshold: int) -> list[tuple[int, int, in
     return sorted(out)
 
 
-def write(df: DataFrame, path: str, ra: str, dec: str, threshold: int = 100_000) -> None:
+def write(df: DataFrame, path: str, ra: str, dec: str, threshold: int = 100_000, ordering: str = "NESTED") -> None:
     """Adaptive tiles of at most ``threshold`` rows, to order 10, with partition info and properties.
 
-    Tiles are written by the executors into a folder that takes its name at the end.
+    Tiles are written by the executors into a folder that takes its name at the end, and named by their
+    numbers in ``ordering``.
     """
+    name_of = {"NESTED": lambda order, pix: pix, "RING": lambda order, pix: int(healpix.nested_to_ring(order, np.asarray([pix]))[0])}[ordering]
     if os.path.exists(path):
         raise FileExistsError(path)
     own = f"{path}.{uuid.uuid4().hex}"
@@ -143,9 +189,10 @@ def write(df: DataFrame, path: str, ra: str, dec: str, threshold: int = 100_000)
 
             def save(key, pdf: pd.DataFrame) -> pd.DataFrame:
                 order, pix = int(key[0]), int(key[1])
-                folder = os.path.join(own, "dataset", f"Norder={order}", f"Dir={healpix.directory(pix)}")
+                shown = name_of(order, pix)
+                folder = os.path.join(own, "dataset", f"Norder={order}", f"Dir={healpix.directory(shown)}")
                 os.makedirs(folder, exist_ok=True)
-                file = os.path.join(folder, f"Npix={pix}.parquet")
+                file = os.path.join(folder, f"Npix={shown}.parquet")
                 part = f"{file}.{uuid.uuid4().hex}"
                 pdf[columns].to_parquet(part, index=False)
                 os.replace(part, file)  # a task that runs again replaces what it left
@@ -160,8 +207,8 @@ def write(df: DataFrame, path: str, ra: str, dec: str, threshold: int = 100_000)
 
             pq.write_metadata(to_arrow_schema(df.schema), os.path.join(own, "dataset", "_common_metadata"))
         with open(os.path.join(own, "partition_info.csv"), "w", newline="") as f:
-            csv.writer(f).writerows([("Norder", "Dir", "Npix"), *((o, healpix.directory(p), p) for o, p, _ in tiles)])
-        facts = {"obs_collection": Path(path).stem, "dataproduct_type": "object", "hats_nrows": sum(n for _, _, n in tiles), "hats_col_ra": ra, "hats_col_dec": dec, "hats_npix_suffix": ".parquet", "hats_ordering": "NESTED", "hats_order": max(orders, default=0), "hats_max_rows": threshold}
+            csv.writer(f).writerows([("Norder", "Dir", "Npix"), *((o, healpix.directory(name_of(o, p)), name_of(o, p)) for o, p, _ in tiles)])
+        facts = {"obs_collection": Path(path).stem, "dataproduct_type": "object", "hats_nrows": sum(n for _, _, n in tiles), "hats_col_ra": ra, "hats_col_dec": dec, "hats_npix_suffix": ".parquet", "hats_ordering": ordering, "hats_order": max(orders, default=0), "hats_max_rows": threshold}
         Path(own, "properties").write_text("".join(f"{k}={v}\n" for k, v in facts.items()))
         os.rename(own, path)
     finally:

@@ -17,7 +17,7 @@ from skyzone.streaming import detections
 
 SMALL = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
-SOME = ("sky_best_inner", "sky_full", "sky_anti_right", "post_filter", "id_full", "skyellipse_best", "epoch_match", "p_match", "lr", "nway3", "union3_star", "fof3", "hypotheses", "components", "hats_cone")
+SOME = ("sky_best_inner", "sky_full", "sky_anti_right", "post_filter", "id_full", "skyellipse_best", "epoch_match", "p_match", "lr", "nway3", "union3_star", "fof3", "hypotheses", "components", "hats_cone", "lr_best", "auf", "macauff", "p_match_kde", "union_cap", "hats_ring_cone", "hats_match", "tap_service", "refusals", "engines", "observation_release", "association_release", "component_release", "equivalence_release", "resumed_run", "stream_pairs", "fits_roundtrip", "motion_in_space", "covariance_transport")
 
 
 def canon(columns, rows):

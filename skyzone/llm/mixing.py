@@ -229,7 +229,10 @@ def resampled(docs: DataFrame, fitted: Mix) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its copies; rates come from the texts again, so no join is needed."""
     rate = fitted.rate(fitted.posterior(_features(F.coalesce("text", F.lit("")), fitted.letters)[1]))
     # one use of the copies, since Spark would compute them anew for each
-    return docs.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), fitted.copies(rate)))).drop("_copy")
+    name = "_copy"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.explode(F.array_repeat(F.lit(0), fitted.copies(rate)))).drop(name)
 
 
 def labelled_by_language(docs: DataFrame) -> DataFrame:

@@ -466,3 +466,16 @@ def op4_near_dup(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return near_duplicates(table(spark, sf_dir, "documents"), n=2)
+
+
+#: The query as DuckDB SQL: pairs that share one of their rarest shingles (two sets at 0.8 share one of the
+#: rarest fifth of either) are compared in full, and links are followed to their ends.
+ORACLE = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]) ELSE w END) AS s FROM w),
+    e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s), f AS MATERIALIZED (SELECT x, count(*) AS df FROM e GROUP BY x),
+    p AS MATERIALIZED (SELECT doc_id, e.x FROM e JOIN f ON e.x = f.x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, e.x) <= n - (n * 80 + 99) // 100 + 1),
+    c AS MATERIALIZED (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id),
+    l AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, len(x.s) AS m, len(y.s) AS n, len(list_intersect(x.s, y.s)) AS k FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * least(len(x.s), len(y.s)) >= 80 * greatest(len(x.s), len(y.s))) WHERE 100 * k >= 80 * (m + n - k)),
+    g AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(doc_id, o) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, g.b FROM r JOIN g ON r.o = g.a)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, z.c AS component_id, s.doc_id = z.c AS kept FROM s JOIN (SELECT doc_id, min(o) AS c FROM r GROUP BY doc_id) z ON s.doc_id = z.doc_id"""

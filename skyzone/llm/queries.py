@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .graph_ann import op6_graph_ann
 from .media import op2_media
 from .mixing import op7_mixing
+from .near_dup import ORACLE as NEAR_DUP_SQL
 from .near_dup import op4_near_dup
 from .packing import op8_packing
 from .quality import op10_quality
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op9_warc": WARC_SQL}
+ORACLES: dict[str, str] = {"op4_near_dup": NEAR_DUP_SQL, "op9_warc": WARC_SQL}

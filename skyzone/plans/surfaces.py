@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from .. import shared
+from .. import shared, sides
 from ..catalogue import Catalogue
 from ..errors import MatchError
 from ..functions import geometry as g
@@ -15,7 +15,7 @@ from ..functions import healpix, motion
 from ..operators import associations, candidates, multi, observations, releases
 from ..operators.components import numbered
 from ..operators.match import match
-from ..sources import config, files, storage, tap, tiles
+from ..sources import config, files, mirror, storage, tap, tiles
 from ..specs import ENGINES, MatchSpec
 from ..streaming import detections
 from . import queries as q
@@ -502,3 +502,135 @@ def resumed_run(spark, d):
 def candidate_hypothesis_space(spark, d):
     cats = [q._released(spark, d, "cat_a", "a1"), q._released(spark, d, "cat_b", "b1")]
     return candidates.candidate_counts(cats, candidates.candidate_pairs(cats, 2.0)).groupBy("release_namespace").agg(F.count("*").alias("n"))
+
+
+# ---- sides and regions ----
+
+
+@query("side_options", q._BEST + " SELECT l_id AS id, round(a.mag, 6) AS mag, r_id AS id_2, order_id, round(sep, 6) AS sep_arcsec FROM best JOIN cat_a a ON a.id = l_id JOIN cat_b b ON b.id = r_id")
+def side_options(spark, d):
+    """Columns and roles of each side by its number; what matching needs comes along unasked."""
+    own = sides.overrides({"id": "id", "ra": "ra", "dec_1": "d1", "dec_2": "dec", "columns_1": "mag", "columns_2": ["order_id"]}, 2)
+    frames = [frame(spark, d, "cat_a").withColumnRenamed("dec", "d1"), frame(spark, d, "cat_b")]
+    cats = [sides.projected(Catalogue(df, **{k: v for k, v in o.items() if k != "columns"}), o.get("columns"), SKY) for df, o in zip(frames, own)]
+    out = match(*cats, SKY)
+    assert "mag_2" not in out.columns and "epoch" not in out.columns
+    return rounded(out.select("id", "mag", "id_2", "order_id", "sep_arcsec"), "mag", "sep_arcsec")
+
+
+@query("remote_region", q._BEST + f" SELECT l_id AS id, r_id AS id_2, round(sep, 6) AS sep_arcsec FROM best JOIN cat_a ON id = l_id WHERE {q._HAVERSINE} <= 1.5e1")
+def remote_region(spark, d):
+    """A local cone matched with a remote table of which only the inferred region is asked for."""
+    local_rows = Catalogue(g.cone(frame(spark, d, "cat_a").select("id", "ra", "dec"), "ra", "dec", (10.0, 20.0), 15.0), id="id")
+    centre, radius = sides.region(local_rows, SKY)
+    remote = tap.Cone("sky.b", ("id",), "ra", "dec", centre, radius).over({"sky.b": frame(spark, d, "cat_b")})
+    return q._ids(match(local_rows, Catalogue(remote, id="id"), SKY))
+
+
+@query("surrogate_rejoin", _PAIRS + " SELECT a.id, round(a.mag, 6) AS mag, r_id AS id_2 FROM pairs JOIN cat_a a ON a.id = l_id")
+def surrogate_rejoin(spark, d):
+    """Rows sent to a service under keys of their own, and its answer brought back to them."""
+    rows, sent = tap.uploaded(frame(spark, d, "cat_a").select("id", "ra", "dec", "mag"), ["ra", "dec"])
+    asked = tap.SelfJoin(("up", "sky.b"), (("_key",), ("id",)), (("ra", "dec"), ("ra", "dec")), 2.0)
+    answer = asked.over({"up": sent, "sky.b": frame(spark, d, "cat_b")}).select(F.col("a__key").alias("_key"), F.col("b_id").alias("id"))
+    return rounded(tap.rejoined(rows, answer).select("id", "mag", "id_2"), "mag")
+
+
+@query("true_separation", q._SOME + " a.id, b.id AS id_2, round(p.sep, 6) AS again FROM cat_a a LEFT JOIN pairs p ON a.id = p.l_id FULL JOIN cat_b b ON b.id = p.r_id")
+def true_separation(spark, d):
+    out = q.pair(spark, d, MatchSpec(radius_arcsec=1.5, find="all", join_type="1or2"), columns=("id", "ra", "dec"))
+    again = g.true_separation(*[F.col(c) for c in ("ra", "dec", "ra_2", "dec_2")])
+    return out.select("id", "id_2", F.round(again, 6).alias("again"))
+
+
+@query("matcher_expression", values([("3.0 * (hypot(e1, e2) + hypot(f1, f2))",)], "said"))
+def matcher_expression(spark, d):
+    return spark.createDataFrame([(g.error_expression(("e1", "e2"), ("f1", "f2"), 3.0),)], "said string")
+
+
+# ---- mirrors ----
+
+
+@query("mirror_tiles", f"WITH {cte('cat_a')} {_POSITIONS}")
+def mirror_tiles(spark, d):
+    """A tree copied, broken and copied again, and what a replica of it holds."""
+    source, target = _tiled(spark, d, "cat_a"), local(shared.fresh(spark, "mirror"))
+    first = mirror.sync(spark, source, target)
+    store = storage.Storage(spark)
+    store.remove(f"{target}/{first.copied[0]}")
+    store.write(f"{target}/dataset/left-over.parquet", b"x")
+    again = mirror.sync(spark, source, target)
+    assert again.copied == first.copied[:1] and again.pruned == ["dataset/left-over.parquet"] and not again.failed
+    df = mirror.first_of(["file:///nowhere/at/all", target], lambda root: tiles.read(spark, root))
+    return rounded(df, "ra", "dec", "mag")
+
+
+@query("mirror_table", f"WITH {cte('cat_a')} {_POSITIONS}")
+def mirror_table(spark, d):
+    """A table fetched in pages by its key, in two visits of which the first sees half of it."""
+    rows, target = frame(spark, d, "cat_a").select(*FEW), shared.fresh(spark, "pages")
+    half = rows.agg(F.max("id")).first()[0] // 2
+    page = lambda df: (lambda after, size: df.where(F.col("id") > (-1 if after is None else after)).orderBy("id").limit(size))
+    size = max(1, half // 2)
+    mirror.mirror_table(spark, page(rows.where(F.col("id") <= half)), "id", target, size)
+    mirror.mirror_table(spark, page(rows), "id", target, size)
+    return rounded(spark.read.parquet(f"{target}/page-*"), "ra", "dec", "mag")
+
+
+@query("hub_routing", f"WITH {cte('cat_b')} SELECT count(*) AS n, 0 AS strays FROM cat_b")
+def hub_routing(spark, d):
+    """Every row of a catalogue goes to a hub tile, or to its own pixel, that its position lies in."""
+    hubs = [(o, p) for o, p, _ in tiles.partitions(_tiled(spark, d, "cat_a"))]
+    rows = tiles.routed(tiles.pixels(frame(spark, d, "cat_b"), "ra", "dec", tiles.DEEPEST, "_pix"), hubs)
+    stray = (F.col("hub.pix") != F.expr("shiftright(_pix, 2 * (10 - hub.order))")).cast("int")
+    return rows.agg(F.count("*").alias("n"), F.sum(stray).cast("int").alias("strays"))
+
+
+@query("listing_links", values([("Dir=0/",), ("Npix=1.parquet",), ("properties",)], "name"))
+def listing_links(spark, d):
+    page = '<html><a href="../">up</a><a href="?C=N">sort</a><a href="Dir=0/">d</a><A HREF="Npix=1.parquet">n</A><a href="https://x.org/">x</a><a href="/root">r</a><a href="properties">p</a><a href="properties">p</a></html>'
+    return spark.createDataFrame([(x,) for x in mirror.links(page)], "name string")
+
+
+@query("places", values([("auth basic", "Basic dTpw"), ("auth none", "-"), ("auth token", "Bearer t"), ("cache by config", "/c"), ("cache by environment", "/e"), ("cache by home", "/h/.cache/skyzone/cache"), ("endpoint", "https://h.org/tap"), ("order fits", "None"), ("order given", "3"), ("order large", "2"), ("page", "SELECT TOP 5 * FROM t WHERE k > 7 ORDER BY k"), ("table", "https://h.org/tap s.t"), ("table bare", "None s.t"), ("table none", "None")], "what", "said"))
+def places(spark, d):
+    asked = {
+        "auth basic": mirror.basic_auth({"SKYZONE_USER": "u", "SKYZONE_PASSWORD": "p"}).get("Authorization", "-"),
+        "auth none": mirror.basic_auth({"SKYZONE_USER": "u"}).get("Authorization", "-"),
+        "auth token": mirror.basic_auth({"SKYZONE_TOKEN": "t", "SKYZONE_USER": "u", "SKYZONE_PASSWORD": "p"}).get("Authorization", "-"),
+        "cache by config": mirror.roots({"HOME": "/h"}, {"cache": "/c"}),
+        "cache by environment": mirror.roots({"HOME": "/h", "SKYZONE_CACHE": "/e"}, {"cache": "/c"}),
+        "cache by home": mirror.roots({"HOME": "/h"}, {}),
+        "endpoint": tap.endpoint("https://h.org/tap/async/17?x=1"),
+        "order fits": mirror.spill_order(1000, 0.5, 1000),
+        "order given": mirror.spill_order(10**9, 1.0, 1, explicit=3),
+        "order large": mirror.spill_order(32_000, 1.0, 1000),
+        "page": mirror.page_query("t", "k", 7, 5),
+        "table": " ".join(tap.table_id("https://h.org/tap/sync#s.t")),
+        "table bare": "{} {}".format(*tap.table_id("s.t")),
+        "table none": tap.table_id("no table"),
+    }
+    return spark.createDataFrame([(k, str(v)) for k, v in asked.items()], "what string, said string")
+
+
+@query("discovered", values([("sky.a", "ra,dec,source"), ("sky.b", "-")], "table_name", "roles"))
+def discovered(spark, d):
+    """Tables that a search finds, and the registry entries that their columns make."""
+    known = spark.createDataFrame([("sky.a", "Bright stars"), ("sky.b", "bright STARS, no positions"), ("sky.c", "faint stars"), ("sky.d", None)], "table_name string, description string")
+    columns = {"sky.a": [("ra", "pos.eq.ra;meta.main"), ("dec", "pos.eq.dec;meta.main"), ("source", "meta.id;meta.main"), ("ra2", "pos.eq.ra")], "sky.b": [("x", None)]}
+    out = []
+    for r in tap.searched(known, ["bright", "Stars"]).collect():
+        try:
+            e = tap.entry_of(r.table_name, "https://h.org/tap/sync", columns[r.table_name])
+            out.append((r.table_name, ",".join((e["ra"], e["dec"], e["id"]))))
+        except tap.ServiceError:
+            out.append((r.table_name, "-"))
+    return spark.createDataFrame(out, "table_name string, roles string")
+
+
+@query("registry_drift", values([("a", "outdated"), ("b", "informational"), ("c", "missing"), ("d", "user"), ("x", "alias")], "name", "how"))
+def registry_drift(spark, d):
+    bundled = {"catalogues": {"a": {"path": "1"}, "b": {"path": "2", "description": "old"}, "c": {"path": "3"}, "e": {"path": "5"}}, "aliases": {"x": "a", "y": "b"}}
+    own = {"catalogues": {"a": {"path": "9"}, "b": {"path": "2", "description": "new"}, "d": {"path": "4"}, "e": {"path": "5"}}, "aliases": {"x": "e", "z": "d"}}
+    assert config.drift(bundled, config.adopted(own, bundled, ["a", "b", "c"])) == [("d", "user"), ("x", "alias")]
+    return spark.createDataFrame(config.drift(bundled, own), "name string, how string")

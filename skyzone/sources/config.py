@@ -63,3 +63,41 @@ def resolve(spark: SparkSession, name: str, config: dict[str, Any] | None = None
         return Catalogue(read(spark, name), name=Path(name).stem, **roles)
     near = difflib.get_close_matches(name.lower(), lower, 3)
     raise ConfigError(f"unknown catalogue {name!r}" + (f"; did you mean {', '.join(near)}?" if near else ""))
+
+
+def drift(bundled: dict[str, Any], own: dict[str, Any]) -> list[tuple[str, str]]:
+    """(name, how) of what the user's registry says otherwise than the one it started from.
+
+    outdated: the same place read in another way; informational: only the description differs; missing: not
+    taken over; user: the user's own; alias: a name that leads elsewhere.
+    """
+    out = []
+    theirs, ours = bundled.get("catalogues", {}), own.get("catalogues", {})
+    bare = lambda e: {k: v for k, v in e.items() if k != "description"}
+    for name in sorted(set(theirs) | set(ours)):
+        if name not in ours:
+            out.append((name, "missing"))
+        elif name not in theirs:
+            out.append((name, "user"))
+        elif bare(theirs[name]) != bare(ours[name]):
+            out.append((name, "outdated"))
+        elif theirs[name] != ours[name]:
+            out.append((name, "informational"))
+    a, b = bundled.get("aliases", {}), own.get("aliases", {})
+    return out + [(name, "alias") for name in sorted(b) if a.get(name, b[name]) != b[name]]
+
+
+def adopted(own: dict[str, Any], bundled: dict[str, Any], names: list[str]) -> dict[str, Any]:
+    """The user's registry with the named entries as the other has them."""
+    if unknown := [n for n in names if n not in bundled.get("catalogues", {})]:
+        raise ConfigError(f"there are no catalogues {unknown} to adopt")
+    return {**own, "catalogues": {**own.get("catalogues", {}), **{n: bundled["catalogues"][n] for n in names}}}
+
+
+def save(registry: dict[str, Any], path: str | os.PathLike) -> None:
+    """Write a registry beside its place and put it there."""
+    import yaml
+
+    part = f"{os.fspath(path)}.part"
+    Path(part).write_text(yaml.safe_dump(registry, sort_keys=True))
+    os.replace(part, path)

@@ -118,6 +118,52 @@ def coordinates_by_ucd(columns: list[tuple[str, str | None]]) -> tuple[str | Non
     return find("pos.eq.ra"), find("pos.eq.dec")
 
 
+def uploaded(local: DataFrame, columns: list[str], key: str = "_key") -> tuple[DataFrame, DataFrame]:
+    """The local rows with a key of their own, written once so that it stays, and the part of them to send."""
+    rows = numbered_once(local, key)
+    return rows, rows.select(key, *[f"`{c}`" for c in columns])
+
+
+def numbered_once(df: DataFrame, key: str) -> DataFrame:
+    from ..shared import stored
+
+    return stored(df.withColumn(key, F.monotonically_increasing_id()), "uploaded")
+
+
+def rejoined(rows: DataFrame, answer: DataFrame, key: str = "_key") -> DataFrame:
+    """A service's answer, which carries the key, with the local rows; taken names get ``_2``."""
+    taken = set(rows.columns)
+    own = [F.col(f"`{c}`").alias(c + "_2" if c in taken and c != key else c) for c in answer.columns]
+    return rows.join(answer.select(*own), key).drop(key)
+
+
+def endpoint(url: str) -> str:
+    """A service's base from the address of any of its resources."""
+    return re.sub(r"/(?:a?sync|tables|capabilities|availability|examples)(?:[/?#].*)?$", "", url.rstrip("/"))
+
+
+def table_id(text: str) -> tuple[str | None, str] | None:
+    """(service address or None, table) that a text names: ``https://host/tap#schema.table`` or ``schema.table``."""
+    m = re.fullmatch(r"(?:(https?://[^#\s]+)#)?([A-Za-z_]\w*(?:\.(?:[A-Za-z_]\w*|\"[^\"]+\"))+)", text.strip())
+    return (m[1] and endpoint(m[1]), m[2]) if m else None
+
+
+def searched(tables: DataFrame, words: list[str]) -> DataFrame:
+    """Rows of a service's list of tables (table_name, description) that hold all words, as ``table_search_query`` asks."""
+    for w in words:
+        tables = tables.where(F.contains(F.lower("table_name"), F.lit(w.lower())) | F.contains(F.lower(F.coalesce("description", F.lit(""))), F.lit(w.lower())))
+    return tables.select("table_name", "description")
+
+
+def entry_of(table: str, url: str, columns: list[tuple[str, str | None]]) -> dict[str, str]:
+    """A registry entry of a table whose columns' UCDs say where its positions are."""
+    ra, dec = coordinates_by_ucd(columns)
+    if ra is None or dec is None:
+        raise ServiceError(f"table {table!r} has no columns of positions")
+    key = next((n for n, u in columns if u and u.lower().startswith("meta.id;meta.main")), None)
+    return {"path": f"{endpoint(url)}#{table}", "ra": ra, "dec": dec, **({"id": key} if key else {})}
+
+
 class Service:
     """An asynchronous job: submit, poll, fetch.  ``transport`` has submit(query), phase(job) and fetch(job)."""
 

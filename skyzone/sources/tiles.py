@@ -133,6 +133,24 @@ def match_tiles(spark: SparkSession, left: str, right: str, spec, **roles) -> Da
     return match(*sides, spec)
 
 
+def routed(df: DataFrame, hubs: list[tuple[int, int]], pixel: str = "_pix", name: str = "hub") -> DataFrame:
+    """Each row's hub: struct(order, pix) of the hub tile that its deepest pixel lies in, else that pixel itself.
+
+    Hubs don't overlap.  They meet rows by ranges of pixels in order: a binary search in an array as long
+    as there are hubs.
+    """
+    ranges = sorted((p << 2 * (DEEPEST - o), (p + 1) << 2 * (DEEPEST - o), o, p) for o, p in hubs)
+    starts = np.asarray([r[0] for r in ranges], dtype=np.int64)
+
+    @F.pandas_udf("order int, pix long")
+    def hub(pix: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(starts, pix.to_numpy(), side="right") - 1
+        inside = [k >= 0 and x < ranges[k][1] for k, x in zip(at, pix)]
+        return pd.DataFrame({"order": [ranges[k][2] if i else DEEPEST for k, i in zip(at, inside)], "pix": [ranges[k][3] if i else x for k, i, x in zip(at, inside, pix)]}, dtype="int64")
+
+    return df.withColumn(name, hub(F.col(pixel)))
+
+
 def pixels(df: DataFrame, ra: str, dec: str, order: int, name: str) -> DataFrame:
     @F.pandas_udf("long")
     def of(a: pd.Series, d: pd.Series) -> pd.Series:

@@ -19,8 +19,23 @@ def crc_mod(col, mod: int):
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)
 
 
+#: Most rows and bytes of an Arrow batch that goes to a Python worker.  Texts are long, and the JVM and the
+#: worker each hold a batch or two of every task at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, where they are larger or have no bound."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is not None and not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone, so that extra columns can't clash with those added later."""
+    """The named columns alone, so that extra columns can't clash with those added later, in bounded batches."""
+    bound_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 

@@ -42,7 +42,7 @@ SOFT = 0.02
 THRESHOLD = 0.7
 LEAST_Z = 5.0
 LEAST_DOCS = 4
-MEMO = 300_000
+MEMO = 150_000
 PREFIXES = range(4, 9)
 
 _words = re.compile(r"[^\W\d_]+").findall

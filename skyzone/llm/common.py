@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,11 +27,11 @@ BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, where they are larger or have no bound."""
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, where they are larger, unset or have no bound."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, None)
-        if now is not None and not (now.isdigit() and 0 < int(now) <= most):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, None) or "")
+        if now is None or not 0 < int(now[1]) <= most:
             spark.conf.set(key, str(most))
 
 

@@ -1,4 +1,4 @@
-"""Command line: match, union, nway, fof, convert, list and describe.
+"""Command line: match, union, nway, fof, convert, sync, list, describe, search, discover, adopt, drift, doctor, completion.
 
 Exit codes: 0, 1 for errors of the library, 2 for wrong use, 130 when interrupted.
 """
@@ -24,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
         own.add_argument("--config")
         own.add_argument("--ids", help="id columns, one a catalogue, separated by commas")
         own.add_argument("--columns", help="columns of all catalogues to keep, separated by commas")
+        own.add_argument("--set", action="append", default=[], metavar="OPTION=VALUE", help="an option of a side, such as ra_2=RAJ2000 or columns_1=id,mag")
+        own.add_argument("--region", help="ra,dec,radius in degrees: only rows of the second and later catalogues within it")
         if name != "nway":
             own.add_argument("--matcher", choices=MATCHERS, default="sky")
             own.add_argument("--max-error", type=float, default=3.0)
@@ -42,16 +44,105 @@ def parser() -> argparse.ArgumentParser:
     own = sub.add_parser("convert")
     own.add_argument("input")
     own.add_argument("output")
-    for name in ("list", "describe"):
+    own = sub.add_parser("sync", help="copy a tiled tree, only what differs")
+    own.add_argument("source")
+    own.add_argument("targets", nargs="+")
+    for name in ("list", "describe", "search", "discover", "adopt", "drift", "doctor", "completion"):
         own = sub.add_parser(name)
         own.add_argument("--config")
         if name == "describe":
             own.add_argument("name")
+        if name == "search":
+            own.add_argument("words", nargs="+")
+        if name == "discover":
+            own.add_argument("tables", help="a table (file) of a service's tables: table_name, description")
+            own.add_argument("columns", help="a table of their columns: table_name, column_name, ucd")
+            own.add_argument("--service", required=True)
+            own.add_argument("--words", nargs="*", default=[])
+        if name in ("adopt", "drift"):
+            own.add_argument("--bundled", required=True, help="the registry to compare with")
+        if name == "adopt":
+            own.add_argument("names", nargs="+")
+        if name == "drift":
+            own.add_argument("--strict", action="store_true", help="fail on any difference")
+        if name == "completion":
+            own.add_argument("shell", choices=("bash", "zsh"))
     return p
 
 
+def completion(shell: str) -> str:
+    """A shell script that completes commands and their options."""
+    commands = next(a for a in parser()._actions if isinstance(a, argparse._SubParsersAction)).choices
+    cases = "\n".join(f"    {name}) COMPREPLY=($(compgen -W '{' '.join(sorted(o for a in own._actions for o in a.option_strings))}' -- \"$cur\")); return;;" for name, own in sorted(commands.items()))
+    head = "autoload -U +X bashcompinit && bashcompinit\n" if shell == "zsh" else ""
+    return f"""{head}_skyzone() {{
+  local cur="${{COMP_WORDS[COMP_CWORD]}}"
+  if [ "$COMP_CWORD" -eq 1 ]; then COMPREPLY=($(compgen -W '{' '.join(sorted(commands))}' -- "$cur")); return; fi
+  case "${{COMP_WORDS[1]}}" in
+{cases}
+  esac
+}}
+complete -o default -F _skyzone skyzone
+"""
+
+
+def doctor(registry: dict) -> list[tuple[str, bool, str]]:
+    """(what, whether it is there, how) of what the library needs and what the registry names."""
+    import importlib.util
+    import shutil
+
+    from .sources.storage import Storage, uri_of
+
+    out = [("java", shutil.which("java") is not None, shutil.which("java") or "not on the path")]
+    for name, needed in (("pyspark", True), ("pyarrow", True), ("pandas", True), ("numpy", True), ("yaml", False)):
+        there = importlib.util.find_spec(name) is not None
+        out.append((name, there or not needed, "there" if there else "missing" if needed else "missing; only registries need it"))
+    for name, entry in sorted(registry["catalogues"].items()):
+        try:
+            there = Storage().exists(uri_of(entry["path"]))
+            out.append((name, there, entry["path"]))
+        except Exception as e:
+            out.append((name, False, str(e)[:100]))
+    return out
+
+
+def registry_command(args, registry: dict, spark) -> int:
+    """Commands about registries; each prints lines of names."""
+    from .sources import config, files, tap
+
+    if args.command == "search":
+        for name, entry in sorted(registry["catalogues"].items()):
+            if all(w.lower() in f"{name} {entry.get('description', '')}".lower() for w in args.words):
+                print(f"{name}\t{entry.get('description', '')}")
+    elif args.command == "discover":
+        columns: dict[str, list] = {}
+        found = tap.searched(files.read(spark, args.tables), args.words)
+        wanted = files.read(spark, args.columns).join(found.select("table_name"), "table_name", "left_semi")
+        for r in wanted.collect():
+            columns.setdefault(r.table_name, []).append((r.column_name, r.ucd))
+        for name in sorted(columns):
+            try:
+                print(name, *(f"{k}={v}" for k, v in sorted(tap.entry_of(name, args.service, columns[name]).items())), sep="\t")
+            except MatchError as e:
+                print(f"{name}\t{e}")
+    else:
+        bundled = config.load(args.bundled)
+        if args.command == "drift":
+            found = config.drift(bundled, registry)
+            for name, how in found:
+                print(f"{name}\t{how}")
+            return int(any(how == "outdated" for _, how in found) or (args.strict and bool(found)))
+        if not args.config:
+            print("adopt needs --config, the registry to write", file=sys.stderr)
+            return 2
+        config.save(config.adopted(registry, bundled, args.names), args.config)
+    return 0
+
+
 def run(argv: list[str], spark=None) -> int:
     args = parser().parse_args(argv)
+    from . import sides
+    from .functions.geometry import cone
     from .operators import match as m
     from .operators import multi
     from .sources import config, files
@@ -61,6 +152,11 @@ def run(argv: list[str], spark=None) -> int:
         for name, entry in sorted(registry["catalogues"].items()):
             print(f"{name}\t{entry.get('description', '')}")
         return 0
+    if args.command == "completion":
+        print(completion(args.shell))
+        return 0
+    if args.command in ("search", "adopt", "drift"):
+        return registry_command(args, registry, spark)
     if args.command in ("match", "union", "nway", "fof") and len(args.catalogues) < 2:
         print("at least two catalogues are needed", file=sys.stderr)
         return 2
@@ -68,6 +164,20 @@ def run(argv: list[str], spark=None) -> int:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("skyzone").getOrCreate()
+    if args.command == "discover":
+        return registry_command(args, registry, spark)
+    if args.command == "doctor":
+        found = doctor(registry)
+        for what, well, how in found:
+            print(f"{'ok' if well else 'BAD'}\t{what}\t{how}")
+        return int(not all(well for _, well, _ in found))
+    if args.command == "sync":
+        from .sources import mirror
+
+        reports = mirror.replicate(spark, args.source, args.targets)
+        for root, r in reports.items():
+            print(f"{root}\t{len(r.copied)} copied\t{len(r.kept)} kept\t{len(r.pruned)} pruned\t{len(r.failed)} failed")
+        return int(any(r.failed for r in reports.values()))
     if args.command == "describe":
         c = config.resolve(spark, args.name, registry)
         for name, kind in c.df.dtypes:
@@ -81,14 +191,25 @@ def run(argv: list[str], spark=None) -> int:
     if len(ids) != len(args.catalogues):
         print("--ids must name one column a catalogue", file=sys.stderr)
         return 2
-    cats = [config.resolve(spark, name, registry, **({"id": i} if i else {})) for name, i in zip(args.catalogues, ids)]
-    if args.columns:
-        wanted = args.columns.split(",")
-        cats = [replace(c, df=c.df.select(*dict.fromkeys([*[x for x in wanted if x in c.df.columns], *[x for x in (c.resolved().ra, c.resolved().dec, c.id, c.ra_err, c.dec_err, c.corr) if x in c.df.columns]]))) for c in cats]
+    given = dict(x.partition("=")[::2] for x in args.set)
+    own = sides.overrides({**({"columns": args.columns} if args.columns else {}), **given}, len(args.catalogues))
+    for k, i in enumerate(ids):
+        if i:
+            own[k].setdefault("id", i)
+    for o in own:
+        for role in ("epoch", "default_error"):
+            if role in o:
+                o[role] = float(o[role])
+    spec = None if args.command == "nway" else MatchSpec(radius_arcsec=args.radius, matcher=args.matcher, max_error=args.max_error, target_epoch=args.target_epoch)
+    cats = [config.resolve(spark, name, registry, **{k: v for k, v in o.items() if k != "columns"}) for name, o in zip(args.catalogues, own)]
+    if args.region:
+        ra, dec, radius = map(float, args.region.split(","))
+        places = [c.resolved() for c in cats]
+        cats = [cats[0], *(replace(c, df=cone(c.df, c.ra, c.dec, (ra, dec), radius)) for c in places[1:])]
+    cats = [sides.projected(c, None if "columns" not in o else [x for x in o["columns"].split(",") if x in c.df.columns or not args.columns], spec) for c, o in zip(cats, own)]
     if args.command == "nway":
         out = multi.nway(cats, args.radius, cap=args.cap, default_sigma=args.sigma)
     else:
-        spec = MatchSpec(radius_arcsec=args.radius, matcher=args.matcher, max_error=args.max_error, target_epoch=args.target_epoch)
         if args.command == "fof":
             out = multi.friends_of_friends(cats, spec)
         elif args.command == "union":

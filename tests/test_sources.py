@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyzone import cli
-from skyzone.errors import ConfigError, InputError, ServiceError
+from skyzone.errors import ConfigError, InputError, MatchError, ServiceError
 from skyzone.functions import healpix
 from skyzone.functions.identity import canonical, content_id, digest, json_text, source_id
 from skyzone.operators import associations, candidates, observations, releases
@@ -107,6 +107,26 @@ def test_config_and_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(f"{tmp_path}/out.parquet").count() == 1
     assert cli.run(["match", "first", "--config", str(own)], spark) == 2
     assert cli.run(["list", "--config", str(own)], spark) == 0
+    assert cli.run([*args, "--set", "columns_1=id", "--set", "ra_2=ra", "--region", "10,0,1"], spark) == 0
+    assert "\n".join(capsys.readouterr().out.strip().splitlines()[-2:]).startswith("id,ra,dec,id_2")
+    with pytest.raises(MatchError):
+        cli.run([*args, "--set", "colour_1=x"], spark)
+    bundled = tmp_path / "bundled.yaml"
+    bundled.write_text(f"catalogues:\n  first:\n    path: {tmp_path}/a.csv\n    id: key\n  second:\n    path: {tmp_path}/b.csv\n    description: other stars\n")
+    assert cli.run(["drift", "--config", str(own), "--bundled", str(bundled)], spark) == 1
+    assert cli.run(["adopt", "first", "second", "--config", str(own), "--bundled", str(bundled)], spark) == 0
+    assert cli.run(["drift", "--config", str(own), "--bundled", str(bundled), "--strict"], spark) == 0
+    assert cli.run(["doctor", "--config", str(own)], spark) == 0
+    capsys.readouterr()
+    assert cli.run(["search", "STARS", "--config", str(own)], spark) == 0 and capsys.readouterr().out == "second\tother stars\n"
+    (tmp_path / "tables.csv").write_text("table_name,description\nsky.a,bright stars\nsky.b,galaxies\n")
+    (tmp_path / "columns.csv").write_text("table_name,column_name,ucd\nsky.a,ra,pos.eq.ra\nsky.a,dec,pos.eq.dec\nsky.b,z,\n")
+    assert cli.run(["discover", f"{tmp_path}/tables.csv", f"{tmp_path}/columns.csv", "--service", "https://h.org/tap/sync", "--words", "stars"], spark) == 0
+    assert capsys.readouterr().out == "sky.a\tdec=dec\tpath=https://h.org/tap#sky.a\tra=ra\n"
+    assert cli.run(["completion", "bash"], spark) == 0 and "complete -o default" in capsys.readouterr().out
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "properties").write_text("a=1")
+    assert cli.run(["sync", f"{tmp_path}/tree", f"{tmp_path}/copy"], spark) == 0 and (tmp_path / "copy" / "properties").read_text() == "a=1"
     (tmp_path / "bad.yaml").write_text("catalogues:\n  x: {}\n")
     with pytest.raises(ConfigError):
         config.load(tmp_path / "bad.yaml")

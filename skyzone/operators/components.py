@@ -7,7 +7,7 @@ Nodes may be of any type that can be ordered and hashed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .match import checkpointed
@@ -26,17 +26,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as written, and a mark of what was written, observed on the way."""
+    seen = Observation()
+    out = checkpointed(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+    return out, (seen.get["n"], seen.get["s"])
+
+
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node it is joined to."""
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    now = checkpointed(now)
-    mark = None
+    now, mark = _kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     for _ in range(most):
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (row.n, row.s) == mark or not row.n:
+        if not mark[0]:
+            break
+        before = mark
+        now, mark = _kept(_star(_star(now, True), False))
+        if mark == before:
             break
-        mark = (row.n, row.s)
-        now = checkpointed(_star(_star(now, True), False))
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

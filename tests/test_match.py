@@ -184,3 +184,36 @@ def test_rows_of_great_errors_search_far_and_others_do_not(spark, matcher):
         d_ra = (A[:, None, 1] - B[None, :, 1]) * 3600 * np.cos(np.radians((A[:, None, 2] + B[None, :, 2]) / 2))
         good = (d_ra**2 + d_dec**2) / (A[:, None, 3] ** 2 + B[None, :, 3] ** 2) <= 1.5**2
     assert got == set(zip(*(x.tolist() for x in np.nonzero(good)))) and len(got) > 1000
+
+
+def test_capped_tuples_are_the_first_of_all():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        mates = [[(int(r), float(rng.integers(1, 6))) for r in rng.permutation(30)[: rng.integers(0, 5)]] for _ in range(rng.integers(1, 4))]
+        every = [()]
+        for own in mates:
+            every = [(*t, m) for t in every for m in [*own, None]]
+        whole = [(min(s for m in t if m for s in m[1:]), tuple(m[0] if m else None for m in t)) for t in every if any(t)]
+        order = sorted(whole, key=lambda x: (x[0], tuple(math.inf if r is None else r for r in x[1])))
+        for most in (1, 3, 10, 10**6):
+            assert [(s, t) for t, s in multi.nearest_tuples(mates, most)] == order[:most]
+
+
+def test_capped_tuples_of_large_pools_are_not_all_made():
+    mates = [[(i, 1.0 + i) for i in range(100_000)] for _ in range(3)]
+    assert len(list(multi.nearest_tuples(mates, 100))) == 100
+
+
+@pytest.mark.parametrize("cap", [0, 1, 3])
+def test_nway_keeps_the_first_tuples_of_four_catalogues(spark, cap):
+    rng = np.random.default_rng(9)
+    columns = "id long, ra double, dec double, e double, f double"
+    rows = [[(k, float(rng.integers(0, 3)), float(rng.normal(0, 0.3)) * ARC, 0.3, 0.3) for k in range(12)] for _ in range(4)]
+    cats = [cat(spark, r, columns, ra_err="e", dec_err="f") for r in rows]
+    near = lambda a, b: a[1] == b[1] and abs(a[2] - b[2]) <= 0.5 * ARC
+    want = []
+    for a in rows[0]:
+        own = [(b[0], c[0], d[0]) for b in rows[1] if near(a, b) for c in rows[2] if near(a, c) for d in rows[3] if near(a, d)]
+        want += [(a[0], *t) for t in (sorted(own)[:cap] if cap else own)]
+    got = [(r.id, r.id_2, r.id_3, r.id_4) for r in multi.nway(cats, 0.5, cap=cap).collect()]
+    assert sorted(got) == sorted(want) and want

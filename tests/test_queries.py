@@ -1,6 +1,7 @@
 """Queries against their SQL on the smallest tables, and what the driver asks of the entry module."""
 
 import math
+import os
 import shutil
 import subprocess
 import sys
@@ -43,12 +44,16 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_library_works_without_the_training_data_operators(tmp_path):
+def test_library_and_its_tests_work_without_the_training_data_operators(tmp_path):
     root = Path(entry.__file__).resolve().parent
     shutil.copytree(root / "skyzone", tmp_path / "skyzone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'sky_best_inner' in q and not [n for n in q if n.startswith('op')]; e.oracle_sql()"
+    shutil.copytree(root / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'sky_best_inner' in q and not [n for n in q if n.startswith('op') or n == 'pipeline']; e.oracle_sql()"
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path), "HOME": str(tmp_path)}, check=True)
+    env = {**os.environ, "PYTHONPATH": str(tmp_path), "HOME": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=tmp_path, env=env, check=True, capture_output=True)
+    subprocess.run([sys.executable, "-m", "pytest", "tests/test_sources.py", "-q", "-k", "service_queries or fits"], cwd=tmp_path, env=env, check=True, capture_output=True)
 
 
 def test_stream_of_detections(spark, tmp_path):

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, filter_bits, only, stored
+from .common import bitmap, filter_bits, lean, only, stored
 
 UNIT = 64
 LEAST, MOST, MASK = 512, 8192, (1 << 10) - 1
@@ -97,7 +97,7 @@ def _per_text(docs: DataFrame, emit, schema: str) -> DataFrame:
             for k in range(0, batch.num_rows, 256):
                 yield emit(batch.slice(k, 256))
 
-    return only(docs, "doc_id", "text").mapInArrow(run, schema)
+    return only(docs, "doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def repeated_filter(docs: DataFrame) -> bytes:
@@ -213,11 +213,11 @@ def read_back(packs: DataFrame, chunk_table: DataFrame) -> DataFrame:
             yield _features(out)
 
     with_key = packs.where("shared > 0").withColumn("key", F.xxhash64("doc_id", "sha", "n_bytes"))
-    bodies = with_key.select("key", "recipe", "there").mapInArrow(references, "key long, digest binary").join(chunk_table, "digest")
+    bodies = with_key.select("key", "recipe", "there").mapInArrow(lean(references), "key long, digest binary").join(chunk_table, "digest")
     bodies = bodies.select("key", F.lit(0).alias("last"), "digest", "body")
     ends = with_key.select("key", F.lit(1).alias("last"), "doc_id", "n_bytes", "sha", "recipe", "there", "own")
     both = bodies.unionByName(ends, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", "last")
-    return packs.where("shared = 0").mapInArrow(alone, FEATURES).unionByName(both.mapInArrow(joined, FEATURES))
+    return packs.where("shared = 0").mapInArrow(lean(alone), FEATURES).unionByName(both.mapInArrow(lean(joined), FEATURES))
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:

@@ -47,6 +47,7 @@ SAMPLE_DOCS = 1000
 LETTERS = 30.0
 STEPS = 60
 WRITE = 16
+PART_ROWS = 50_000
 GOOD, STILL = 1e-4, 1e-6
 FLATTEN = 0.7
 LEAST = 0.0
@@ -168,7 +169,9 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
         out.table.append([math.log((x + 1) / (sum(own) + width)) for x in own])
     soft = stored(features.select("doc_id", "tokens", out.posterior(F.col("letters")).alias("p")), "posteriors")
     k = len(out.domains)
-    held, since = soft.select("tokens", "p", F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("q")).alias("at")), 0
+    # what the steps read is small, so it lies in as few parts as PART_ROWS asks for, however many the documents have
+    start = soft.select("tokens", "p", F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("q")).alias("at"))
+    held, since = stored(start.coalesce(-(-soft.count() // PART_ROWS) or 1), "rates"), 0
 
     def expected(momentum: float) -> tuple[list[float], list[float]]:
         """Tokens of each domain at the rates, and at the point that momentum leads to."""

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, in_filter, only, stored
+from .common import id_filter, in_filter, lean, only, stored
 from ..operators.components import connected_components
 
 MANTISSA = 10
@@ -195,7 +195,7 @@ def _sets(docs: DataFrame, n: int, threshold: int) -> DataFrame:
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *map(pa.array, out, kinds)], ["doc_id", "n_shingles", "digest", "small", "large"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, small binary, large binary")
+    return only(docs, "doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, digest binary, small binary, large binary")
 
 
 def _bands(classes: DataFrame, threshold: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _bands(classes: DataFrame, threshold: int) -> DataFrame:
                     ids = np.repeat(batch.column("class_id").filter(there).to_numpy(), bands)
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(name.reshape(-1).view(np.int64))], ["class_id", "band"])
 
-    return classes.select("class_id", "small", "large").mapInArrow(run, "class_id long, band long")
+    return classes.select("class_id", "small", "large").mapInArrow(lean(run), "class_id long, band long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
                 good.append(bool(x and y) and estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), r["n_a"], r["n_b"]) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(lean(run), "a long, b long")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -261,7 +261,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 made = [shingle_sets(np.frombuffer((t.as_py() or "").encode(), dtype=np.uint8), n).tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(made, pa.binary())], ["doc_id", "s"])
 
-    full = only(docs, "doc_id", "text").select("doc_id", "text", *slots).mapInArrow(sets, "doc_id long, s binary")
+    full = only(docs, "doc_id", "text").select("doc_id", "text", *slots).mapInArrow(lean(sets), "doc_id long, s binary")
     return full.groupBy("doc_id").agg(F.min("s").alias("s"))
 
 
@@ -302,7 +302,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: int) -> DataFr
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(lean(compare), "a long, b long")
 
 
 def joins(ids: list[int], components: list[int], blocks: list[int], sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
@@ -423,7 +423,7 @@ def _joined(docs: DataFrame, members: DataFrame, n: int, threshold: int) -> Data
         if held[0]:
             yield done()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:

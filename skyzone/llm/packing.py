@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stored
+from .common import lean, only, stored
 
 CAPACITY = (1024, 1024, 1024 * 1024)
 WEIGHTS = (1.0, 0.01, 0.1)
@@ -138,7 +138,7 @@ def tokenize(docs: DataFrame, *, capacity: int = CAPACITY[0], path: str | None =
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return only(docs, "doc_id", "text").mapInArrow(pieces, PIECES)
+    return only(docs, "doc_id", "text").mapInArrow(lean(pieces), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity=CAPACITY, weights=WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -215,9 +215,9 @@ def pack(pieces: DataFrame, *, capacity=CAPACITY, weights=WEIGHTS, rule: str = "
 
         return run
 
-    first = stored(pieces.mapInArrow(packed(False), PACKED), "packed")
+    first = stored(pieces.mapInArrow(lean(packed(False)), PACKED), "packed")
     loose = first.where("sequence_id IS NULL").drop("sequence_id", "offset")
-    again = loose.repartition(max(1, -(-loose.count() // window))).mapInArrow(packed(True), PACKED)
+    again = loose.repartition(max(1, -(-loose.count() // window))).mapInArrow(lean(packed(True)), PACKED)
     return first.where("sequence_id IS NOT NULL").unionByName(again)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, only, table
+from .common import crc_mod, lean, only, table
 from .voting import PER_CLASS, calibrated, isotonic, labelled_sample
 
 HELD, MOD = 0, 5
@@ -151,7 +151,7 @@ def _batches(docs: DataFrame, known: list[str], emit, schema: str, *columns: str
                 part = batch.slice(k, ROWS)
                 yield emit(part, [shapes.count(text.as_py()) for text in part.column("text")])
 
-    return only(docs, *columns, "text").mapInArrow(run, schema)
+    return only(docs, *columns, "text").mapInArrow(lean(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", held: int = HELD, mod: int = MOD, per_class: int = PER_CLASS) -> Model:
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", held: i
                 own = sorted({s for t in set((text.as_py() or "").split()) for s in token_shapes(t)})
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["shape"])
 
-    common = only(sample, "text").mapInArrow(shapes, "shape string").groupBy("shape").count().orderBy(F.desc("count"), "shape").limit(SHAPES)
+    common = only(sample, "text").mapInArrow(lean(shapes), "shape string").groupBy("shape").count().orderBy(F.desc("count"), "shape").limit(SHAPES)
     known = sorted(r.shape for r in common.collect())
 
     def counts(part: pa.RecordBatch, counted: list[dict[int, int]]) -> pa.RecordBatch:
@@ -206,7 +206,7 @@ def document_frequencies(docs: DataFrame, known: list[str], terms: list[int]) ->
                 total[[place[t] for t in shapes.count(text.as_py()) if t in place]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "n"])
 
-    rows = only(docs, "text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    rows = only(docs, "text").mapInArrow(lean(run), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(len(terms) + 1)
     for r in rows:
         total[r.place] = r.n

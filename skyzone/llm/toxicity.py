@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import lean, only, table
 from .voting import PER_CLASS, calibrated, isotonic, labelled_sample
 
 HELD, MOD = 1, 3
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held: int
                 lists = [sorted({t for w in set(_words((text or "").lower())) for t in terms_of(w)}) for text in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("label").cast(pa.int32()), pa.array(lists, pa.list_(pa.string()))], ["label", "terms"])
 
-    seen = sample.mapInArrow(terms, "label int, terms array<string>").select("label", F.explode("terms").alias("term"))
+    seen = sample.mapInArrow(lean(terms), "label int, terms array<string>").select("label", F.explode("terms").alias("term"))
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     chosen: list[str] = []
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held: int
             )
 
     # 2 * per_class rows of at most as many pairs as there are chosen terms
-    rows = sorted(sample.mapInArrow(vectors, "doc_id long, label int, n long, terms array<int>, counts array<int>").collect(), key=lambda r: r.doc_id)
+    rows = sorted(sample.mapInArrow(lean(vectors), "doc_id long, label int, n long, terms array<int>, counts array<int>").collect(), key=lambda r: r.doc_id)
     for r in rows:
         model.examples.append(r.doc_id)
         model.labels.append(r.label)
@@ -211,7 +211,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[i
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "n"])
 
-    rows = only(docs, "text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    rows = only(docs, "text").mapInArrow(lean(count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     found = {r.place: r.n for r in rows}
     return found.pop(len(terms), 0), found
 
@@ -242,7 +242,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             made = [of(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([s for s, _ in made], pa.float64()), pa.array([e for _, e in made], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
-    return only(docs, "doc_id", "text").mapInArrow(scored, "doc_id long, score double, evidence array<long>")
+    return only(docs, "doc_id", "text").mapInArrow(lean(scored), "doc_id long, score double, evidence array<long>")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -255,7 +255,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             at = batch.schema.get_field_index("text") if at is None else at
             yield batch.filter(pa.array([of(text.as_py())[0] < threshold for text in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)
 
 
 def held_out(doc_id: int) -> bool:

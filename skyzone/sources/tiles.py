@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import csv
-import glob
+import io
 import os
 import re
-import shutil
 import uuid
 from pathlib import Path
 
@@ -18,21 +17,34 @@ from pyspark.sql import functions as F
 from ..errors import InputError
 from ..functions import healpix
 from ..functions.geometry import cone
+from ..shared import stored
+from .storage import Storage, uri_of
 
 # Files that mark a tiled catalogue.
 MARKERS = ("properties", "hats.properties", "catalog_info.json", "_metadata")
 DEEPEST = 10
 
 
+def _store() -> Storage | None:
+    return Storage(SparkSession.getActiveSession()) if SparkSession.getActiveSession() else None
+
+
+def _there(path: str) -> bool:
+    store = _store()
+    return store.exists(path) if store else os.path.exists(path)
+
+
 def is_tiled(path: str) -> bool:
-    return os.path.isdir(path) and any(os.path.exists(os.path.join(path, m)) for m in MARKERS)
+    return any(_there(f"{path.rstrip('/')}/{m}") for m in MARKERS)
 
 
 def properties(path: str) -> dict[str, str]:
     for name in ("properties", "hats.properties"):
-        file = Path(path, name)
-        if file.exists():
-            pairs = (line.partition("=") for line in file.read_text().splitlines() if "=" in line and not line.lstrip().startswith("#"))
+        file = f"{path.rstrip('/')}/{name}"
+        if _there(file):
+            store = _store()
+            text = store.read(file).decode() if store else Path(file).read_text()
+            pairs = (line.partition("=") for line in text.splitlines() if "=" in line and not line.lstrip().startswith("#"))
             return {k.strip(): v.strip() for k, _, v in pairs}
     return {}
 
@@ -42,15 +54,18 @@ def partitions(path: str) -> list[tuple[int, int, str]]:
     numbering = properties(path).get("hats_ordering", "NESTED").upper()
     if numbering not in ("NESTED", "RING"):
         raise InputError(f"tiles under {path!r} are numbered by {numbering!r}, which is not known", path)
-    out = []
-    for root in (os.path.join(path, "dataset"), path):
-        for found in glob.glob(os.path.join(root, "Norder=*", "Dir=*", "Npix=*")):
-            m = re.search(r"Norder=(\d+)[/\\]Dir=\d+[/\\]Npix=(\d+)(\.parquet)?$", found)
-            if m:
-                order, pix = int(m[1]), int(m[2])
-                out.append((order, pix if numbering == "NESTED" else int(healpix.ring_to_nested(order, np.asarray([pix]))[0]), found))
+    store = Storage()
+    for root in (f"{path.rstrip('/')}/dataset", path):
+        out = []
+        for order in store.children(root):
+            for folder in store.children(order.path) if re.fullmatch(r"Norder=\d+", order.name) else []:
+                for tile in store.children(folder.path) if re.fullmatch(r"Dir=\d+", folder.name) else []:
+                    if m := re.fullmatch(r"Npix=(\d+)(\.parquet)?", tile.name):
+                        out.append((int(order.name.partition("=")[2]), int(m[1]), tile.path))
         if out:
             break
+    if numbering == "RING":
+        out = [(o, int(healpix.ring_to_nested(o, np.asarray([p]))[0]), file) for o, p, file in out]
     return sorted(out)
 
 
@@ -71,12 +86,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if not tiles:
         rows = properties(path).get("hats_nrows", "0")
         for common in ("_common_metadata", "dataset/_common_metadata"):
-            file = Path(path, common)
-            if file.exists() and not int(rows or 0):
+            file = f"{path.rstrip('/')}/{common}"
+            if _there(file) and not int(rows or 0):
+                import pyarrow as pa
                 import pyarrow.parquet as pq
                 from pyspark.sql.pandas.types import from_arrow_schema
 
-                return spark.createDataFrame([], from_arrow_schema(pq.read_schema(file)))
+                return spark.createDataFrame([], from_arrow_schema(pq.read_schema(pa.BufferReader(Storage(spark).read(file)))))
         raise InputError(f"no tiles under {path!r}, which should hold {rows} rows", path)
     return _paths(spark, [p for _, _, p in tiles])
 
@@ -139,14 +155,16 @@ def routed(df: DataFrame, hubs: list[tuple[int, int]], pixel: str = "_pix", name
     Hubs don't overlap.  They meet rows by ranges of pixels in order: a binary search in an array as long
     as there are hubs.
     """
-    ranges = sorted((p << 2 * (DEEPEST - o), (p + 1) << 2 * (DEEPEST - o), o, p) for o, p in hubs)
-    starts = np.asarray([r[0] for r in ranges], dtype=np.int64)
+    ranges = np.asarray(sorted((p << 2 * (DEEPEST - o), (p + 1) << 2 * (DEEPEST - o), o, p) for o, p in hubs), dtype=np.int64).reshape(-1, 4)
 
     @F.pandas_udf("order int, pix long")
     def hub(pix: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(starts, pix.to_numpy(), side="right") - 1
-        inside = [k >= 0 and x < ranges[k][1] for k, x in zip(at, pix)]
-        return pd.DataFrame({"order": [ranges[k][2] if i else DEEPEST for k, i in zip(at, inside)], "pix": [ranges[k][3] if i else x for k, i, x in zip(at, inside, pix)]}, dtype="int64")
+        own = pix.to_numpy()
+        if not len(ranges):
+            return pd.DataFrame({"order": np.full(len(own), DEEPEST), "pix": own})
+        at = np.maximum(np.searchsorted(ranges[:, 0], own, side="right") - 1, 0)
+        inside = (ranges[at, 0] <= own) & (own < ranges[at, 1])
+        return pd.DataFrame({"order": np.where(inside, ranges[at, 2], DEEPEST), "pix": np.where(inside, ranges[at, 3], own)})
 
     return df.withColumn(name, hub(F.col(pixel)))
 
@@ -162,72 +180,95 @@ def pixels(df: DataFrame, ra: str, dec: str, order: int, name: str) -> DataFrame
 def leaves(df: DataFrame, pixel: str, threshold: int) -> list[tuple[int, int, int]]:
     """(order, pixel, rows) of the tiles: a tile splits while it has more rows than ``threshold``.
 
-    Counts per order are taken only within tiles that split, so what the driver sees is about as many
-    rows as there are tiles.
+    Rows are counted once, by their deepest pixels; the orders above are summed from those counts.  What the
+    driver sees is a row a tile.
     """
-    out, open_ = [], None
+    counts = stored(df.groupBy(F.col(pixel).alias("p")).agg(F.count("*").alias("n")), "pixels")
+    tiles, above = None, None
     for order in range(DEEPEST + 1):
-        at = F.shiftright(pixel, 2 * (DEEPEST - order))
-        counted = df.groupBy(at.alias("p")).count()
-        if open_ is not None:
-            counted = counted.where(F.shiftright("p", 2).isin(open_))
-        rows = {r.p: r["count"] for r in counted.collect()}
-        open_ = [p for p, n in rows.items() if n > threshold and order < DEEPEST]
-        out += [(order, p, n) for p, n in rows.items() if p not in set(open_)]
-        if not open_:
+        own = counts.groupBy(F.shiftright("p", 2 * (DEEPEST - order)).alias("pix")).agg(F.sum("n").alias("n"))
+        if above is not None:
+            own = own.join(above.select(F.col("pix").alias("parent")), F.shiftright("pix", 2) == F.col("parent"), "left_semi")
+        ends = own if order == DEEPEST else own.where(F.col("n") <= threshold)
+        ends = ends.select(F.lit(order).alias("order"), "pix", "n")
+        tiles = ends if tiles is None else tiles.unionByName(ends)
+        above = stored(own.where(F.col("n") > threshold), "splitting")
+        if not above.take(1):
             break
-    return sorted(out)
+    return sorted((r.order, r.pix, r.n) for r in tiles.collect())
 
 
 def write(df: DataFrame, path: str, ra: str, dec: str, threshold: int = 100_000, ordering: str = "NESTED") -> None:
     """Adaptive tiles of at most ``threshold`` rows, to order 10, with partition info and properties.
 
-    Tiles are written by the executors into a folder that takes its name at the end, and named by their
-    numbers in ``ordering``.
+    Rows stream to their tiles' files on the executors, tile by tile, so memory doesn't grow with a tile.
+    ``properties`` comes last: a folder without it is no catalogue.  Tiles are named by their numbers in
+    ``ordering``.
     """
     name_of = {"NESTED": lambda order, pix: pix, "RING": lambda order, pix: int(healpix.nested_to_ring(order, np.asarray([pix]))[0])}[ordering]
-    if os.path.exists(path):
+    spark = df.sparkSession
+    store, target = Storage(spark), uri_of(path).rstrip("/")
+    if store.exists(target):
         raise FileExistsError(path)
-    own = f"{path}.{uuid.uuid4().hex}"
     columns = df.columns
-    placed = pixels(df, ra, dec, DEEPEST, "_pix")
+    placed = stored(pixels(df, ra, dec, DEEPEST, "_pix"), "placed")
     tiles = leaves(placed, "_pix", threshold)
-    orders = sorted({o for o, _, _ in tiles})
-    schema = "order int, pix long, n long"
-    ranges = [(o, p) for o, p, _ in tiles]
+    place = {(o, p): f"dataset/Norder={o}/Dir={healpix.directory(name_of(o, p))}/Npix={name_of(o, p)}.parquet" for o, p, _ in tiles}
     try:
-        os.makedirs(os.path.join(own, "dataset"))
-        if ranges:
-            tile = None
-            for o in orders:
-                at = F.shiftright("_pix", 2 * (DEEPEST - o))
-                hit = F.when(at.isin([p for k, p in ranges if k == o]), F.struct(F.lit(o).alias("order"), at.alias("pix")))
-                tile = hit if tile is None else F.coalesce(tile, hit)
-            keyed = placed.withColumn("_tile", tile).select(F.col("_tile.order").alias("_order"), F.col("_tile.pix").alias("_p"), *[f"`{c}`" for c in columns])
-
-            def save(key, pdf: pd.DataFrame) -> pd.DataFrame:
-                order, pix = int(key[0]), int(key[1])
-                shown = name_of(order, pix)
-                folder = os.path.join(own, "dataset", f"Norder={order}", f"Dir={healpix.directory(shown)}")
-                os.makedirs(folder, exist_ok=True)
-                file = os.path.join(folder, f"Npix={shown}.parquet")
-                part = f"{file}.{uuid.uuid4().hex}"
-                pdf[columns].to_parquet(part, index=False)
-                os.replace(part, file)  # a task that runs again replaces what it left
-                return pd.DataFrame({"order": [order], "pix": [pix], "n": [len(pdf)]})
-
-            written = {(r.order, r.pix): r.n for r in keyed.groupBy("_order", "_p").applyInPandas(save, schema).collect()}
+        if tiles:
+            keyed = routed(placed, [(o, p) for o, p, _ in tiles]).select(F.col("hub.order").alias("_order"), F.col("hub.pix").alias("_p"), *[f"`{c}`" for c in columns])
+
+            def save(batches):
+                import pyarrow as pa
+                import pyarrow.parquet as pq
+                from pyarrow import fs
+
+                files, root = fs.FileSystem.from_uri(target)
+                writer, now, n, part = None, None, 0, ""
+
+                def done():
+                    writer.close()
+                    files.move(part, f"{root}/{place[now]}")  # a task that runs again replaces what it left
+                    return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([n], pa.int64())], ["order", "pix", "n"])
+
+                for batch in batches:
+                    orders, pixs = batch.column("_order").to_numpy(), batch.column("_p").to_numpy()
+                    edges = np.flatnonzero((orders[1:] != orders[:-1]) | (pixs[1:] != pixs[:-1])) + 1
+                    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(orders)]):
+                        if hi == lo:
+                            continue
+                        key = (int(orders[lo]), int(pixs[lo]))
+                        own = pa.Table.from_batches([batch.slice(lo, hi - lo).select(columns)])
+                        if key != now:
+                            if writer is not None:
+                                yield done()
+                            now, n = key, 0
+                            folder = f"{root}/{place[key]}".rpartition("/")[0]
+                            files.create_dir(folder, recursive=True)
+                            part = f"{root}/{place[key]}.{uuid.uuid4().hex}"
+                            writer = pq.ParquetWriter(part, own.schema, filesystem=files)
+                        writer.write_table(own)
+                        n += hi - lo
+                if writer is not None:
+                    yield done()
+
+            dealt = keyed.repartition("_order", "_p").sortWithinPartitions("_order", "_p")
+            written = {(r.order, r.pix): r.n for r in dealt.mapInArrow(save, "order int, pix long, n long").collect()}
             if written != {(o, p): n for o, p, n in tiles}:
                 raise InputError("tiles differ from their counts", path)
         else:
+            import pyarrow as pa
             import pyarrow.parquet as pq
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            pq.write_metadata(to_arrow_schema(df.schema), os.path.join(own, "dataset", "_common_metadata"))
-        with open(os.path.join(own, "partition_info.csv"), "w", newline="") as f:
-            csv.writer(f).writerows([("Norder", "Dir", "Npix"), *((o, healpix.directory(name_of(o, p)), name_of(o, p)) for o, p, _ in tiles)])
-        facts = {"obs_collection": Path(path).stem, "dataproduct_type": "object", "hats_nrows": sum(n for _, _, n in tiles), "hats_col_ra": ra, "hats_col_dec": dec, "hats_npix_suffix": ".parquet", "hats_ordering": ordering, "hats_order": max(orders, default=0), "hats_max_rows": threshold}
-        Path(own, "properties").write_text("".join(f"{k}={v}\n" for k, v in facts.items()))
-        os.rename(own, path)
-    finally:
-        shutil.rmtree(own, ignore_errors=True)
+            sink = pa.BufferOutputStream()
+            pq.write_metadata(to_arrow_schema(df.schema), sink)
+            store.write(f"{target}/dataset/_common_metadata", sink.getvalue().to_pybytes())
+        info = io.StringIO()
+        csv.writer(info).writerows([("Norder", "Dir", "Npix"), *((o, healpix.directory(name_of(o, p)), name_of(o, p)) for o, p, _ in tiles)])
+        store.write(f"{target}/partition_info.csv", info.getvalue().encode())
+        facts = {"obs_collection": Path(path).stem, "dataproduct_type": "object", "hats_nrows": sum(n for _, _, n in tiles), "hats_col_ra": ra, "hats_col_dec": dec, "hats_npix_suffix": ".parquet", "hats_ordering": ordering, "hats_order": max((o for o, _, _ in tiles), default=0), "hats_max_rows": threshold}
+        store.write(f"{target}/properties", "".join(f"{k}={v}\n" for k, v in facts.items()).encode())
+    except BaseException:
+        store.remove(target)
+        raise

@@ -237,7 +237,14 @@ def run(argv: list[str], spark=None) -> int:
 
 def main() -> None:
     try:
-        sys.exit(run(sys.argv[1:]))
+        code = run(sys.argv[1:])
+        from pyspark.sql import SparkSession
+
+        from . import shared
+
+        if SparkSession.getActiveSession():
+            shared.clean(SparkSession.getActiveSession())
+        sys.exit(code)
     except MatchError as e:
         print(f"error: {e}", file=sys.stderr)
         sys.exit(1)

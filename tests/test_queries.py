@@ -39,6 +39,16 @@ def test_query_is_its_sql(spark, name):
     assert canon(got.columns, [tuple(r) for r in got.collect()]) == canon(columns, cursor.fetchall())
 
 
+@pytest.mark.parametrize("name, column", [("ml_rf", "ml_score"), ("xgb_gbt", "xgb_score")])
+def test_learnt_scores_rank_as_the_plain_score_does(spark, name, column):
+    best = {}
+    for r in entry.queries()["ml_heuristic"](spark, str(SMALL)).collect():
+        best[r.id] = max(best.get(r.id, (0, 0)), (r.ml_score, r.id_2))
+    got = {r.id: (r.id_2, r[column]) for r in entry.queries()[name](spark, str(SMALL)).collect()}
+    assert set(got) == set(best) and all(0 <= s <= 1 for _, s in got.values())
+    assert sum(got[i][0] == best[i][1] for i in got) > 0.8 * len(got)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -117,8 +117,8 @@ def added_tokens(path: str) -> dict[str, int]:
     return {x["content"]: x["id"] for x in found}
 
 
-def tokenize(docs: DataFrame, *, capacity: int = CAPACITY[0], path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``capacity`` tokens of every document, with the CRC of their ids."""
+def _pieces(capacity: int, path: str | None, with_ids: bool):
+    """Of batches (doc_id, text) the pieces of every document."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path or tokenizer_path(), added=added_tokens(tokenizer_path("byte_bpe_50k.json")))
@@ -138,7 +138,12 @@ def tokenize(docs: DataFrame, *, capacity: int = CAPACITY[0], path: str | None =
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return only(docs, "doc_id", "text").mapInArrow(lean(pieces), PIECES)
+    return pieces
+
+
+def tokenize(docs: DataFrame, *, capacity: int = CAPACITY[0], path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Pieces of at most ``capacity`` tokens of every document, with the CRC of their ids."""
+    return only(docs, "doc_id", "text").mapInArrow(lean(_pieces(capacity, path, with_ids)), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity=CAPACITY, weights=WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -198,31 +203,42 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def pack(pieces: DataFrame, *, capacity=CAPACITY, weights=WEIGHTS, rule: str = "norm", window: int = WINDOW) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, start, length, ids_crc32, ids)."""
+def _packed(last: bool, capacity, weights, rule: str, window: int):
+    """Of batches of pieces the pieces with their places; null places for those of loose sequences, but in the last round."""
 
-    def packed(last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            made = last << 61 | TaskContext.get().partitionId() << 36
-            for part in _windows(batches, window):
-                lengths = part.column("length").to_numpy()
-                bins, offset = best_fit(lengths, capacity, weights, rule)
-                left = 1 - np.stack([np.bincount(bins, lengths.astype(float) ** k) for k in (1, 0, 2)], 1) / np.asarray(capacity, dtype=float)
-                loose = (left > LOOSE).all(1)[bins] & (not last)
-                part = part.append_column("sequence_id", pa.array(bins + made, mask=loose)).append_column("offset", pa.array(offset, mask=loose))
-                made += int(bins.max()) + 1
-                yield from part.to_batches()
-
-        return run
-
-    first = stored(pieces.mapInArrow(lean(packed(False)), PACKED), "packed")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = last << 61 | TaskContext.get().partitionId() << 36
+        for part in _windows(batches, window):
+            lengths = part.column("length").to_numpy()
+            bins, offset = best_fit(lengths, capacity, weights, rule)
+            left = 1 - np.stack([np.bincount(bins, lengths.astype(float) ** k) for k in (1, 0, 2)], 1) / np.asarray(capacity, dtype=float)
+            loose = (left > LOOSE).all(1)[bins] & (not last)
+            part = part.append_column("sequence_id", pa.array(bins + made, mask=loose)).append_column("offset", pa.array(offset, mask=loose))
+            made += int(bins.max()) + 1
+            yield from part.to_batches()
+
+    return run
+
+
+def _two_rounds(first: DataFrame, fit: tuple) -> DataFrame:
+    """What the first round gave, with the pieces of its loose sequences packed again."""
+    first, window = stored(first, "packed"), fit[-1]
     loose = first.where("sequence_id IS NULL").drop("sequence_id", "offset")
-    again = loose.repartition(max(1, -(-loose.count() // window))).mapInArrow(lean(packed(True)), PACKED)
+    again = loose.repartition(max(1, -(-loose.count() // window))).mapInArrow(lean(_packed(True, *fit)), PACKED)
     return first.where("sequence_id IS NOT NULL").unionByName(again)
 
 
+def pack(pieces: DataFrame, *, capacity=CAPACITY, weights=WEIGHTS, rule: str = "norm", window: int = WINDOW) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, start, length, ids_crc32, ids)."""
+    fit = (capacity, weights, rule, window)
+    return _two_rounds(pieces.mapInArrow(lean(_packed(False, *fit)), PACKED), fit)
+
+
 def pack_documents(docs: DataFrame, *, capacity=CAPACITY, weights=WEIGHTS, rule: str = "norm", window: int = WINDOW, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    return pack(tokenize(docs, capacity=capacity[0], path=path, with_ids=with_ids), capacity=capacity, weights=weights, rule=rule, window=window)
+    """Pieces of all documents with their places; one worker a task cuts and packs."""
+    fit = (capacity, weights, rule, window)
+    cut, place = _pieces(capacity[0], path, with_ids), _packed(False, *fit)
+    return _two_rounds(only(docs, "doc_id", "text").mapInArrow(lean(lambda batches: place(cut(batches))), PACKED), fit)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

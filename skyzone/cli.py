@@ -213,7 +213,7 @@ def run(argv: list[str], spark=None) -> int:
         if args.command == "fof":
             out = multi.friends_of_friends(cats, spec)
         elif args.command == "union":
-            out = multi.star_union(cats, spec) if args.star else multi.chain(cats, spec, union=True)
+            out = multi.star_union(cats, spec) if args.star else multi.chain(cats, spec, union=True, position=bool(args.output) and args.output.endswith(".hats"))
         elif args.id_join:
             if len(cats) != 2 or not args.ids:
                 print("an id join needs two catalogues and --ids", file=sys.stderr)
@@ -224,7 +224,8 @@ def run(argv: list[str], spark=None) -> int:
             out = m.match(cats[0], cats[1], spec) if len(cats) == 2 else multi.chain(cats, spec)
     if args.output:
         c = cats[0].resolved()
-        files.write(out, args.output, single=True, ra=c.ra, dec=c.dec)
+        ra, dec = ("_union_ra", "_union_dec") if "_union_ra" in out.columns else (c.ra, c.dec)
+        files.write(out, args.output, single=True, ra=ra, dec=dec)
     else:
         import csv
 

@@ -23,11 +23,12 @@ from .match import SEP, Side, _limit, candidates, checkpointed, match, names_rig
 SOURCES = "_src_cats"
 
 
-def chain(catalogues: list[Catalogue], spec: MatchSpec, union: bool = False) -> DataFrame:
+def chain(catalogues: list[Catalogue], spec: MatchSpec, union: bool = False, position: bool = False) -> DataFrame:
     """Match one catalogue after another to what has been found so far.
 
     From the third on, positions are those of the first catalogue that a row has.  Right columns get
     the suffix ``_k``.  With ``union`` every row of every catalogue stays, and ``_src_cats`` says which it has.
+    ``position`` adds ``_union_ra`` and ``_union_dec``, those of the first catalogue that a row has.
     """
     if len(catalogues) < 2:
         raise MatchError("at least two catalogues are needed")
@@ -50,7 +51,10 @@ def chain(catalogues: list[Catalogue], spec: MatchSpec, union: bool = False) ->
             out = out.withColumn(SOURCES, label)
         place.append((ra, dec))
         if k == len(cats):
-            return out.drop("_accum_ra", "_accum_dec")
+            out = out.drop("_accum_ra", "_accum_dec")
+            if position:
+                out = out.withColumns({n: F.coalesce(*[F.col(f"`{p[i]}`") for p in place]) for i, n in enumerate(("_union_ra", "_union_dec"))})
+            return out
         out = out.drop("_accum_ra", "_accum_dec")
         out = out.withColumn("_accum_ra", F.coalesce(*[F.col(f"`{r}`") for r, _ in place])).withColumn("_accum_dec", F.coalesce(*[F.col(f"`{d}`") for _, d in place]))
         now = replace(cats[0], df=out, ra="_accum_ra", dec="_accum_dec", id=None)

@@ -100,6 +100,15 @@ def hats_match(spark, d):
     return q._ids(tiles.match_tiles(spark, _tiled(spark, d, "cat_a"), _tiled(spark, d, "cat_b"), SKY, id="id"))
 
 
+@query("union_tiles", q._UNION2.replace(", round(b1.sep, 6) AS sep_arcsec", ", round(coalesce(a.ra, b.ra), 6) AS union_ra"))
+def union_tiles(spark, d):
+    """A union written as tiles by the position that each row has."""
+    out = multi.chain([catalogue(spark, d, n, ["id", "ra", "dec"]) for n in ("cat_a", "cat_b")], SKY, union=True, position=True)
+    path = f"{local(shared.fresh(spark, 'union'))}.hats"
+    tiles.write(out, path, "_union_ra", "_union_dec", 5000)
+    return tiles.read(spark, path).select("id", "id_2", F.col("_src_cats").alias("src_cats"), F.round("_union_ra", 6).alias("union_ra"))
+
+
 @query("cone_intervals", f"{_CONE.replace(', round(ra, 6) AS ra, round(dec, 6) AS dec, round(mag, 6) AS mag', '')}")
 def cone_intervals(spark, d):
     ranges = healpix.intervals(healpix.cone_pixels(6, (10.0, 20.0), 15.0), 6, tiles.DEEPEST)
@@ -203,13 +212,13 @@ def sky_detected(spark, d):
     return q._ids(match(Catalogue(l, id="id"), Catalogue(r, id="id"), SKY))
 
 
-@query("registry", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lines', count(*) FROM lineitem")
+@query("registry", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lines', count(*) FROM lineitem UNION ALL SELECT 'parts', count(*) FROM part")
 def registry(spark, d):
     root = local(shared.fresh(spark, "registry"))
-    storage.Storage(spark).write(f"{root}/base.yaml", json.dumps({"catalogues": {"Orders": {"path": f"{d}/orders.parquet"}, "Lines": {"path": "nowhere"}}}).encode())
+    storage.Storage(spark).write(f"{root}/base.yaml", json.dumps({"catalogues": {"Orders": {"path": f"{d}/orders.parquet"}, "Lines": {"path": "nowhere"}, "Parts": {"path": f"{d}/nowhere.parquet", "fallbacks": [f"{d}/part.parquet"]}}}).encode())
     storage.Storage(spark).write(f"{root}/over.yaml", json.dumps({"catalogues": {"Lines": {"path": f"{d}/lineitem.parquet"}}, "aliases": {"o": "Orders"}}).encode())
     known = config.load(f"{root}/base.yaml", f"{root}/over.yaml")
-    return spark.createDataFrame([("orders", config.resolve(spark, "O", known).df.count()), ("lines", config.resolve(spark, "lines", known).df.count())], "name string, n long")
+    return spark.createDataFrame([("orders", config.resolve(spark, "O", known).df.count()), ("lines", config.resolve(spark, "lines", known).df.count()), ("parts", config.resolve(spark, "PARTS", known).df.count())], "name string, n long")
 
 
 @query("engines", f"{q._BEST}, n AS (SELECT count(*) AS n, round(sum(sep), 3) AS total FROM best) SELECT engine, n, total FROM n, (SELECT unnest([{', '.join(map(repr, ENGINES))}]) AS engine)")

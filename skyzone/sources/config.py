@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from ..catalogue import Catalogue
 from ..errors import ConfigError
 from .files import SUFFIXES, read
+from .mirror import first_of
 from .tiles import is_tiled
 
 NAME = "skyzone.yaml"
@@ -43,7 +44,7 @@ def load(*paths: str | os.PathLike) -> dict[str, Any]:
     for name, entry in out["catalogues"].items():
         if not isinstance(entry, dict) or not entry.get("path"):
             raise ConfigError(f"catalogue {name!r} needs a path")
-        if odd := set(entry) - ROLES - {"path", "description"}:
+        if odd := set(entry) - ROLES - {"path", "description", "fallbacks"}:
             raise ConfigError(f"catalogue {name!r} has unknown keys {sorted(odd)}")
     for alias, name in out["aliases"].items():
         if name not in out["catalogues"]:
@@ -58,7 +59,9 @@ def resolve(spark: SparkSession, name: str, config: dict[str, Any] | None = None
     own = config["catalogues"].get(lower.get(name.lower(), ""))
     if own is not None:
         entry = {k: v for k, v in own.items() if k in ROLES}
-        return Catalogue(read(spark, own["path"]), name=name, **{**entry, **roles})
+        # the first of the places that can be read
+        df = first_of([own["path"], *own.get("fallbacks", [])], lambda path: read(spark, path))
+        return Catalogue(df, name=name, **{**entry, **roles})
     if is_tiled(name) or Path(name).suffix.lower() in SUFFIXES:
         return Catalogue(read(spark, name), name=Path(name).stem, **roles)
     near = difflib.get_close_matches(name.lower(), lower, 3)

@@ -247,7 +247,9 @@ def _learnt(kind: str, column: str, path_of):
             weighed = pairs.select("y", *names).unionByName(negatives)
             n0 = max(1.0, rows.n - rows.p + negatives.count())
             weighed = weighed.withColumn("w", F.when(F.col("y") == 1, (n0 + rows.p) / (2 * rows.p)).otherwise((n0 + rows.p) / (2 * n0)))
-            data = VectorAssembler(inputCols=names, outputCol="_features").transform(weighed)
+            # in one order however rows were dealt, since trees draw their rows by place
+            ordered = weighed.repartition(*names).sortWithinPartitions("y", *names)
+            data = VectorAssembler(inputCols=names, outputCol="_features").transform(ordered)
             shape = {"maxDepth": min(5, max(2, int(math.log2(len(names) + 1)))), "seed": 42, "labelCol": "y", "featuresCol": "_features", "weightCol": "w"}
             model = (RandomForestClassifier(numTrees=min(100, max(10, rows.n // 5)), **shape) if kind == "forest" else GBTClassifier(maxIter=20, **shape)).fit(data)
             if path:

@@ -42,7 +42,7 @@ TERMS = 1500
 SHAPES = 600
 THRESHOLD = 0.3
 ROWS = 512
-MEMO = 150_000
+MEMO = 300_000
 PIECE = 64
 SYMBOLS = 12
 

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from skyzone.catalogue import Catalogue
@@ -217,3 +218,16 @@ def test_nway_keeps_the_first_tuples_of_four_catalogues(spark, cap):
         want += [(a[0], *t) for t in (sorted(own)[:cap] if cap else own)]
     got = [(r.id, r.id_2, r.id_3, r.id_4) for r in multi.nway(cats, 0.5, cap=cap).collect()]
     assert sorted(got) == sorted(want) and want
+
+
+@pytest.mark.parametrize("matcher, column", [("ml", "ml_score"), ("xgb", "xgb_score")])
+def test_learnt_scores_work_in_a_session_that_has_observed_rows(spark, matcher, column):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    schema = "id long, ra double, dec double, mag double"
+    l = cat(spark, [(i, float(i), 0.0, 10.0) for i in range(20)], schema, default_error=0.5)
+    r = cat(spark, [(i, float(i), 0.2 * ARC, 10.1) for i in range(20)] + [(100 + i, float(i), -0.9 * ARC, 12.0) for i in range(20)], schema, default_error=0.5)
+    out = match(l, r, MatchSpec(radius_arcsec=2.0, matcher=matcher, ml_color_columns=("mag",))).collect()
+    assert {x.id: x.id_2 for x in out} == {i: i for i in range(20)}
+    assert all(0 <= x[column] <= 1 for x in out)

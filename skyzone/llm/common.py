@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import BATCH_BYTES as BATCH_BYTES
+from ..shared import BATCH_ROWS as BATCH_ROWS
+from ..shared import bound_batches as bound_batches
 from ..shared import stored as stored  # cuts the lineage
 
 
@@ -26,20 +29,6 @@ def crc_mod(col, mod: int):
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)
 
 
-#: Most rows and bytes of an Arrow batch that goes to a Python worker.  Texts are long, and the JVM and the
-#: worker each hold a batch or two of every task at a time.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, where they are larger, unset or have no bound."""
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, None) or "")
-        if now is None or not 0 < int(now[1]) <= most:
-            spark.conf.set(key, str(most))
-
-
 def lean(run):
     """A function over Arrow batches that gives its memory back when a task ends.
 

@@ -7,10 +7,10 @@ Nodes may be of any type that can be ordered and hashed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .match import checkpointed
+from .match import by_measure, checkpointed
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,27 +26,43 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges as written, and a mark of what was written, observed on the way."""
-    seen = Observation()
-    out = checkpointed(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
-    return out, (seen.get["n"], seen.get["s"])
+#: Most nodes that go to all tasks in a broadcast.
+FEW = 50_000
+
+
+def _split(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (u, v) of components that are stars around their least node already, and those of all others.
+
+    A star's leaves have one edge, and its centre is no leaf.  A node with several smaller neighbours, or
+    with a smaller and a greater one, keeps what it touches from being one; usually there are few.
+    """
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    odd = checkpointed(ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").select("n"))
+    n = odd.count()
+    if not n:
+        return edges, None
+    few = F.broadcast if n <= FEW else lambda df: df
+    bad = checkpointed(odd.unionByName(edges.join(few(odd.withColumnRenamed("n", "u")), "u", "left_semi").select(F.col("v").alias("n"))).distinct()).withColumnRenamed("n", "v")
+    few = F.broadcast if bad.count() <= FEW else lambda df: df
+    return edges.join(few(bad), "v", "left_anti").select("u", "v"), edges.join(few(bad), "v", "left_semi").select("u", "v")
 
 
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component) of every node of edges (a, b): the smallest node it is joined to."""
-    now, mark = _kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    """(node, component) of every node of edges (a, b): the smallest node it is joined to.
+
+    What has become stars rests; the rounds go on with the others.
+    """
+    by_measure(edges.sparkSession)
+    stars, now = _split(checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()))
     for _ in range(most):
-        if not mark[0]:
-            break
-        before = mark
-        now, mark = _kept(_star(_star(now, True), False))
-        if mark == before:
+        if now is None:
             break
+        done, now = _split(checkpointed(_star(_star(checkpointed(now), True), False)))
+        stars = stars.unionByName(done)
     else:
         raise RuntimeError("components did not settle")
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return out.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def numbered(df: DataFrame, by: str, name: str) -> DataFrame:

@@ -31,8 +31,7 @@ class Report:
 
 def listing(store: Storage, root: str) -> dict[str, int]:
     """Sizes of a tree's files by their path within it."""
-    base = store._at(root)[1].toUri().getPath().rstrip("/")
-    return {e.path.partition(base)[2].lstrip("/"): e.size for e in store.walk(root) if not e.name.endswith(".crc")}
+    return {path: size for path, size in store.files(root) if not path.endswith(".crc")}
 
 
 def sync(spark: SparkSession, source: str, target: str, *, wanted: Callable[[str], bool] = lambda path: True) -> Report:
@@ -43,10 +42,19 @@ def sync(spark: SparkSession, source: str, target: str, *, wanted: Callable[[str
     """
     store, out = Storage(spark), Report()
     there, here = {k: v for k, v in listing(store, source).items() if wanted(k)}, listing(store, target)
+    wrong = []
     for path in sorted(there, key=lambda p: (p.rpartition("/")[2] in DESCRIBING, p)):
         if here.get(path) == there[path]:
             out.kept.append(path)
-            continue
+        else:
+            wrong.append(path)
+    data = [p for p in wrong if p.rpartition("/")[2] not in DESCRIBING]
+    if len(data) > FEW and _reached(source) and _reached(target):
+        said = _copied(spark, source, target, data)
+        out.copied += [p for p in data if p not in said]
+        out.failed |= {p: said[p] for p in data if p in said}
+        wrong = [] if said else wrong[len(data) :]  # a description of data that isn't there would lie
+    for path in wrong:
         to, part = f"{uri_of(target).rstrip('/')}/{path}", f"{uri_of(target).rstrip('/')}/{path}.{uuid.uuid4().hex}.part"
         try:
             store.copy(f"{uri_of(source).rstrip('/')}/{path}", part)
@@ -66,6 +74,53 @@ def sync(spark: SparkSession, source: str, target: str, *, wanted: Callable[[str
     return out
 
 
+#: Files that the driver copies by itself; more are copied by tasks.
+FEW = 32
+
+
+def _reached(root: str) -> bool:
+    """Whether tasks can open the root's file system."""
+    from pyarrow import ArrowException, fs
+
+    try:
+        fs.FileSystem.from_uri(uri_of(root))
+    except (ArrowException, OSError):
+        return False
+    return True
+
+
+def _copied(spark: SparkSession, source: str, target: str, paths: list[str]) -> dict[str, str]:
+    """Copy files by tasks, each under a name of its own before it takes its place; what failed, and why."""
+    frm, to = uri_of(source).rstrip("/"), uri_of(target).rstrip("/")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        (a, base), (b, root) = fs.FileSystem.from_uri(frm), fs.FileSystem.from_uri(to)
+        for batch in batches:
+            failed: list[tuple[str, str]] = []
+            for path in batch.column("path").to_pylist():
+                part = f"{root}/{path}.{uuid.uuid4().hex}.part"
+                try:
+                    b.create_dir(part.rpartition("/")[0], recursive=True)
+                    fs.copy_files(f"{base}/{path}", part, source_filesystem=a, destination_filesystem=b, use_threads=False)
+                    folder, _, name = path.rpartition("/")
+                    sums = f"{root}/{folder}/.{name}.crc"  # Hadoop's checksums are of what was there before
+                    if b.get_file_info(sums).type != fs.FileType.NotFound:
+                        b.delete_file(sums)
+                    b.move(part, f"{root}/{path}")
+                except Exception as e:
+                    failed.append((path, str(e)[:200]))
+                    if b.get_file_info(part).type != fs.FileType.NotFound:
+                        b.delete_file(part)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in failed], pa.string()) for k in range(2)], ["path", "said"])
+
+    tasks = max(1, min(len(paths) // 16, 4 * spark.sparkContext.defaultParallelism))
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks)
+    return {r.path: r.said for r in rows.mapInArrow(run, "path string, said string").collect()}
+
+
 def replicate(spark: SparkSession, source: str, roots: Iterable[str]) -> dict[str, Report]:
     return {root: sync(spark, source, root) for root in roots}
 

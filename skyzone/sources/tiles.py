@@ -56,19 +56,27 @@ def partitions(path: str) -> list[tuple[int, int, str]]:
         raise InputError(f"tiles under {path!r} are numbered by {numbering!r}, which is not known", path)
     store = Storage()
     for root in (f"{path.rstrip('/')}/dataset", path):
-        out = []
-        for order in store.children(root):
-            for folder in store.children(order.path) if re.fullmatch(r"Norder=\d+", order.name) else []:
-                for tile in store.children(folder.path) if re.fullmatch(r"Dir=\d+", folder.name) else []:
-                    if m := re.fullmatch(r"Npix=(\d+)(\.parquet)?", tile.name):
-                        out.append((int(order.name.partition("=")[2]), int(m[1]), tile.path))
+        # a tile is a file, or a folder of files, whose path ends with a slash
+        found = (re.match(r"Norder=(\d+)/Dir=\d+/Npix=(\d+)(\.parquet)?(/|$)", file) for file, _ in store.files(root))
+        out = sorted({(int(m[1]), int(m[2]), f"{uri_of(root)}/{m[0]}") for m in found if m})
         if out:
             break
     if numbering == "RING":
-        out = [(o, int(healpix.ring_to_nested(o, np.asarray([p]))[0]), file) for o, p, file in out]
+        out = [(o, p, file) for (o, _, file), p in zip(out, _by_order(healpix.ring_to_nested, out)[0].astype(np.int64).tolist())]
     return sorted(out)
 
 
+def _by_order(of, tiles: list[tuple[int, int, str]]) -> np.ndarray:
+    """Rows of what ``of(order, pixels)`` gives, for tiles in their order."""
+    orders, pix = (np.asarray([t[k] for t in tiles], dtype=np.int64) for k in range(2))
+    out = None
+    for o in np.unique(orders):
+        own = np.atleast_2d(np.asarray(of(int(o), pix[orders == o])))
+        out = np.empty((len(own), len(tiles)), dtype=own.dtype) if out is None else out
+        out[:, orders == o] = own
+    return np.empty((2, 0)) if out is None else out
+
+
 def check_overlap(tiles: list[tuple[int, int, str]]) -> None:
     """A tile must not lie within another."""
     known = {(o, p) for o, p, _ in tiles}
@@ -81,6 +89,20 @@ def _paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(*paths)
 
 
+def _tiles(spark: SparkSession, kept: list[str], every: list[tuple[int, int, str]]) -> DataFrame:
+    """Rows of some tiles.  Folders of which all tiles are wanted are read as folders, since each path costs the driver."""
+    wanted, folders = set(kept), {}
+    for _, _, path in every:
+        folder = path.rstrip("/").rpartition("/")[0]
+        folders[folder] = folders.get(folder, True) and path in wanted and not path.endswith("/")
+    whole = sorted(f for f, x in folders.items() if x)
+    single = [p for p in kept if not folders[p.rstrip("/").rpartition("/")[0]]]
+    if not whole:
+        return _paths(spark, single)
+    df = spark.read.option("mergeSchema", "true").option("pathGlobFilter", "Npix=*").parquet(*whole)
+    return df.unionByName(_paths(spark, single), allowMissingColumns=True) if single else df
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     tiles = partitions(path)
     if not tiles:
@@ -94,38 +116,42 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
                 return spark.createDataFrame([], from_arrow_schema(pq.read_schema(pa.BufferReader(Storage(spark).read(file)))))
         raise InputError(f"no tiles under {path!r}, which should hold {rows} rows", path)
-    return _paths(spark, [p for _, _, p in tiles])
+    return _tiles(spark, [p for _, _, p in tiles], tiles)
 
 
 def read_cone(spark: SparkSession, path: str, centre: tuple[float, float], radius_deg: float, ra: str = "ra", dec: str = "dec") -> DataFrame:
     """Rows within a cone; only tiles whose centre is near enough are read."""
-    kept = []
-    for order, pix, file in partitions(path):
-        a, d = (float(x[0]) for x in healpix.centre(order, np.asarray([pix])))
-        h = np.sin(np.radians(d - centre[1]) / 2) ** 2 + np.cos(np.radians(d)) * np.cos(np.radians(centre[1])) * np.sin(np.radians(a - centre[0]) / 2) ** 2
-        if np.degrees(2 * np.arcsin(np.sqrt(min(1.0, h)))) <= radius_deg + healpix.diagonal(order):
-            kept.append(file)
-    whole = read(spark, path) if not kept else _paths(spark, kept)
+    every = partitions(path)
+    a, d = _by_order(healpix.centre, every)
+    h = np.sin(np.radians(d - centre[1]) / 2) ** 2 + np.cos(np.radians(d)) * np.cos(np.radians(centre[1])) * np.sin(np.radians(a - centre[0]) / 2) ** 2
+    near = np.degrees(2 * np.arcsin(np.sqrt(np.minimum(1.0, h)))) <= radius_deg + np.asarray([healpix.diagonal(t[0]) for t in every])
+    kept = [t[2] for t, x in zip(every, near) if x]
+    whole = read(spark, path) if not kept else _tiles(spark, kept, every)
     return cone(whole if kept else whole.where("false"), ra, dec, centre, radius_deg)
 
 
 def near_tiles(left: list[tuple[int, int, str]], right: list[tuple[int, int, str]], radius_deg: float) -> tuple[list[str], list[str]]:
     """Paths of the tiles of either side that have a tile of the other within reach."""
 
-    def places(tiles: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray]:
-        at = [healpix.centre(o, np.asarray([p])) for o, p, _ in tiles]
-        a, d = (np.radians([float(x[k][0]) for x in at]) for k in range(2))
-        return np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], 1), np.asarray([healpix.diagonal(o) for o, _, _ in tiles])
+    def places(tiles: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, d = np.radians(_by_order(healpix.centre, tiles))
+        return np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], 1), np.degrees(d), np.asarray([healpix.diagonal(o) for o, _, _ in tiles])
 
     if not left or not right:
         return [], []
-    (u, a), (v, b) = places(left), places(right)
+    (u, d, a), (v, e, b) = places(left), places(right)
     hit_l, hit_r = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
-    for k in range(0, len(left), 1024):
-        far = np.degrees(np.arccos(np.clip(u[k : k + 1024] @ v.T, -1, 1)))
-        near = far <= a[k : k + 1024, None] + b[None] + radius_deg
-        hit_l[k : k + 1024] = near.any(1)
-        hit_r |= near.any(0)
+    # a tile is held against those of its band of declination only, of one reach at a time
+    for reach in np.unique(b):
+        own = np.flatnonzero(b == reach)
+        own = own[np.argsort(e[own])]
+        far = a + reach + radius_deg
+        lo, hi = np.searchsorted(e[own], d - far - 1e-6), np.searchsorted(e[own], d + far + 1e-6)
+        for k in np.flatnonzero(hi > lo):
+            at = own[lo[k] : hi[k]]
+            near = np.degrees(np.arccos(np.clip(v[at] @ u[k], -1, 1))) <= far[k]
+            hit_l[k] |= near.any()
+            hit_r[at[near]] = True
     return [t[2] for t, x in zip(left, hit_l) if x], [t[2] for t, x in zip(right, hit_r) if x]
 
 
@@ -143,7 +169,7 @@ def match_tiles(spark: SparkSession, left: str, right: str, spec, **roles) -> Da
     whole = {"all1": (True, False), "1not2": (True, False), "all2": (False, True), "2not1": (False, True), "1and2": (False, False)}.get(spec.join_type, (True, True))
     sides = []
     for path, tiles, kept, every in zip((left, right), (l, r), paths, whole):
-        df = read(spark, path) if every or not kept else _paths(spark, kept)
+        df = read(spark, path) if every or not kept else _tiles(spark, kept, tiles)
         own = df if every or kept else df.where("false")
         sides.append(Catalogue(own, name=Path(path).stem, **{k: v for k, v in roles.items() if v in own.columns}))
     return match(*sides, spec)
@@ -205,7 +231,7 @@ def write(df: DataFrame, path: str, ra: str, dec: str, threshold: int = 100_000,
     ``properties`` comes last: a folder without it is no catalogue.  Tiles are named by their numbers in
     ``ordering``.
     """
-    name_of = {"NESTED": lambda order, pix: pix, "RING": lambda order, pix: int(healpix.nested_to_ring(order, np.asarray([pix]))[0])}[ordering]
+    numbers = {"NESTED": lambda order, pix: pix, "RING": healpix.nested_to_ring}[ordering]
     spark = df.sparkSession
     store, target = Storage(spark), uri_of(path).rstrip("/")
     if store.exists(target):
@@ -213,6 +239,8 @@ def write(df: DataFrame, path: str, ra: str, dec: str, threshold: int = 100_000,
     columns = df.columns
     placed = stored(pixels(df, ra, dec, DEEPEST, "_pix"), "placed")
     tiles = leaves(placed, "_pix", threshold)
+    names = {(o, p): n for (o, p, _), n in zip(tiles, _by_order(numbers, tiles)[0].astype(np.int64).tolist())}
+    name_of = lambda order, pix: names[order, pix]
     place = {(o, p): f"dataset/Norder={o}/Dir={healpix.directory(name_of(o, p))}/Npix={name_of(o, p)}.parquet" for o, p, _ in tiles}
     try:
         if tiles:

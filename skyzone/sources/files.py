@@ -183,13 +183,21 @@ def read_fits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_fits(df: DataFrame, path: str) -> None:
-    """A single FITS binary table, streamed a partition at a time through the driver; nulls become NaN, blanks or TNULL."""
+    """A single FITS binary table; nulls become NaN, blanks or TNULL.
+
+    Tasks write their rows' bytes to the shared folder, and the driver puts them one after another, block by block.
+    """
+    from pyarrow import fs
+
+    from ..shared import bound_batches, fresh, settled
+
     letters = {"bigint": ("K", ">i8"), "int": ("J", ">i4"), "smallint": ("I", ">i2"), "tinyint": ("I", ">i2"), "double": ("D", ">f8"), "float": ("E", ">f4"), "boolean": ("L", "S1")}
     types = dict(df.dtypes)
     if odd := [c for c, t in types.items() if t not in letters and t != "string"]:
         raise InputError(f"columns {odd} have types that FITS tables can't hold", path)
     from pyspark.sql import functions as F
 
+    df = settled(df)
     texts = [c for c, t in types.items() if t == "string"]
     size = df.agg(F.count("*").alias("_n"), *[F.max(F.octet_length(f"`{c}`")).alias(c) for c in texts]).first()
     width = {c: max(1, size[c] or 1) for c in texts}
@@ -201,6 +209,38 @@ def write_fits(df: DataFrame, path: str) -> None:
     def block(cards: list[str]) -> bytes:
         return "".join([*cards, "END".ljust(80)]).encode().ljust(-(-(80 * (len(cards) + 1)) // BLOCK) * BLOCK)
 
+    parts, kinds = fresh(df.sparkSession, "fits"), list(types.items())
+
+    def encoded(batch) -> bytes:
+        import pyarrow as pa
+
+        out = np.empty(batch.num_rows, dtype=dtype)
+        for k, (c, t) in enumerate(kinds):
+            v = batch.column(k)
+            if t == "string":
+                out[f"f{k}"] = [b"" if x is None else x.encode() for x in v.to_pylist()]
+            elif t == "boolean":
+                out[f"f{k}"] = [b"\0" if x is None else b"T" if x else b"F" for x in v.to_pylist()]
+            else:
+                v = v.cast(pa.int16()) if t == "tinyint" else v
+                out[f"f{k}"] = v.fill_null(least.get(t, float("nan"))).to_numpy(zero_copy_only=False)
+        return out.tobytes()
+
+    def save(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(parts)
+        store.create_dir(root, recursive=True)
+        n, name = 0, uuid.uuid4().hex
+        with store.open_output_stream(f"{root}/{name}") as sink:
+            for batch in batches:
+                sink.write(encoded(batch))
+                n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([name])], ["k", "n", "name"])
+
+    bound_batches(df.sparkSession)
+    told = sorted(df.mapInArrow(save, "k long, n long, name string").collect())
     own = f"{path}.{uuid.uuid4().hex}"
     with open(own, "wb") as f:
         f.write(block([card("SIMPLE", "T".rjust(20)), card("BITPIX", "8".rjust(20)), card("NAXIS", "0".rjust(20)), card("EXTEND", "T".rjust(20))]))
@@ -210,18 +250,14 @@ def write_fits(df: DataFrame, path: str) -> None:
             if t in least:
                 cards.append(card(f"TNULL{k}", str(least[t]).rjust(20)))
         f.write(block(cards))
-        total, held = 0, []
-        blank = {"string": b"", "double": np.nan, "float": np.nan, "boolean": b"\0", **least}
-
-        def flush() -> None:
-            nonlocal total, held
-            f.write(np.asarray(held, dtype=dtype).tobytes())
-            total, held = total + len(held), []
-
-        for row in df.toLocalIterator():
-            held.append(tuple(blank[t] if v is None else v.encode() if t == "string" else (b"T" if v else b"F") if t == "boolean" else v for v, t in zip(row, types.values())))
-            if len(held) >= 10_000:
-                flush()
-        flush()
+        store, root = fs.FileSystem.from_uri(parts)
+        total = 0
+        for r in told:
+            total += r.n
+            with store.open_input_stream(f"{root}/{r.name}") as part:
+                shutil.copyfileobj(part, f, 8 << 20)
+        store.delete_dir(root)
+        if total != size["_n"]:
+            raise InputError("rows differ from their count", path)
         f.write(bytes(-(total * dtype.itemsize) % BLOCK))
     os.replace(own, path)

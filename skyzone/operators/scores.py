@@ -28,6 +28,8 @@ TINY = 1e-300
 SAMPLE = 50_000
 RANDOM_PAIRS = 5000
 GRID = 2048
+#: Rows that a task trains with on the average, and the least number of parts they lie in.
+TRAIN_ROWS, LEAST_PARTS = 100_000, 16
 
 
 def columns_of(spec: MatchSpec, left, right) -> tuple[str, ...]:
@@ -248,7 +250,8 @@ def _learnt(kind: str, column: str, path_of):
             n0 = max(1.0, rows.n - rows.p + negatives.count())
             weighed = weighed.withColumn("w", F.when(F.col("y") == 1, (n0 + rows.p) / (2 * rows.p)).otherwise((n0 + rows.p) / (2 * n0)))
             # in one order however rows were dealt, since trees draw their rows by place
-            ordered = weighed.repartition(*names).sortWithinPartitions("y", *names)
+            # trees hold a hundred counts a row, so a task takes a bounded number of rows
+            ordered = weighed.repartition(max(LEAST_PARTS, -(-rows.n // TRAIN_ROWS)), *names).sortWithinPartitions("y", *names)
             data = VectorAssembler(inputCols=names, outputCol="_features").transform(ordered)
             shape = {"maxDepth": min(5, max(2, int(math.log2(len(names) + 1)))), "seed": 42, "labelCol": "y", "featuresCol": "_features", "weightCol": "w"}
             model = (RandomForestClassifier(numTrees=min(100, max(10, rows.n // 5)), **shape) if kind == "forest" else GBTClassifier(maxIter=20, **shape)).fit(data)

@@ -143,6 +143,11 @@ def _ranked(pairs: DataFrame, left: Side, right: Side, spec: MatchSpec) -> DataF
     return pairs.withColumn("_score", F.sqrt(total))
 
 
+def scored(pairs: DataFrame) -> DataFrame:
+    """Pairs with what scores read only."""
+    return pairs.select(*[c for c in pairs.columns if c in ("l_row", "r_row", SEP, "_score", "l_sigma", "r_sigma") or c.startswith(("l_x_", "r_x_"))])
+
+
 def best_per_left(pairs: DataFrame, keep: tuple[str, ...] = (SEP,)) -> DataFrame:
     """The pair of least (score, separation, right row) of every left row, by a minimum with map-side combine."""
     best = pairs.groupBy("l_row").agg(F.min(F.struct("_score", SEP, "r_row", *[c for c in keep if c not in (SEP,)])).alias("b"))
@@ -180,7 +185,10 @@ def assemble(pairs: DataFrame, left: DataFrame, right: DataFrame, join_type: str
     how_right = {"1and2": "inner", "all1": "left", "all2": "right", "1or2": "full", "all": "full"}[join_type]
     links = pairs.select("l_row", F.col("r_row").alias("_r"), F.col(SEP).alias("_sep"), *[F.col(c).alias(f"_x_{c}") for c in extra])
     out = own.join(links, "l_row", how_left)
-    out = out.join(other, out["_r"] == other["r_row"], how_right)
+    # rows without a partner are dealt by themselves: all of them would go to the task of the null key
+    out = out.withColumn("_apart", F.when(F.col("_r").isNull(), 1 + F.pmod(F.xxhash64("l_row"), F.lit(1 << 20))).otherwise(F.lit(0)))
+    other = other.withColumn("_with", F.pmod(F.xxhash64("r_row"), F.lit(1)))
+    out = out.join(other, (out["_r"] == other["r_row"]) & (out["_apart"] == other["_with"]), how_right)
     return out.select(*[f"`{c}`" for c in kept], *[f"`{c}`" for c in named], sep.alias(SEP), *[F.col(f"_x_{c}").alias(c) for c in extra])
 
 
@@ -207,6 +215,8 @@ def match(left: Catalogue, right: Catalogue, spec: MatchSpec, suffix: str = SUFF
     added: tuple[str, ...] = ()
     if spec.extra_distance_cols and spec.find == "best":
         pairs = _ranked(pairs, a, b, spec)
+    if spec.matcher in scores.SCORERS or spec.probabilistic or spec.prior_columns:
+        pairs = scored(pairs)
     if spec.matcher in scores.SCORERS:
         if spec.extra_distance_cols and spec.find == "best":
             pairs = best_per_left(pairs, tuple(c for c in pairs.columns if c not in ("l_row", "r_row", "_score")))

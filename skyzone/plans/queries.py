@@ -325,12 +325,12 @@ _HEURISTIC = f"""WITH {cte('cat_a', 'cat_b')}, {banded('cat_a', 'cat_b', 'sep <=
 
 @query("ml_heuristic", _HEURISTIC)
 def ml_heuristic(spark, d):
-    from ..operators.match import candidates, prepare
+    from ..operators.match import candidates, prepare, scored
     from ..operators.scores import features, heuristic
 
     spec = MatchSpec(radius_arcsec=2.0, find="all", matcher="ml", ml_color_columns=("mag",))
     l, r = prepare(catalogue(spark, d, "cat_a", list(ERR)), "l", spec, ("mag",)), prepare(catalogue(spark, d, "cat_b", list(ERR)), "r", spec, ("mag",))
-    pairs, names = features(candidates(l, r, spec, 2.0), l, r, spec)
+    pairs, names = features(shared.stored(scored(candidates(l, r, spec, 2.0)), "pairs"), l, r, spec)
     out = pairs.select(F.col("l_row").alias("id"), F.col("r_row").alias("id_2"), "sep_arcsec", heuristic(pairs, names).alias("ml_score"))
     return rounded(out, "sep_arcsec", "ml_score")
 

@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 from skyzone import shared
 from skyzone.catalogue import Catalogue
 from skyzone.operators import associations, candidates, components, releases
+from skyzone.operators.match import match
+from skyzone.operators.zonejoin import Zones
+from skyzone.sources import files, mirror, tiles
+from skyzone.sources.storage import Storage
+from skyzone.specs import MatchSpec
 
 RECORD = "component_id string, input_release_id string, member_id string"
 
@@ -78,3 +83,53 @@ def test_parts_that_a_task_reads_whole_are_bounded(spark, tmp_path, monkeypatch)
     assert len(made["files"]["t"]["sha256"]) == 10 and releases.verify_tables(spark, tmp_path / "t", "t.v1") == made
     made = releases.write_lines(spark.range(200), tmp_path / "l", "l.v1", "id", {})
     assert max(p["records"] for p in made["parts"].values()) < 40 and made["record_count"] == 200
+
+
+def test_rows_without_partners_do_not_share_a_task(spark):
+    rows = spark.range(2000)
+    cats = [Catalogue(rows.select("id", (F.col("id") % 360).cast("double").alias("ra"), (F.lit(z) + (F.col("id") / 360).cast("int")).cast("double").alias("dec")), ra="ra", dec="dec", id="id") for z in (-50, 10)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled",)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = match(*cats, MatchSpec(radius_arcsec=1.0, join_type="1or2"))
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 4000 and max(sizes) < 1500
+
+
+def test_crowded_poles_have_many_cells(spark):
+    ring = spark.range(640).select((F.col("id") * 0.5625).alias("ra"), F.lit(89.9).alias("dec"))
+    zones = Zones(0.0343)
+    assert zones.one(ring, "ra", "dec").groupBy("_zone", "_cell").count().agg(F.max("count")).first()[0] == 10
+    assert zones.reached(ring, "ra", "dec").groupBy("ra").count().agg(F.max("count")).first()[0] < 12
+
+
+def test_many_files_are_copied_by_tasks(spark, tmp_path, monkeypatch):
+    source, target = tmp_path / "s", tmp_path / "t"
+    (source / "dataset").mkdir(parents=True)
+    for k in range(60):
+        (source / "dataset" / f"{k}.bin").write_bytes(bytes([k]) * k)
+    (source / "properties").write_text("a=1")
+    by_hand = []
+    monkeypatch.setattr(Storage, "copy", lambda self, a, b, copy=Storage.copy: by_hand.append(a) or copy(self, a, b))
+    made = mirror.sync(spark, str(source), str(target))
+    assert len(by_hand) == 1 and len(made.copied) == 61 and not made.failed
+    assert all((target / "dataset" / f"{k}.bin").read_bytes() == bytes([k]) * k for k in range(60))
+    assert not mirror.sync(spark, str(source), str(target)).copied
+
+
+def test_whole_folders_of_tiles_are_read_as_folders(spark, tmp_path, monkeypatch):
+    df = spark.range(3000).select("id", (F.col("id") * 0.12).alias("ra"), F.lit(5.0).alias("dec"))
+    tiles.write(df, str(tmp_path / "c.hats"), "ra", "dec", threshold=100)
+    monkeypatch.setattr(tiles, "_paths", None)
+    assert tiles.read(spark, str(tmp_path / "c.hats")).agg(F.sum("id")).first()[0] == 3000 * 2999 // 2
+
+
+def test_fits_rows_do_not_go_through_the_driver(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, 0.5, "ä", True, 3), (2, None, None, None, None)], "a long, b double, c string, d boolean, e tinyint").repartition(2)
+    monkeypatch.setattr(type(df), "toLocalIterator", None)
+    files.write(df, str(tmp_path / "x.fits"))
+    monkeypatch.undo()
+    assert sorted((r.a, r.c, r.d, r.e) for r in files.read(spark, str(tmp_path / "x.fits")).collect()) == [(1, "ä", True, 3), (2, "", None, None)]
